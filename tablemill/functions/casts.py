@@ -9,11 +9,11 @@ from pyspark.sql.types import BooleanType, DataType, NumericType, StringType
 # Java number syntax that is not a plain decimal: a trailing type letter, as in "12d".
 _JAVA_SUFFIX = r"(?i)[0-9.]\s*[df]\s*$"
 
-# Date layouts accepted in text, in order of preference, each with the shape
-# of text it is tried on. The shape test keeps the parser from failing row by row.
+# Date layouts accepted in text besides ISO dates (with or without a time), each
+# with the shape of the text it is tried on.
 DATE_LAYOUTS = (
     (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
-    (r"^\d{1,2}-[A-Za-z]{3,}-\d{4}$", "d-MMMM-yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{4,}-\d{4}$", "d-MMMM-yyyy"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
 )
@@ -33,14 +33,16 @@ def to_text(col: Column, dtype: DataType | None = None) -> Column:
 
 
 def to_date(col: Column) -> Column:
-    """Parse text as a date: ISO first, then the other accepted layouts; null if none fits."""
+    """Parse text as a date in any accepted layout; null if none fits.
+
+    Each layout is tried only on text of its shape: a parser that is run on text of another
+    layout fails with an exception per row.
+    """
     text = F.trim(col.cast("string"))
     parsed = F.when(text.rlike(_ISO_DATE), text.try_cast("date"))
-    attempts = [
-        F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)).cast("date"))
-        for shape, layout in DATE_LAYOUTS
-    ]
-    return F.coalesce(parsed, *attempts)
+    for shape, layout in DATE_LAYOUTS:
+        parsed = parsed.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)).cast("date"))
+    return parsed
 
 
 def shown(col: Column) -> Column:

@@ -128,18 +128,18 @@ def union_family(spec: QuerySpec, family: Family, tables: Tables) -> DataFrame:
     if spec.limit_rows or spec.offset:
         return _stack([build_list(spec, find) for find in branches])
     shapes = [shape(spec, open_source(spec, find)) for find in branches]
-    first = shapes[0]
     if not spec.sort:
         return _stack([s.finish(s.frame) for s in shapes])
     keyed = [
         s.frame.select(
-            *[column(hidden) for hidden, _ in s.outputs],
+            *[col.alias(f"__out_{i}") for i, (col, _) in enumerate(s.outputs)],
             *[key.alias(f"__sort_{i}") for i, (key, _) in enumerate(s.sorts)],
         )
         for s in shapes
     ]
     order = [ordering(column(f"__sort_{i}"), s.direction) for i, s in enumerate(spec.sort)]
-    return first.finish(_stack(keyed).orderBy(*order))
+    names = [name for _, name in shapes[0].outputs]
+    return _stack(keyed).orderBy(*order).select([f"__out_{i}" for i in range(len(names))]).toDF(*names)
 
 
 def _stack(parts: Sequence[DataFrame]) -> DataFrame:

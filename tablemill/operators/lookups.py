@@ -12,8 +12,9 @@ from tablemill.errors import SpecError
 from tablemill.functions.casts import to_double
 from tablemill.functions.months import label_of_previous
 from tablemill.functions.units import load_kilowatts
-from tablemill.operators.joins import equi_join
+from tablemill.operators.joins import equi_join, is_small
 from tablemill.plans.scope import column
+from tablemill.session import materialize
 
 # Columns taken from the hierarchy lookup, by key.
 DIVISION_KEY = "DIV_CODE"
@@ -23,8 +24,8 @@ SUBDIVISION_SOURCE_KEY = "SDO_SP_ID"
 SUBDIVISION_COLUMNS = ("SDO_NAME",)
 SUPPLY_KEY = "SUPPLY_TYPE"
 
-# Bytes of text a lookup may hold to be broadcast; beyond that it joins by shuffle.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# Stored bytes up to which a lookup is broadcast; beyond that it joins by shuffle.
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def first_rows(df: DataFrame, key: str, columns: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
@@ -41,17 +42,12 @@ def first_rows(df: DataFrame, key: str, columns: Sequence[str], order: Sequence[
     return best.select(column(key), *[F.col("__rest").getField(c).alias(c) for c in columns])
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Measure a lookup: true if all its values together are within ``limit`` bytes."""
-    per_row = sum((F.coalesce(F.octet_length(column(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
-    return (df.agg(F.sum(per_row.cast("long")).alias("bytes")).first()["bytes"] or 0) <= limit
-
-
-def lookup_join(df: DataFrame, lookup: DataFrame, key: str, broadcast: bool | None = None) -> DataFrame:
+def lookup_join(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Left join on one shared key, compared as text.
 
     Other names on both sides become ``name_x`` (left) and ``name_y`` (lookup). The lookup
-    is broadcast only after its measured size allows it.
+    is broadcast only if its size is known to be within bounds. Otherwise both sides are
+    shuffled; a hot key then sits on the left, where adaptive execution splits it.
     """
     clash = {c.lower() for c in df.columns} & {c.lower() for c in lookup.columns} - {key.lower()}
     left = df.toDF(*[f"{c}_x" if c.lower() in clash else c for c in df.columns])
@@ -60,33 +56,35 @@ def lookup_join(df: DataFrame, lookup: DataFrame, key: str, broadcast: bool | No
         column(key).cast("string").alias("__key"),
         *[column(c).alias(f"{c}_y" if c.lower() in clash else c) for c in kept],
     )
-    if broadcast is None:
-        broadcast = fits_broadcast(right)
     left = left.withColumn("__match", column(key).cast("string"))
-    right = F.broadcast(right) if broadcast else right
+    right = F.broadcast(right) if is_small(lookup, BROADCAST_BYTES) else right
     return equi_join(left, right, [("__match", "__key")], "left", split=False).drop("__match", "__key")
 
 
-def hierarchy_lookups(hierarchy: DataFrame, order: Sequence[Column] = ()) -> tuple[DataFrame, DataFrame]:
-    """Division and sub-division lookups, one row per key."""
-    divisions = first_rows(hierarchy, DIVISION_KEY, DIVISION_COLUMNS, order)
+def lookup_tables(
+    hierarchy: DataFrame, supply: DataFrame, order: Sequence[Column] = ()
+) -> dict[str, DataFrame]:
+    """Division, sub-division and supply lookups by key, one row per key value."""
     offices = first_rows(hierarchy, SUBDIVISION_SOURCE_KEY, SUBDIVISION_COLUMNS, order)
-    return divisions, offices.withColumnRenamed(SUBDIVISION_SOURCE_KEY, SUBDIVISION_KEY)
+    details = [c for c in supply.columns if c != SUPPLY_KEY]
+    return {
+        DIVISION_KEY: first_rows(hierarchy, DIVISION_KEY, DIVISION_COLUMNS, order),
+        SUBDIVISION_KEY: offices.withColumnRenamed(SUBDIVISION_SOURCE_KEY, SUBDIVISION_KEY),
+        SUPPLY_KEY: first_rows(supply, SUPPLY_KEY, details, order),
+    }
 
 
 def lookup_enrich(
     df: DataFrame, hierarchy: DataFrame, supply: DataFrame, order: Sequence[Column] = ()
 ) -> DataFrame:
-    """Add division, sub-division and supply columns, each where ``df`` has the key."""
-    divisions, offices = hierarchy_lookups(hierarchy, order)
-    others = [c for c in supply.columns if c != SUPPLY_KEY]
-    for lookup, key in (
-        (divisions, DIVISION_KEY),
-        (offices, SUBDIVISION_KEY),
-        (first_rows(supply, SUPPLY_KEY, others, order), SUPPLY_KEY),
-    ):
+    """Add division, sub-division and supply columns, each where ``df`` has the key.
+
+    Each lookup is written once after its duplicates are gone, so its true size decides
+    how it is joined and no job reads the raw lookup twice.
+    """
+    for key, lookup in lookup_tables(hierarchy, supply, order).items():
         if key in df.columns:
-            df = lookup_join(df, lookup, key)
+            df = lookup_join(df, materialize(lookup, "lookup"), key)
     return df
 
 

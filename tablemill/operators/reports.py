@@ -104,19 +104,17 @@ def _spread(long: DataFrame, pivot: Pivot) -> tuple[DataFrame, list[str]]:
 def _heading_order(long: DataFrame, sort_keys: list[str], heading_keys: list[str]) -> list[str]:
     most = int(long.sparkSession.conf.get(MAX_HEADINGS_SETTING, "10000"))
     place = F.struct(*[c for k in sort_keys for c in (column(k).isNull(), column(k))])
-    seen = (
-        long.groupBy("__heading", *heading_keys)
-        .agg(F.min(place).alias("__place"))
-        .groupBy("__heading")
-        .agg(F.min("__place").alias("__place"), F.count(F.lit(1)).alias("__sources"))
-    )
-    found = seen.orderBy("__place").select("__heading", "__sources").limit(most + 1).collect()
+    source = F.struct(*[column(k) for k in heading_keys])
+    seen = long.groupBy("__heading").agg(
+        F.min(place).alias("__place"), F.min(source).alias("__low"), F.max(source).alias("__high")
+    ).withColumn("__clash", ~F.col("__low").eqNullSafe(F.col("__high")))
+    found = seen.orderBy("__place").select("__heading", "__clash").limit(most + 1).collect()
     if len(found) > most:
         raise SpecError(
             f"The column fields have more than {most} distinct headings ({MAX_HEADINGS_SETTING}); "
             "use long_report() or fewer column fields."
         )
-    clash = [row["__heading"] for row in found if row["__sources"] > 1]
+    clash = [row["__heading"] for row in found if row["__clash"]]
     if clash:
         raise SpecError(f"Different values share the heading(s) {', '.join(map(repr, clash))}.")
     return [row["__heading"] for row in found]

@@ -12,7 +12,7 @@ from tablemill.operators.expressions import aggregate_of, case_of, coalesce_of
 from tablemill.operators.filters import check_operator, compile_filters
 from tablemill.operators.joins import equi_join
 from tablemill.operators.paging import ordering, page
-from tablemill.plans.scope import Scope, Tables, column, lookup_table
+from tablemill.plans.scope import Ref, Scope, Tables, column, lookup_table
 from tablemill.plans.spec import QuerySpec
 
 
@@ -53,83 +53,94 @@ def open_source(spec: QuerySpec, tables: Tables) -> Source:
 
 @dataclass
 class Shape:
-    """A list query before ordering: output columns plus hidden sort columns."""
+    """A list query before ordering: where its rows come from, its outputs and sort keys."""
 
     frame: DataFrame
-    outputs: list[tuple[str, str]]
+    outputs: list[tuple[Column, str]]
     sorts: list[tuple[Column, str]]
+    plain: bool = False
 
     def finish(self, frame: DataFrame) -> DataFrame:
-        """Give the output columns their public names; equal names are allowed."""
-        return frame.select([column(hidden).alias(name) for hidden, name in self.outputs])
+        """Project the outputs under their public names; equal names are allowed."""
+        names = [name for _, name in self.outputs]
+        return (frame if self.plain else frame.select([col for col, _ in self.outputs])).toDF(*names)
 
 
 def shape(spec: QuerySpec, source: Source) -> Shape:
-    """Projection and grouping, each output under a hidden unique name."""
+    """Projection and grouping of a list query."""
     scope, frame = source.scope, source.frame
     joined = bool(spec.joins)
     selected = [] if spec.selects_all else [scope.resolve(text) for text in spec.select]
-    public = [(ref.expr, ref.qualified if joined else ref.name) for ref in selected]
-
-    cases = [(case_of(c, scope), c) for c in spec.case_expressions if c.alias.strip()]
-    functions = [f for f in spec.function_columns if f.column.strip() and f.alias.strip()]
-    row_cols = [(col, c.alias) for col, c in cases if col is not None and not c.aggregate_func]
-    row_cols += [(coalesce_of(f, scope), f.alias) for f in functions if f.func == "COALESCE"]
-    agg_cols = [(col, c.alias) for col, c in cases if col is not None and c.aggregate_func]
-    agg_cols += [(aggregate_of(f.func, f.column, scope), f.alias) for f in functions if f.func != "COALESCE"]
-    agg_cols += [
-        (aggregate_of(a.func, a.column, scope), a.alias or f"{a.func}({a.column})") for a in spec.aggregates
-    ]
-    order = [c.alias for col, c in cases if col is not None] + [f.alias for f in functions]
-    order += [a.alias or f"{a.func}({a.column})" for a in spec.aggregates]
-
-    if agg_cols or spec.group_by:
-        keys = [scope.resolve(text) for text in spec.group_by]
+    cases = [(case_of(c, scope), c.alias, bool(c.aggregate_func)) for c in spec.case_expressions if c.alias.strip()]
+    computed = [case for case in cases if case[0] is not None]
+    for f in spec.function_columns:
+        if f.column.strip() and f.alias.strip():
+            col = coalesce_of(f, scope) if f.func == "COALESCE" else aggregate_of(f.func, f.column, scope)
+            computed.append((col, f.alias, f.func != "COALESCE"))
+    for a in spec.aggregates:
+        computed.append((aggregate_of(a.func, a.column, scope), a.alias or f"{a.func}({a.column})", True))
+
+    if spec.group_by or any(grouped for _, _, grouped in computed):
         named = {ref.qualified for ref in selected}
-        public = [(k.expr, k.qualified if joined else k.name) for k in keys if k.qualified not in named] + public
-        grouped = public + row_cols
-        frame = _group(frame, grouped, agg_cols)
-        names = [name for _, name in grouped + agg_cols]
+        keys = [ref for ref in map(scope.resolve, spec.group_by) if ref.qualified not in named] + selected
+        return _grouped(spec, scope, frame, keys, computed, joined)
+
+    if spec.selects_all:
+        outputs = [(ref.expr, ref.name) for ref in scope.all_columns()]
+    else:
+        outputs = [(ref.expr, _public(ref, joined)) for ref in selected]
+    aliases = {alias: col for col, alias, _ in computed}
+    outputs += [(col, alias) for col, alias, _ in computed]
+    sorts = []
+    for s in spec.sort:
+        ref = _find(scope, s.column, aliases)
+        sorts.append((aliases[s.column.strip()] if ref is None else ref.expr, s.direction))
+    return Shape(frame, outputs, sorts, plain=spec.selects_all and not computed)
+
+
+def _grouped(
+    spec: QuerySpec,
+    scope: Scope,
+    frame: DataFrame,
+    keys: list[Ref],
+    computed: list[tuple[Column, str, bool]],
+    joined: bool,
+) -> Shape:
+    """Group by the key columns and by computed columns that are not aggregates."""
+    groups = [ref.expr.alias(f"__key_{i}") for i, ref in enumerate(keys)]
+    groups += [col.alias(f"__computed_{i}") for i, (col, _, agg) in enumerate(computed) if not agg]
+    totals = [col.alias(f"__computed_{i}") for i, (col, _, agg) in enumerate(computed) if agg]
+    if not totals:
+        frame = frame.select(groups).distinct()
     else:
-        if spec.selects_all:
-            public = [(ref.expr, ref.name) for ref in scope.all_columns()]
-        names = [name for _, name in public + row_cols]
-        hidden = [col.alias(f"__out_{i}") for i, (col, _) in enumerate(public + row_cols)]
-        frame = frame.select("*", *hidden)
-
-    positions = {name: f"__out_{i}" for i, name in enumerate(names)}
-    outputs = [(f"__out_{i}", name) for i, name in enumerate(names[: len(public)])]
-    outputs += [(positions[name], name) for name in order]
-    sorts = [(_sort_column(s.column, scope, frame, positions, joined), s.direction) for s in spec.sort]
+        frame = frame.groupBy(*groups).agg(*totals) if groups else frame.agg(*totals)
+    key_columns = {ref.qualified: column(f"__key_{i}") for i, ref in enumerate(keys)}
+    aliases = {alias: column(f"__computed_{i}") for i, (_, alias, _) in enumerate(computed)}
+    outputs = [(key_columns[ref.qualified], _public(ref, joined)) for ref in keys]
+    outputs += [(aliases[alias], alias) for _, alias, _ in computed]
+    sorts = []
+    for s in spec.sort:
+        ref = _find(scope, s.column, aliases)
+        found = key_columns.get(ref.qualified) if ref is not None else None
+        found = aliases.get(s.column.strip()) if found is None else found
+        if found is None:
+            raise SpecError(f"Sort column {s.column!r} is neither grouped nor computed.")
+        sorts.append((found, s.direction))
     return Shape(frame, outputs, sorts)
 
 
-def _group(
-    frame: DataFrame, keys: list[tuple[Column, str]], aggregates: list[tuple[Column, str]]
-) -> DataFrame:
-    groups = [col.alias(f"__out_{i}") for i, (col, _) in enumerate(keys)]
-    totals = [col.alias(f"__out_{len(keys) + i}") for i, (col, _) in enumerate(aggregates)]
-    if not aggregates:
-        return frame.select(groups).distinct()
-    return frame.groupBy(*groups).agg(*totals) if groups else frame.agg(*totals)
+def _public(ref: Ref, joined: bool) -> str:
+    return ref.qualified if joined else ref.name
 
 
-def _sort_column(
-    text: str, scope: Scope, frame: DataFrame, positions: dict[str, str], joined: bool
-) -> Column:
-    """A sort key: a column of the tables, a grouping key, or failing those an output alias."""
+def _find(scope: Scope, text: str, aliases: dict[str, Column]) -> Ref | None:
+    """The table column a sort names, or None when it can only be an output alias."""
     try:
-        ref = scope.resolve(text)
+        return scope.resolve(text)
     except SpecError:
-        if text.strip() not in positions:
-            raise
-        return column(positions[text.strip()])
-    if ref.qualified in frame.columns:
-        return ref.expr
-    for name in (ref.qualified if joined else ref.name, text.strip()):
-        if name in positions:
-            return column(positions[name])
-    raise SpecError(f"Sort column {text!r} is neither grouped nor computed.")
+        if text.strip() in aliases:
+            return None
+        raise
 
 
 def build_list(spec: QuerySpec, tables: Tables) -> DataFrame:

@@ -72,7 +72,7 @@ class Scope:
                 raise SpecError(f"Table {reference!r} has the column {field.name!r} more than once.")
             known[field.name.lower()] = (field.name, field.dataType)
         self._columns[reference] = known
-        return df.select([column(f.name).alias(f"{reference}.{f.name}") for f in df.schema.fields])
+        return df.toDF(*[f"{reference}.{f.name}" for f in df.schema.fields])
 
     def columns_of(self, reference: str) -> list[Ref]:
         return [self._ref(reference, name, dtype) for name, dtype in self._columns[reference].values()]

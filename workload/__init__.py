@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,9 +19,19 @@ class Case:
     sql: str | None = None
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table_reader(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:
-    """Tables of a data folder by name."""
-    return lambda name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """Tables of a data folder by name. A table's schema is inferred once, as a catalog would."""
+
+    def read(name: str) -> DataFrame:
+        path = f"{folder.rstrip('/')}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = spark.read.parquet(path).schema
+        return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+    return read
 
 
 def all_cases() -> dict[str, Case]:
