@@ -25,10 +25,9 @@ def clean_sql(text: str) -> str:
     """One statement, without helper comment, typographic quotes, control characters or ';'."""
     comment = HELPER_COMMENT.match(text)
     body = text[comment.end():] if comment else text
-    body = UNPRINTABLE.sub(" ", body.translate(SMART_CHARACTERS)).strip()
+    body = UNPRINTABLE.sub(" ", body.translate(SMART_CHARACTERS)).strip().removesuffix(";").rstrip()
     if not body:
         raise SpecError("SQL cannot be empty.")
-    body = body.removesuffix(";").rstrip()
     if ";" in body:
         raise SpecError("Only one SQL statement can be run at a time.")
     if len(body) > MAX_SQL_CHARS:

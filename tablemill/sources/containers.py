@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from itertools import chain, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tablemill.errors import SpecError
@@ -127,6 +128,11 @@ def list_items(spark: SparkSession, files: list[InputFile]) -> list[Item]:
     return sorted(items, key=lambda item: (item.path, item.member, item.number))
 
 
+def padded(row: list[str | None], width: int) -> list[str | None]:
+    """A record cut or filled to its header's width."""
+    return row[:width] + [None] * (width - len(row))
+
+
 def read_items(spark: SparkSession, items: list[Item], header: bool = True) -> DataFrame:
     """Rows of the listed tables as text, united by column name, behind two provenance columns."""
     if not items:
@@ -141,26 +147,25 @@ def read_items(spark: SparkSession, items: list[Item], header: bool = True) -> D
             columns.setdefault(name.lower(), name)
     order = list(columns.values())
 
-    def batches_of(item_names: list[str], rows: Iterator[list[str | None]]) -> Iterator[pd.DataFrame]:
-        width = len(item_names)
-        targets = [columns[name.lower()] for name in item_names]
-        while chunk := list(islice(rows, BATCH_ROWS)):
-            cells = [(list(row) + [None] * width)[:width] for row in chunk]
-            frame = pd.DataFrame(cells, columns=targets, dtype=object).reindex(columns=order)
-            yield frame.where(frame.notna() & (frame != ""), None)
+    def batch_of(label: str, sheet: str, names: list[str], rows: list[list[str | None]]) -> pa.RecordBatch:
+        """Rows of one table in the united columns; blank cells are null."""
+        cells = dict(zip((columns[n.lower()] for n in names), zip(*rows)))
+        known = {name: [v or None for v in cells[name]] for name in order if name in cells}
+        arrays = [pa.array([text] * len(rows), pa.string()) for text in (label, sheet)]
+        arrays += [pa.array(known.get(name, [None] * len(rows)), pa.string()) for name in order]
+        return pa.RecordBatch.from_arrays(arrays, [SOURCE_FILE, SOURCE_SHEET, *order])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, member, number in zip(batch["path"], batch["member"], batch["number"]):
-                tables = open_tables(path, None if member < 0 else int(member))
-                _, label, sheet, start = next(islice(tables, int(number), None))
+            for place in batch.to_pylist():
+                tables = open_tables(place["path"], None if place["member"] < 0 else place["member"])
+                _, label, sheet, start = next(islice(tables, place["number"], None))
                 rows = iter(start())
                 first = next(rows)
-                body = rows if header else chain([first], rows)
-                for frame in batches_of(names_of(tuple(c or "" for c in first)), body):
-                    frame.insert(0, SOURCE_SHEET, sheet)
-                    frame.insert(0, SOURCE_FILE, label)
-                    yield frame
+                names = names_of(tuple(c or "" for c in first))
+                body = (padded(row, len(names)) for row in (rows if header else chain([first], rows)))
+                while chunk := list(islice(body, BATCH_ROWS)):
+                    yield batch_of(label, sheet, names, chunk)
                 tables.close()
 
     quoted = ", ".join("`" + c.replace("`", "``") + "` string" for c in [SOURCE_FILE, SOURCE_SHEET, *order])
@@ -168,7 +173,7 @@ def read_items(spark: SparkSession, items: list[Item], header: bool = True) -> D
     listed = spark.createDataFrame(
         [(i.path, i.member, i.number) for i in items], "path string, member int, number int"
     )
-    return listed.repartition(parts).mapInPandas(read, quoted)
+    return listed.repartition(parts).mapInArrow(read, quoted)
 
 
 def read_zip(spark: SparkSession, source: str | list[str]) -> DataFrame:
