@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,32 +20,35 @@ def ordering(col: Column, direction: str) -> Column:
 def page(df: DataFrame, limit: int, offset: int) -> DataFrame:
     """Rows ``offset`` to ``offset + limit``; a limit of 0 means all the rest."""
     if offset and (not limit or offset > DEEP_OFFSET):
-        df = skip_rows(df, offset)
-    elif offset:
+        return cut_rows(df, offset, limit)
+    if offset:
         df = df.offset(offset)
     return df.limit(limit) if limit else df
 
 
-def skip_rows(df: DataFrame, n: int) -> DataFrame:
-    """Drop the first ``n`` rows while leaving the rest where they are.
+def cut_rows(df: DataFrame, offset: int, limit: int = 0) -> DataFrame:
+    """Rows by their position, each kept in the partition it is in.
 
-    The rows are checkpointed in their order, only one count per partition comes to the
-    driver, and each partition then drops its own share.
+    The rows are checkpointed in their order and only one count per partition comes to the
+    driver. From the counts follows which partitions lie inside the page, and which part of
+    the first and the last one does.
     """
     shared_dir(df.sparkSession)
-    fixed = df.checkpoint()
-    numbered = fixed.withColumn("__row", F.monotonically_increasing_id())
+    numbered = df.checkpoint().withColumn("__row", F.monotonically_increasing_id())
+    # The id holds the partition number above bit 33 and the row number below it.
     part, row = F.shiftright("__row", 33), F.col("__row").bitwiseAND((1 << 33) - 1)
-    counts = {
-        r["part"]: r["count"] for r in numbered.groupBy(part.alias("part")).count().collect()
-    }
-    if not counts:
-        return fixed
-    parts = sorted(counts)
-    starts = [0, *accumulate(counts[p] for p in parts)]
-    cut = next((i for i, end in enumerate(starts[1:]) if end > n), None)
-    if cut is None:
-        return fixed.limit(0)
-    first = parts[cut]
-    keep = (part > first) | ((part == first) & (row >= n - starts[cut]))
+    counts = {r["part"]: r["count"] for r in numbered.groupBy(part.alias("part")).count().collect()}
+    keep = F.lit(False)
+    inside: list[int] = []
+    end, first = offset + limit, 0
+    for number in sorted(counts):
+        last = first + counts[number]
+        low, high = max(offset, first), min(end, last) if limit else last
+        if low == first and high == last:
+            inside.append(number)
+        elif low < high:
+            keep = keep | ((part == number) & (row >= low - first) & (row < high - first))
+        first = last
+    if inside:
+        keep = keep | part.between(inside[0], inside[-1])
     return numbered.filter(keep).drop("__row")

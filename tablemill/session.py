@@ -33,13 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     A local session that names none gets a scratch folder of its own. A cluster session
     that names none is refused: a machine-local folder would be invisible to other hosts.
     """
-    folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise SpecError(f"Set {CHECKPOINT_SETTING} to a folder that all executors share.")
-    folder = tempfile.mkdtemp(prefix="tablemill-")
-    spark.sparkContext.setCheckpointDir(folder)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise SpecError(f"Set {CHECKPOINT_SETTING} to a folder that all executors share.")
+        folder = tempfile.mkdtemp(prefix="tablemill-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
 
 

@@ -13,6 +13,7 @@ from tablemill.plans.spec import NAME_RULE
 from tablemill.sources.containers import read_xlsx
 from tablemill.sources.delimited import read_csv, read_csv_set, read_tsv, with_headers
 from tablemill.sources.files import resolve_inputs
+from tablemill.sources.heads import DETECT
 from tablemill.sources.parquet import read_parquet_set
 
 KINDS = ("TABLE", "VIEW")
@@ -97,7 +98,7 @@ def read_source(
     elif len(files) == 1:
         df = read_tsv(spark, source, header) if ending == "tsv" else read_csv(spark, source, header)
     else:
-        df = read_csv_set(spark, files, header, "\t" if ending == "tsv" else ",", infer=True)
+        df = read_csv_set(spark, files, header, "\t" if ending == "tsv" else DETECT, infer=True)
     return with_headers(df, names) if names else df
 
 

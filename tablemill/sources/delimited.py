@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +14,7 @@ from tablemill.errors import SpecError
 from tablemill.functions.inference import infer_types
 from tablemill.plans.scope import column
 from tablemill.sources.files import InputFile, as_files
-from tablemill.sources.heads import delimiters, head_rows, unique_headers
+from tablemill.sources.heads import COMMA_FIRST, DETECT, heads, unique_headers
 
 SPLIT_SETTING = "spark.sql.files.maxPartitionBytes"
 # Texts that count as missing in uploaded sheets.
@@ -28,7 +28,7 @@ def read_csv(
     spark: SparkSession,
     source: str | list[str],
     header: bool = True,
-    sep: str = ",",
+    sep: str = DETECT,
     schema: StructType | None = None,
     infer: bool = True,
     sampling: float | None = None,
@@ -50,7 +50,7 @@ def read_csv_set(
     spark: SparkSession,
     source: str | list[str] | list[InputFile],
     header: bool = True,
-    sep: str = ",",
+    sep: str = DETECT,
     filename: bool = True,
     infer: bool = False,
     schema: StructType | None = None,
@@ -65,24 +65,16 @@ def read_csv_set(
     groups = scan_groups(spark, files, header, sep)
     if not groups:
         raise SpecError("The input files hold no rows and no headers.")
-    parts = [scan(spark, names, paths, multi, header, sep, filename, schema) for (names, multi), paths in groups]
-    df = union_by_name(parts)
+    df = union_by_name([scan(spark, group, header, filename, schema) for group in groups])
     return infer_types(df, keep=("filename",) if filename else ()) if infer else df
 
 
 def read_csv_lenient(spark: SparkSession, source: str | list[str], filename: bool = True) -> DataFrame:
-    """Text scan of files whose delimiters may differ; each file's own is detected.
+    """Text scan that reads commas, and detects the delimiter of files where that fails.
 
     Undecodable bytes become replacement characters.
     """
-    files = as_files(source)
-    by_mark: dict[str, list[InputFile]] = defaultdict(list)
-    marks = delimiters(spark, files)
-    for f in files:
-        by_mark[marks[f.path]].append(f)
-    return union_by_name([
-        read_csv_set(spark, members, sep=mark, filename=filename) for mark, members in by_mark.items()
-    ])
+    return read_csv_set(spark, source, sep=COMMA_FIRST, filename=filename)
 
 
 def union_by_name(parts: Iterable[DataFrame]) -> DataFrame:
@@ -108,22 +100,32 @@ def with_headers(df: DataFrame, names: list[str]) -> DataFrame:
     return df.toDF(*names)
 
 
-def scan_groups(
-    spark: SparkSession, files: list[InputFile], header: bool, sep: str
-) -> list[tuple[tuple[tuple[str, ...], bool], list[str]]]:
-    """Files that can be read by one scan: same header, same record reader.
+@dataclass
+class ScanGroup:
+    """Files that one scan can read: same header, delimiter and record reader."""
 
-    Files without any record are left out.
-    """
-    first = {row["path"]: tuple(row["cells"]) for row in head_rows(spark, files, 1, sep).toLocalIterator()}
+    names: tuple[str, ...]
+    sep: str
+    multi_line: bool
+    paths: list[str]
+
+
+def scan_groups(spark: SparkSession, files: list[InputFile], header: bool = True, sep: str = DETECT) -> list[ScanGroup]:
+    """Group files by how they have to be read. Files without any record are left out."""
+    shared: dict[tuple[str, ...], tuple[str, ...]] = {}
+    first: dict[str, tuple[str, tuple[str, ...]]] = {}
+    for row in heads(spark, files, sep).toLocalIterator():
+        cells = tuple(row["cells"])
+        first[row["path"]] = row["mark"], shared.setdefault(cells, cells)
     multi = _multi_line(spark, [f for f in files if f.path in first])
-    groups: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
+    groups: dict[object, ScanGroup] = {}
     for f in files:
         if f.path in first:
-            cells = first[f.path]
-            names = unique_headers(cells) if header else [f"column{i}" for i in range(len(cells))]
-            groups[tuple(names), f.path in multi].append(f.path)
-    return list(groups.items())
+            mark, cells = first[f.path]
+            names = tuple(unique_headers(cells) if header else (f"column{i}" for i in range(len(cells))))
+            key = names, mark, f.path in multi
+            groups.setdefault(key, ScanGroup(*key, [])).paths.append(f.path)
+    return list(groups.values())
 
 
 def _multi_line(spark: SparkSession, files: list[InputFile]) -> set[str]:
@@ -157,28 +159,23 @@ def file_label() -> Column:
 
 
 def scan(
-    spark: SparkSession,
-    names: tuple[str, ...],
-    paths: list[str],
-    multi: bool,
-    header: bool,
-    sep: str,
-    filename: bool,
-    schema: StructType | None,
+    spark: SparkSession, group: ScanGroup, header: bool = True, filename: bool = True, schema: StructType | None = None
 ) -> DataFrame:
+    """Read one group of files, as text unless ``schema`` types a column."""
+    names = group.names
     wanted = {f.name.lower(): f for f in schema.fields} if schema is not None else {}
     fields = [StructField(n, wanted[n.lower()].dataType if n.lower() in wanted else StringType()) for n in names]
     reader = (
         spark.read.schema(StructType(fields))
         .option("header", header)
-        .option("sep", sep)
+        .option("sep", group.sep)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", multi)
+        .option("multiLine", group.multi_line)
         .option("enforceSchema", True)
         .option("maxCharsPerColumn", -1)
         .option("maxColumns", max(20480, len(names)))
         .option("mode", "PERMISSIVE")
     )
-    df = reader.csv(paths)
+    df = reader.csv(group.paths)
     return df.select("*", file_label().alias("filename")) if filename else df

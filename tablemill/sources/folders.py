@@ -24,7 +24,7 @@ from tablemill.sources.containers import (
 from tablemill.sources.delimited import blank_missing, scan, scan_groups, union_by_name
 from tablemill.sources.exports import write_csv
 from tablemill.sources.files import InputFile, as_files, clean_path, is_folder, list_files
-from tablemill.sources.heads import path_frame, unique_headers
+from tablemill.sources.heads import COMMA_FIRST, path_frame, unique_headers
 
 # Rows looked at and samples kept per column when columns are detected.
 DETECT_ROWS = 100
@@ -64,24 +64,24 @@ def merge_frame(spark: SparkSession, folder: str, recursive: bool = True) -> Mer
     files = folder_files(folder, recursive)
     plain = [f for f in files if f.name.lower().endswith((".csv", ".csv.gz"))]
     boxed = [f for f in files if f not in plain]
-    groups = scan_groups(spark, plain, True, ",") if plain else []
+    groups = scan_groups(spark, plain, sep=COMMA_FIRST) if plain else []
     items = list_items(spark, boxed) if boxed else []
     if not groups and not items:
         raise SpecError("No readable data was found in the folder.")
 
     parts = []
-    for (names, multi), paths in groups:
-        rows = scan(spark, names, paths, multi, True, ",", True, None).withColumnRenamed("filename", "__path")
+    for group in groups:
+        rows = scan(spark, group).withColumnRenamed("filename", "__path")
         name = F.element_at(F.split("__path", "/"), -1)
         inner = F.when(F.lower(name).endswith(".gz"), F.concat(name, F.lit("::"), F.substring(name, F.lit(1), F.length(name) - 3)))
         parts.append(rows.select(
             F.coalesce(inner, name).alias(SOURCE_FILE), F.lit(DEFAULT_SHEET).alias(SOURCE_SHEET),
-            *[column(n) for n in names],
+            *[column(n) for n in group.names],
         ))
     if items:
         parts.append(read_items(spark, items))
 
-    headers = [(path, -1, 0, names) for (names, _), paths in groups for path in paths]
+    headers = [(path, -1, 0, group.names) for group in groups for path in group.paths]
     headers += [(i.path, i.member, i.number, unique_headers(i.header)) for i in items]
     order: dict[str, str] = {}
     for *_, names in sorted(headers, key=lambda h: h[:3]):

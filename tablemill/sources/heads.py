@@ -16,9 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablemill.sources.files import InputFile, file_system
 
-HEAD_SCHEMA = "path string, row int, cells array<string>"
+HEAD_SCHEMA = "path string, mark string, cells array<string>"
+SAMPLE_BYTES = 65536
 # Delimiters tried when a file's own is not known.
-DELIMITERS = ",;\t|"
+DELIMITERS = (",", ";", "\t", "|")
+# How a file's delimiter is found: judged from its first lines, or a comma unless that fails.
+DETECT = "detect"
+COMMA_FIRST = "comma first"
 
 
 def path_frame(spark: SparkSession, files: Iterable[InputFile]) -> DataFrame:
@@ -46,44 +50,49 @@ def text_rows(stream, delimiter: str) -> Iterator[list[str]]:
     return (row for row in csv.reader(lines, delimiter=delimiter) if row)
 
 
-def sniff(sample: str) -> str:
-    """The delimiter that splits the first lines most evenly; a comma if none does."""
-    lines = [line for line in sample.splitlines() if line.strip()][:20]
-    best, best_score = ",", 0
-    for mark in DELIMITERS:
-        counts = [line.count(mark) for line in lines]
-        if counts and min(counts) == max(counts) and counts[0] > best_score:
-            best, best_score = mark, counts[0]
-    return best
+def sniff(sample: str, prefer: str | None = None) -> str:
+    """The delimiter that cuts the first lines into equal and most numerous cells.
 
+    ``prefer`` is taken as long as no line has more cells than the first one.
+    """
+    widths = {mark: _widths(sample, mark) for mark in DELIMITERS}
+    if prefer and max(widths[prefer], default=0) <= (widths[prefer] or [0])[0]:
+        return prefer
+    even = [mark for mark in DELIMITERS if widths[mark] and min(widths[mark]) == max(widths[mark]) > 1]
+    return max(even, key=lambda mark: widths[mark][0], default=",")
 
-def head_rows(spark: SparkSession, files: Iterable[InputFile], count: int, delimiter: str = ",") -> DataFrame:
-    """The first ``count`` records of every file: path, record number, cells."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path in batch["path"]:
-                with open_binary(path) as stream:
-                    rows = [row for _, row in zip(range(count), text_rows(stream, delimiter))]
-                if rows:
-                    yield pd.DataFrame({"path": path, "row": range(len(rows)), "cells": rows})
+def _widths(sample: str, mark: str) -> list[int]:
+    return [len(row) for row in csv.reader(io.StringIO(sample, newline=""), delimiter=mark) if row][:20]
 
-    return path_frame(spark, files).mapInPandas(read, HEAD_SCHEMA)
 
+def heads(spark: SparkSession, files: Iterable[InputFile], sep: str) -> DataFrame:
+    """Delimiter and first record of every file that has one: path, mark, cells.
+
+    ``sep`` is a delimiter, ``DETECT`` or ``COMMA_FIRST``.
+    """
 
-def delimiters(spark: SparkSession, files: Iterable[InputFile]) -> dict[str, str]:
-    """The delimiter of every file, judged from its first lines."""
+    def delimiter(path: str) -> str:
+        if sep not in (DETECT, COMMA_FIRST):
+            return sep
+        with open_binary(path) as stream:
+            data = stream.read(SAMPLE_BYTES)
+        if len(data) == SAMPLE_BYTES:
+            data = data[: data.rfind(b"\n") + 1] or data
+        return sniff(data.decode("utf-8-sig", errors="replace"), "," if sep == COMMA_FIRST else None)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            marks = []
+            found = []
             for path in batch["path"]:
+                mark = delimiter(path)
                 with open_binary(path) as stream:
-                    marks.append(sniff(stream.read(65536).decode("utf-8-sig", errors="replace").rpartition("\n")[0]))
-            yield pd.DataFrame({"path": batch["path"], "mark": marks})
+                    first = next(text_rows(stream, mark), None)
+                if first:
+                    found.append((path, mark, first))
+            yield pd.DataFrame(found, columns=["path", "mark", "cells"])
 
-    frame = path_frame(spark, files).mapInPandas(read, "path string, mark string")
-    return {row["path"]: row["mark"] for row in frame.toLocalIterator()}
+    return path_frame(spark, files).mapInPandas(read, HEAD_SCHEMA)
 
 
 def unique_headers(names: Iterable[str | None]) -> list[str]:

@@ -41,7 +41,7 @@ def import_csv(
     a value that does not fit is an error. Rows are counted while they are written.
     """
     name = check_name(table)
-    df = blank_missing(read_csv(spark, source, infer=False))
+    df = blank_missing(read_csv(spark, source, sep=",", infer=False))
     df = df.drop(*[m.csv_column for m in mapping if m.skip])
     df = df.withColumnsRenamed({m.csv_column: m.db_column for m in mapping if not m.skip})
     seen = Observation()

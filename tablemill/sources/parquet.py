@@ -111,13 +111,12 @@ def csv_to_parquet(
         output = output.rpartition("/")[0]
     done = existing_sources(output)
     waiting = [f for f in files if (not single or not done) and target_name(f.relative) not in done]
-    groups = scan_groups(spark, waiting, True, ",") if waiting else []
-    read = {path for _, paths in groups for path in paths}
+    groups = scan_groups(spark, waiting) if waiting else []
+    read = {path for group in groups for path in group.paths}
     skipped = len(files) - len(read)
     if not groups:
         return Converted(output, len(files), skipped, 0)
-    parts = [scan(spark, names, paths, multi, True, ",", True, None) for (names, multi), paths in groups]
-    rows = union_by_name(parts)
+    rows = union_by_name([scan(spark, group) for group in groups])
     if typed:
         rows = infer_types(rows, keep=("filename",))
     if transform is not None:

@@ -151,6 +151,11 @@ def test_deep_offset_is_cut_in_place(spark, monkeypatch):
     tables = {"n": spark.range(0, 500, 1, 9).withColumnRenamed("id", "v")}
     deep = build(QuerySpec(table="n", sort=(Sort("v"),), limit_rows=5, offset=321), tables)
     assert [r[0] for r in deep.collect()] == [321, 322, 323, 324, 325]
+    # The page is exact whatever is done with it, not only when it is collected in order.
+    assert sorted(r[0] for r in deep.repartition(3).collect()) == [321, 322, 323, 324, 325]
+    wide = build(QuerySpec(table="n", sort=(Sort("v", "DESC"),), limit_rows=300, offset=51), tables)
+    assert [r[0] for r in wide.collect()] == list(range(448, 148, -1))
+    assert build(QuerySpec(table="n", sort=(Sort("v"),), limit_rows=300, offset=450), tables).count() == 50
 
 
 def test_page_counts(tables):

@@ -114,11 +114,15 @@ def test_quoted_line_breaks_in_small_and_large_files(spark, tmp_path):
 
 
 def test_delimiters_are_detected_per_file(spark, tmp_path, rows):
-    put(tmp_path / "a.csv", "id;name\n1;x,y\n")
+    put(tmp_path / "a.csv", 'id;name\n1;"x;,y"\n')
     put(tmp_path / "b.csv", "id|name\n2|z\n")
     put(tmp_path / "c.csv", b"id,name\n3,\xff\n")
-    assert rows(read_csv_lenient(spark, f"{tmp_path}/*.csv", filename=False)) == [("1", "x,y"), ("2", "z"), ("3", "\ufffd")]
-    assert sniff("a\nb\n") == ","
+    assert rows(read_csv_set(spark, f"{tmp_path}/*.csv", filename=False)) == [("1", "x;,y"), ("2", "z"), ("3", "\ufffd")]
+    # Commas are kept unless some line has too many of them.
+    lenient = read_csv_lenient(spark, f"{tmp_path}/*.csv", filename=False)
+    assert lenient.columns == ["id", "name", "id|name"] and lenient.count() == 3
+    assert sniff("a\nb\n") == "," and sniff("a,b;c\n1,2;3\n") == "," and sniff("a;b;c\n1,5;2;3\n") == ";"
+    assert sniff("", ",") == ","
 
 
 def test_missing_words(spark, rows):
