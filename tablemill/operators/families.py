@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,7 +15,7 @@ from tablemill.operators.paging import ordering
 from tablemill.operators.reports import lay_out, long_report
 from tablemill.plans.compile import build, build_list, count_rows, open_source, shape
 from tablemill.plans.scope import Tables, column, lookup_table
-from tablemill.plans.spec import NAME_RULE, QuerySpec
+from tablemill.plans.spec import NAME_RULE, QuerySpec, decode
 from tablemill.plans.sql import clean_sql
 
 # Region codes, table naming and placeholders of a family.
@@ -55,6 +55,10 @@ class Family:
         object.__setattr__(self, "regions", regions)
         object.__setattr__(self, "base_region", base if base in regions else regions[0])
 
+    @classmethod
+    def from_dict(cls, payload: Mapping[str, object]) -> Family:
+        return decode(cls, payload)
+
     @property
     def members(self) -> tuple[str, ...]:
         """Regions actually read."""

@@ -156,8 +156,11 @@ def build(spec: QuerySpec, tables: Tables) -> DataFrame:
     if spec.execution_mode == "sql":
         from tablemill.plans.sql import run_sql
 
+        from tablemill.operators.totals import with_grand_total
+
         session = tables if isinstance(tables, SparkSession) else SparkSession.active()
-        return run_sql(session, spec.sql or "")
+        result = run_sql(session, spec.sql or "")
+        return with_grand_total(result) if spec.mode == "REPORT" and spec.add_grand_total else result
     if spec.mode == "REPORT":
         from tablemill.operators.reports import report
 

@@ -7,10 +7,11 @@ into a lazy DataFrame.
 
 from __future__ import annotations
 
+import itertools
 import re
 import types
 import typing
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, fields, is_dataclass, replace
 from typing import Any
 
@@ -206,10 +207,22 @@ class QuerySpec:
     @classmethod
     def from_dict(cls, payload: Mapping[str, Any]) -> QuerySpec:
         """Build a specification from nested dicts and lists, as decoded from JSON."""
-        return _decode(cls, payload)
+        return decode(cls, payload)
 
 
-def _decode(kind: type, payload: Mapping[str, Any]) -> Any:
+def suggest_alias(table: str, taken: Iterable[str]) -> str:
+    """A free join alias for a table: its last name part, numbered from 2 if it is taken."""
+    base = re.sub(r"[^A-Za-z0-9_]", "_", table.strip().rpartition(".")[2])
+    if base and not NAME_RULE.fullmatch(base):
+        base = f"j_{base}"
+    base = base or "join_ref"
+    used = set(taken)
+    names = itertools.chain([base], (f"{base}_{n}" for n in itertools.count(2)))
+    return next(name for name in names if name not in used)
+
+
+def decode(kind: type, payload: Mapping[str, Any]) -> Any:
+    """A dataclass from a mapping with its field names; unknown names are refused."""
     hints = typing.get_type_hints(kind)
     known = {f.name for f in fields(kind)}
     unknown = set(payload) - known
@@ -227,5 +240,5 @@ def _decode_value(hint: Any, value: Any) -> Any:
     if typing.get_origin(hint) is tuple and value is not None:
         return tuple(_decode_value(typing.get_args(hint)[0], v) for v in value)
     if is_dataclass(hint) and isinstance(value, Mapping):
-        return _decode(hint, value)
+        return decode(hint, value)
     return value

@@ -14,7 +14,7 @@ from tablemill.errors import SpecError
 from tablemill.functions.inference import infer_types
 from tablemill.plans.scope import column
 from tablemill.sources.files import InputFile, as_files
-from tablemill.sources.heads import COMMA_FIRST, DETECT, heads, unique_headers
+from tablemill.sources.heads import DETECT, heads, unique_headers
 
 SPLIT_SETTING = "spark.sql.files.maxPartitionBytes"
 # Texts that count as missing in uploaded sheets.
@@ -69,12 +69,15 @@ def read_csv_set(
     return infer_types(df, keep=("filename",) if filename else ()) if infer else df
 
 
-def read_csv_lenient(spark: SparkSession, source: str | list[str], filename: bool = True) -> DataFrame:
-    """Text scan that reads commas, and detects the delimiter of files where that fails.
+def read_csv_lenient(
+    spark: SparkSession, source: str | list[str], filename: bool = True, sep: str = DETECT
+) -> DataFrame:
+    """Text scan of files whose delimiters may differ and whose bytes may not all decode.
 
+    With ``COMMA_FIRST`` commas are kept unless a line has more cells than the header.
     Undecodable bytes become replacement characters.
     """
-    return read_csv_set(spark, source, sep=COMMA_FIRST, filename=filename)
+    return read_csv_set(spark, source, sep=sep, filename=filename)
 
 
 def union_by_name(parts: Iterable[DataFrame]) -> DataFrame:

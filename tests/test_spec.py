@@ -1,7 +1,8 @@
 import pytest
 
 from tablemill import Filter, Join, JoinKey, Pivot, QuerySpec, SpecError
-from tablemill.plans.spec import Branch, CaseColumn
+from tablemill.operators.families import Family
+from tablemill.plans.spec import Branch, CaseColumn, suggest_alias
 
 
 def test_from_nested_dicts():
@@ -47,3 +48,15 @@ def test_report_fields_are_trimmed():
     assert pivot.rows == ("a",) and pivot.columns == ("b",)
     with pytest.raises(SpecError):
         Pivot(" ", "SUM")
+
+
+def test_alias_suggestions():
+    assert suggest_alias("dev.usage view", []) == "usage_view"
+    assert suggest_alias("2024", ["j_2024", "j_2024_2"]) == "j_2024_3"
+    assert suggest_alias("", []) == "join_ref"
+
+
+def test_family_from_a_dict():
+    assert Family.from_dict({"month": "jan_2026", "regions": ["PVVNL", "pvvnl"]}).regions == ("PVVNL",)
+    with pytest.raises(SpecError):
+        Family.from_dict({"months": "jan_2026"})

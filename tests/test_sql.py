@@ -1,6 +1,6 @@
 import pytest
 
-from tablemill import SpecError, run_sql
+from tablemill import QuerySpec, SpecError, build, run_sql
 from tablemill.plans.sql import clean_sql, ensure_read_only
 
 
@@ -30,3 +30,9 @@ def test_writing_is_refused(text):
 def test_run(spark):
     df = spark.range(3)
     assert run_sql(spark, "SELECT max(id) AS m FROM {n};", read_only=True, n=df).collect() == [(2,)]
+
+
+def test_sql_report_gets_its_total(spark):
+    spec = QuerySpec(execution_mode="sql", sql="SELECT * FROM VALUES ('a', 1), ('b', 2) AS t(k, n)", mode="REPORT", add_grand_total=True)
+    assert [tuple(r) for r in build(spec, spark).collect()] == [("a", 1), ("b", 2), ("GRAND TOTAL", 3)]
+    assert build(spec.with_(mode="LIST"), spark).count() == 2
