@@ -15,14 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, islice
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tablemill.errors import SpecError
 from tablemill.functions.inference import infer_types
 from tablemill.sources.files import InputFile, as_files, file_system
-from tablemill.sources.heads import path_frame, text_rows, unique_headers
+from tablemill.sources.heads import path_frame, record_batch, text_rows, unique_headers
 from tablemill.sources.workbooks import Workbook
 
 # File endings with tables in them, old workbook formats, provenance columns.
@@ -110,9 +109,12 @@ def open_tables(path: str, only: int | None = None) -> Iterator[tuple[int, str,
 def list_items(spark: SparkSession, files: list[InputFile]) -> list[Item]:
     """Every table in the files with its header; tables without any record are left out."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = {"path": pa.string(), "member": pa.int32(), "number": pa.int32(), "label": pa.string(),
+               "sheet": pa.string(), "header": pa.list_(pa.string())}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch["path"]:
+            for path in batch.column("path").to_pylist():
                 found = []
                 numbers: dict[int, int] = {}
                 for member, label, sheet, start in open_tables(path):
@@ -120,11 +122,15 @@ def list_items(spark: SparkSession, files: list[InputFile]) -> list[Item]:
                     head = next(iter(start()), None)
                     if head:
                         found.append((path, member, numbers[member], label, sheet, [c or "" for c in head]))
-                yield pd.DataFrame(found, columns=["path", "member", "number", "label", "sheet", "header"])
+                yield record_batch(columns, found)
 
     schema = "path string, member int, number int, label string, sheet string, header array<string>"
-    rows = path_frame(spark, files).mapInPandas(read, schema).toLocalIterator()
-    items = [Item(r.path, r.member, r.number, r.label, r.sheet, tuple(r.header)) for r in rows]
+    rows = path_frame(spark, files).mapInArrow(read, schema).toLocalIterator()
+    shared: dict[tuple[str, ...], tuple[str, ...]] = {}
+    items = []
+    for r in rows:
+        header = tuple(r.header)
+        items.append(Item(r.path, r.member, r.number, r.label, r.sheet, shared.setdefault(header, header)))
     return sorted(items, key=lambda item: (item.path, item.member, item.number))
 
 

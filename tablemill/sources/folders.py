@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from tablemill.sources.containers import (
 from tablemill.sources.delimited import blank_missing, scan, scan_groups, union_by_name
 from tablemill.sources.exports import write_csv
 from tablemill.sources.files import InputFile, as_files, clean_path, is_folder, list_files
-from tablemill.sources.heads import COMMA_FIRST, path_frame, unique_headers
+from tablemill.sources.heads import COMMA_FIRST, path_frame, record_batch, unique_headers
 
 # Rows looked at and samples kept per column when columns are detected.
 DETECT_ROWS = 100
@@ -113,10 +113,13 @@ def detect_columns(spark: SparkSession, source: str | list[str]) -> DataFrame:
     source_sheet, position, sample_values.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = {"name": pa.string(), "source_file": pa.string(), "source_sheet": pa.string(), "position": pa.int32(),
+               "sample_values": pa.list_(pa.string())}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for path in batch["path"]:
+            for path in batch.column("path").to_pylist():
                 for _, label, sheet, start in open_tables(path):
                     rows = iter(start())
                     names = unique_headers(next(rows, []))
@@ -124,10 +127,10 @@ def detect_columns(spark: SparkSession, source: str | list[str]) -> DataFrame:
                     for at, name in enumerate(names):
                         cells = (row[at] for row in body if at < len(row) and row[at] not in (None, ""))
                         found.append((name, label, sheet, at, list(islice(cells, DETECT_SAMPLES))))
-            yield pd.DataFrame(found, columns=["name", "source_file", "source_sheet", "position", "sample_values"])
+            yield record_batch(columns, found)
 
     schema = "name string, source_file string, source_sheet string, position int, sample_values array<string>"
-    return path_frame(spark, as_files(source)).mapInPandas(read, schema)
+    return path_frame(spark, as_files(source)).mapInArrow(read, schema)
 
 
 def conflicting_columns(detected: DataFrame) -> DataFrame:

@@ -11,12 +11,11 @@ import gzip
 import io
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tablemill.sources.files import InputFile, file_system
 
-HEAD_SCHEMA = "path string, mark string, cells array<string>"
 SAMPLE_BYTES = 65536
 # Delimiters tried when a file's own is not known.
 DELIMITERS = (",", ";", "\t", "|")
@@ -25,6 +24,13 @@ DETECT = "detect"
 COMMA_FIRST = "comma first"
 
 
+def record_batch(columns: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of a task's output as one Arrow batch."""
+    cells = zip(*rows) if rows else ([] for _ in columns)
+    arrays = [pa.array(list(values), kind) for values, kind in zip(cells, columns.values())]
+    return pa.RecordBatch.from_arrays(arrays, list(columns))
+
+
 def path_frame(spark: SparkSession, files: Iterable[InputFile]) -> DataFrame:
     """The file list as a frame, spread so that tasks hold about one file each."""
     rows = [(f.path, f.relative, f.size) for f in files]
@@ -81,18 +87,20 @@ def heads(spark: SparkSession, files: Iterable[InputFile], sep: str) -> DataFram
             data = data[: data.rfind(b"\n") + 1] or data
         return sniff(data.decode("utf-8-sig", errors="replace"), "," if sep == COMMA_FIRST else None)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = {"path": pa.string(), "mark": pa.string(), "cells": pa.list_(pa.string())}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for path in batch["path"]:
+            for path in batch.column("path").to_pylist():
                 mark = delimiter(path)
                 with open_binary(path) as stream:
                     first = next(text_rows(stream, mark), None)
                 if first:
                     found.append((path, mark, first))
-            yield pd.DataFrame(found, columns=["path", "mark", "cells"])
+            yield record_batch(columns, found)
 
-    return path_frame(spark, files).mapInPandas(read, HEAD_SCHEMA)
+    return path_frame(spark, files).mapInArrow(read, "path string, mark string, cells array<string>")
 
 
 def unique_headers(names: Iterable[str | None]) -> list[str]:
