@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType
 from tablemill.plans.scope import column
 
 # Types tried for a text column, narrowest first, with the shape that text of
-# the type must have. Numbers with leading zeros or type letters stay as they are written.
+# the type must have.
 CANDIDATES = (
     ("boolean", r"(?i)^(true|false)$"),
     ("bigint", r"^[+-]?\d{1,19}$"),

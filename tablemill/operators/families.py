@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.errors import SpecError
-from tablemill.operators.paging import ordering
+from tablemill.operators.paging import ordering, sort_rows
 from tablemill.operators.reports import lay_out, long_report
 from tablemill.plans.compile import build, build_list, count_rows, open_source, shape
 from tablemill.plans.scope import Tables, column, lookup_table
@@ -23,6 +23,8 @@ REGION_CODES = ("DVVNL", "PVVNL", "PUVNL", "MVVNL", "KESCO")
 TABLE_STEM = "CM_master_data_"
 TABLE_PLACEHOLDER = "{{MASTER_TABLE}}"
 REGION_PLACEHOLDER = "{{DISCOM}}"
+# Other names under which a JSON payload may carry the fields.
+FIELD_ALIASES = {"month_tag": "month", "discoms": "regions", "base_discom": "base_region"}
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ class Family:
 
     @classmethod
     def from_dict(cls, payload: Mapping[str, object]) -> Family:
-        return decode(cls, payload)
+        return decode(cls, {FIELD_ALIASES.get(name, name): value for name, value in payload.items()})
 
     @property
     def members(self) -> tuple[str, ...]:
@@ -143,7 +145,7 @@ def union_family(spec: QuerySpec, family: Family, tables: Tables) -> DataFrame:
     ]
     order = [ordering(column(f"__sort_{i}"), s.direction) for i, s in enumerate(spec.sort)]
     names = [name for _, name in shapes[0].outputs]
-    return _stack(keyed).orderBy(*order).select([f"__out_{i}" for i in range(len(names))]).toDF(*names)
+    return sort_rows(_stack(keyed), order).select([f"__out_{i}" for i in range(len(names))]).toDF(*names)
 
 
 def _stack(parts: Sequence[DataFrame]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,9 +83,13 @@ def lookup_enrich(
     Each lookup is written once after its duplicates are gone, so its true size decides
     how it is joined and no job reads the raw lookup twice.
     """
-    for key, lookup in lookup_tables(hierarchy, supply, order).items():
-        if key in df.columns:
-            df = lookup_join(df, materialize(lookup, "lookup"), key)
+    lookups = lookup_tables(hierarchy, supply, order)
+    keys = [key for key in lookups if key in df.columns]
+    # The writes are independent jobs, so they are submitted side by side.
+    with ThreadPoolExecutor(max(1, len(keys))) as pool:
+        written = list(pool.map(lambda key: materialize(lookups[key], "lookup"), keys))
+    for key, lookup in zip(keys, written):
+        df = lookup_join(df, lookup, key)
     return df
 
 

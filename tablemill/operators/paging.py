@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,18 @@ def ordering(col: Column, direction: str) -> Column:
     return col.asc_nulls_last() if direction == "ASC" else col.desc_nulls_last()
 
 
+def sort_rows(df: DataFrame, keys: Sequence[Column], limit: int = 0, offset: int = 0) -> DataFrame:
+    """Order rows by ``keys`` for the page that will be cut from them.
+
+    A page near the start is a top-k and needs no shuffle. A full sort is split into ranges
+    of the keys, and rows with equal keys cannot be split that way; a row number behind the
+    keys lets one frequent value be spread over many ranges.
+    """
+    if limit and offset <= DEEP_OFFSET:
+        return df.orderBy(*keys)
+    return df.withColumn("__spread", F.monotonically_increasing_id()).orderBy(*keys, "__spread").drop("__spread")
+
+
 def page(df: DataFrame, limit: int, offset: int) -> DataFrame:
     """Rows ``offset`` to ``offset + limit``; a limit of 0 means all the rest."""
     if offset and (not limit or offset > DEEP_OFFSET):

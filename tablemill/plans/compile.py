@@ -11,7 +11,7 @@ from tablemill.errors import SpecError
 from tablemill.operators.expressions import aggregate_of, case_of, coalesce_of
 from tablemill.operators.filters import check_operator, compile_filters
 from tablemill.operators.joins import equi_join
-from tablemill.operators.paging import ordering, page
+from tablemill.operators.paging import ordering, page, sort_rows
 from tablemill.plans.scope import Ref, Scope, Tables, column, lookup_table
 from tablemill.plans.spec import QuerySpec
 
@@ -147,7 +147,8 @@ def build_list(spec: QuerySpec, tables: Tables) -> DataFrame:
     shaped = shape(spec, open_source(spec, tables))
     frame = shaped.frame
     if shaped.sorts:
-        frame = frame.orderBy(*[ordering(key, direction) for key, direction in shaped.sorts])
+        keys = [ordering(key, direction) for key, direction in shaped.sorts]
+        frame = sort_rows(frame, keys, spec.limit_rows, spec.offset)
     return page(shaped.finish(frame), spec.limit_rows, spec.offset)
 
 

@@ -206,8 +206,11 @@ class QuerySpec:
 
     @classmethod
     def from_dict(cls, payload: Mapping[str, Any]) -> QuerySpec:
-        """Build a specification from nested dicts and lists, as decoded from JSON."""
-        return decode(cls, payload)
+        """Build a specification from nested dicts and lists, as decoded from JSON.
+
+        An ``engine`` entry is accepted and has no effect: everything runs on Spark.
+        """
+        return decode(cls, {name: value for name, value in payload.items() if name != "engine"})
 
 
 def suggest_alias(table: str, taken: Iterable[str]) -> str:

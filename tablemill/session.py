@@ -12,19 +12,35 @@ from tablemill.errors import SpecError
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+# Session settings the library is meant to run with. Adaptive execution sizes the shuffles
+# and splits hot join partitions, also where that costs one more shuffle further on.
+RECOMMENDED_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """Set the recommended settings on a running session."""
+    for name, value in RECOMMENDED_SETTINGS.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 def local_session(cores: str = "*", app: str = "tablemill", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the benchmark; on a cluster the caller brings its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    return apply_settings(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -37,13 +37,18 @@ def landing_stream(
     pattern: str | None = None,
     files_per_batch: int | None = None,
     filename: bool = True,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Files below a folder as a stream; each file is seen once per checkpoint."""
+    """Files below a folder as a stream; each file is seen once per checkpoint.
+
+    ``multi_line`` keeps quoted line breaks inside their record; turn it off to split large
+    CSV files that have none.
+    """
     if file_format not in FORMATS:
         raise SpecError(f"Landing files are {' or '.join(FORMATS)}; got {file_format!r}.")
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
     if file_format == "csv":
-        reader = reader.option("header", True).option("quote", '"').option("escape", '"')
+        reader = reader.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if files_per_batch:

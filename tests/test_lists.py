@@ -168,3 +168,25 @@ def test_page_counts(tables):
 def test_top_k_is_planned_as_one_operator(tables):
     plan = run(tables, table="master", select=("NAME",), sort=(Sort("AMT"),), limit_rows=2)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_one_frequent_sort_value_is_spread_over_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables = {"n": spark.range(0, 20_000, 1, 4).select(F.lit(1).alias("k"), F.col("id"))}
+        df = build(QuerySpec(table="n", sort=(Sort("k"),), limit_rows=0), tables)
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 10_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("how", ["LEFT", "RIGHT"])
+def test_large_optional_side_takes_the_split_form(tables, rows, monkeypatch, how):
+    spec = QuerySpec(table="master", select=("NAME", "detail.STATUS"), limit_rows=0,
+                     joins=(Join("detail", (JoinKey("ACCT_ID", "ACCT_ID"),), how),))
+    plain = build(spec, tables)
+    monkeypatch.setattr("tablemill.operators.joins.is_small", lambda df: False)
+    split = build(spec, tables)
+    assert "LeftAnti" in split._jdf.queryExecution().optimizedPlan().toString()
+    assert split.columns == plain.columns and rows(split) == rows(plain)

@@ -58,5 +58,8 @@ def test_alias_suggestions():
 
 def test_family_from_a_dict():
     assert Family.from_dict({"month": "jan_2026", "regions": ["PVVNL", "pvvnl"]}).regions == ("PVVNL",)
+    named = Family.from_dict({"month_tag": "jan_2026", "discoms": ["PVVNL", "KESCO"], "base_discom": "KESCO"})
+    assert named.regions == ("PVVNL", "KESCO") and named.base_region == "KESCO"
+    assert QuerySpec.from_dict({"table": "t", "engine": "any"}) == QuerySpec(table="t")
     with pytest.raises(SpecError):
         Family.from_dict({"months": "jan_2026"})
