@@ -105,7 +105,7 @@ def condition(col: Column, dtype: DataType, name: str, op: str, value: Any) -> C
         inside = _between(col, dtype, name, *range_values(value))
         return inside if op == "BETWEEN" else ~inside
     if op in PATTERNS:
-        matched = _like(to_text(col, dtype), str(value))
+        matched = _like(to_text(col, dtype), "" if value is None else str(value))
         return matched if op == "LIKE" else ~matched
     if op in COMPARISONS and as_number(value) is not None:
         return _compare_number(col, dtype, name, op, value)
@@ -138,6 +138,8 @@ def range_values(value: Any) -> tuple[Any, Any]:
 
 def typed_literal(value: Any, dtype: DataType, name: str) -> Column:
     """A literal of the column's own type, so that ANSI comparison never casts the column."""
+    if value is None:
+        return F.lit(None).cast(dtype)
     try:
         return _literal(value, dtype)
     except (ValueError, InvalidOperation, TypeError) as exc:

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tablemill.errors import SpecError
 from tablemill.functions.inference import infer_types
 from tablemill.plans.scope import column
-from tablemill.sources.files import InputFile, as_files
+from tablemill.sources.files import InputFile, as_files, literal_path
 from tablemill.sources.heads import DETECT, heads, unique_headers
 
 SPLIT_SETTING = "spark.sql.files.maxPartitionBytes"
@@ -142,7 +142,7 @@ def _multi_line(spark: SparkSession, files: list[InputFile]) -> set[str]:
     whole = {f.path for f in files if f.size <= split or f.name.lower().endswith(".gz")}
     large = [f.path for f in files if f.path not in whole]
     if large:
-        lines = spark.read.text(large).select(file_label().alias("path"), "value")
+        lines = spark.read.text([literal_path(path) for path in large]).select(file_label().alias("path"), "value")
         odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
         hits = lines.filter(odd).select("path").distinct().toLocalIterator()
         whole |= {row["path"] for row in hits}
@@ -180,5 +180,5 @@ def scan(
         .option("maxColumns", max(20480, len(names)))
         .option("mode", "PERMISSIVE")
     )
-    df = reader.csv(group.paths)
+    df = reader.csv([literal_path(path) for path in group.paths])
     return df.select("*", file_label().alias("filename")) if filename else df

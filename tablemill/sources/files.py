@@ -25,6 +25,11 @@ class InputFile:
     relative: str
     size: int
 
+    @property
+    def literal(self) -> str:
+        """The path with pattern characters escaped, for readers that expand patterns."""
+        return literal_path(self.path)
+
     @property
     def name(self) -> str:
         return self.path.rsplit("/", 1)[-1]
@@ -37,6 +42,10 @@ class InputFile:
         return not name.startswith(TEMPORARY_PREFIX) and self.size >= SMALLEST_PARQUET
 
 
+def literal_path(path: str) -> str:
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def clean_path(text: str) -> str:
     """A path as typed: without stray quotes and spaces, with forward slashes."""
     text = text.replace("\u00a0", " ").strip().strip("\"'").strip().replace("\\", "/")
@@ -57,17 +66,24 @@ def file_system(path: str) -> tuple[fs.FileSystem, str, str]:
     return fs.LocalFileSystem(), os.path.abspath(path), ""
 
 
+def _single(path: str) -> InputFile | None:
+    """The file a path names as it stands, whatever characters are in its name."""
+    system, inner, prefix = file_system(path)
+    info = system.get_file_info(inner)
+    return InputFile(prefix + inner, info.base_name, info.size) if info.type == fs.FileType.File else None
+
+
 def list_files(pattern: str) -> list[InputFile]:
     """Files matching a path or a glob pattern (``*``, ``?``, ``[..]``, ``**``), sorted."""
     pattern = clean_path(pattern)
+    exact = _single(pattern)
+    if exact:
+        return [exact]
     head = re.split(r"[*?\[]", pattern, maxsplit=1)[0]
     wild = head != pattern
     root = head.rsplit("/", 1)[0] if wild and "/" in head else ("." if wild else pattern)
     system, inner, prefix = file_system(root or "/")
-    info = system.get_file_info(inner)
-    if info.type == fs.FileType.File:
-        return [InputFile(prefix + inner, info.base_name, info.size)]
-    if info.type != fs.FileType.Directory or not wild:
+    if not wild or system.get_file_info(inner).type != fs.FileType.Directory:
         return []
     rest = pattern[len(root):].lstrip("/") if root != "." else pattern
     wanted = re.compile(glob.translate(rest, recursive=True, seps="/"))
@@ -89,7 +105,7 @@ def is_folder(path: str) -> bool:
 def _candidates(path: str) -> list[str]:
     """Patterns to try for an input, in order of preference."""
     if is_folder(path):
-        return [f"{path.rstrip('/')}/**/*.{ending}" for ending in FOLDER_FORMATS]
+        return [f"{glob.escape(path.rstrip('/'))}/**/*.{ending}" for ending in FOLDER_FORMATS]
     tries = [path]
     if "/*." in path:
         tries.append(path.replace("/*.", "/**/*."))

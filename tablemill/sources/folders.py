@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -48,7 +49,7 @@ def folder_files(folder: str, recursive: bool = True) -> list[InputFile]:
     path = clean_path(folder).rstrip("/")
     if not is_folder(path):
         raise SpecError(f"Source folder not found: {path}.")
-    found = [f for f in list_files(f"{path}/**/*" if recursive else f"{path}/*") if supported(f.name)]
+    found = [f for f in list_files(glob.escape(path) + ("/**/*" if recursive else "/*")) if supported(f.name)]
     if not found:
         raise SpecError(f"No .csv, .xlsx, .gz or .zip files in {path}.")
     return found

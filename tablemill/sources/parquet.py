@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyarrow import fs
+from pyarrow import fs, parquet
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType, LongType, IntegralType, NumericType, StringType
+from pyspark.sql.types import DataType, DoubleType, IntegralType, LongType, NumericType, StringType
 
 from tablemill.errors import SpecError
 from tablemill.functions.inference import infer_types
 from tablemill.plans.scope import column
 from tablemill.sources.delimited import scan, scan_groups, union_by_name
-from tablemill.sources.files import InputFile, as_files, clean_path, file_system
+from tablemill.sources.files import InputFile, as_files, clean_path, file_system, literal_path
+from tablemill.sources.heads import open_binary, path_frame, record_batch
 
 # Parquet codecs offered, and those of them that Spark ships without.
 CODECS = ("uncompressed", "snappy", "gzip", "zstd", "lz4", "brotli")
@@ -36,15 +38,15 @@ def read_parquet_set(spark: SparkSession, source: str | list[str] | list[InputFi
     Files whose types clash are read in groups of equal schema and widened: whole numbers
     to bigint, numbers to double, anything else to text.
     """
-    paths = [f.path for f in as_files(source)]
+    files = as_files(source)
     try:
-        return spark.read.option("mergeSchema", True).parquet(*paths)
+        return spark.read.option("mergeSchema", True).parquet(*[f.literal for f in files])
     except (PySparkException, Py4JJavaError) as exc:
         if "CANNOT_MERGE" not in str(exc):
             raise
     groups: dict[str, list[str]] = defaultdict(list)
-    for path in paths:
-        groups[spark.read.parquet(path).schema.json()].append(path)
+    for row in footers(spark, files).toLocalIterator():
+        groups[row["schema"]].append(literal_path(row["path"]))
     frames = [spark.read.parquet(*members) for members in groups.values()]
     wide: dict[str, DataType] = {}
     for df in frames:
@@ -55,6 +57,20 @@ def read_parquet_set(spark: SparkSession, source: str | list[str] | list[InputFi
     ])
 
 
+def footers(spark: SparkSession, files: list[InputFile]) -> DataFrame:
+    """Schema text of every file, read from its footer inside a task."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                with open_binary(path) as stream:
+                    found.append((path, parquet.read_schema(stream).remove_metadata().to_string()))
+            yield record_batch({"path": pa.string(), "schema": pa.string()}, found)
+
+    return path_frame(spark, files).mapInArrow(read, "path string, schema string")
+
+
 def _wider(a: DataType, b: DataType) -> DataType:
     if a == b:
         return a

@@ -29,6 +29,7 @@ def texts(spark):
     ("LIKE", "a_b", [1, 2]), ("LIKE", "a\\%", [2]), ("LIKE", "", []), ("NOT LIKE", "a%", [0, 5]),
     ("IN", "abc, 50%,", [0, 3]), ("NOT IN", ["abc", None, ""], [0, 1, 2, 5]),
     ("IS NULL", "ignored", [4]), ("IS NOT NULL", None, [0, 1, 2, 3, 5]),
+    ("=", None, []), ("!=", None, []), (">", None, []), ("LIKE", None, []),
     (">", "abb", [3]), ("BETWEEN", "a,abc", [1, 2, 3]),
 ])
 def test_text_operators(texts, operator, value, ids):

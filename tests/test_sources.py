@@ -89,6 +89,9 @@ def test_files_with_other_headers_are_united_by_name(spark, tmp_path, rows):
 def test_awkward_paths_and_bom(spark, tmp_path):
     path = put(tmp_path / "a b+c%20é.csv", "\ufeffid,v\n1,x\n")
     assert read_csv_set(spark, path).collect() == [("1", "x", path)]
+    odd = put(tmp_path / "odd" / "b[1]{x}*?.csv", "id,v\n2,y\n")
+    assert read_csv_set(spark, odd).collect() == [("2", "y", odd)]
+    assert read_csv_set(spark, str(tmp_path / "odd")).collect() == [("2", "y", odd)]
 
 
 def test_gzip_by_either_ending(spark, tmp_path, rows):
