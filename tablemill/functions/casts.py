@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, NumericType, StringType
 
 # Java number syntax that is not a plain decimal: a trailing type letter, as in "12d".
-_JAVA_SUFFIX = r"(?i)[0-9.]\s*[df]\s*$"
+JAVA_SUFFIX = r"[0-9.][dDfF]\s*$"
 
 # Date layouts accepted in text besides ISO dates (with or without a time), each
 # with the shape of the text it is tried on.
@@ -25,7 +25,7 @@ def to_double(col: Column, dtype: DataType) -> Column:
     if isinstance(dtype, (NumericType, BooleanType)):
         return col.cast("double")
     text = col if isinstance(dtype, StringType) else col.cast("string")
-    return F.when(~text.rlike(_JAVA_SUFFIX), text.try_cast("double"))
+    return F.when(~text.rlike(JAVA_SUFFIX), text.try_cast("double"))
 
 
 def to_text(col: Column, dtype: DataType | None = None) -> Column:

@@ -1,51 +1,65 @@
-"""Column types from text values."""
+"""Column types from text values, and common types of differing columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DataType, DoubleType, IntegralType, LongType, NumericType, NullType, StringType
 
 from tablemill.plans.scope import column
 
-# Types tried for a text column, narrowest first, with the shape that text of
-# the type must have.
-CANDIDATES = (
-    ("boolean", r"(?i)^(true|false)$"),
-    ("bigint", r"^[+-]?\d{1,19}$"),
-    ("double", r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"),
-    ("date", r"^\d{4}-\d{2}-\d{2}$"),
-    ("timestamp_ntz", r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$"),
+# Kinds of text, each with a bit and the shape of its values.
+INTEGER, NUMBER, BOOLEAN, DATE, MOMENT, TEXT = 1, 2, 4, 8, 16, 32
+SHAPES = (
+    (INTEGER, r"^[+-]?\d{1,18}$"),
+    (NUMBER, r"(?i)^[+-]?(\d{1,18}\.\d*|\d*\.\d+|\d{1,18})(e[+-]?\d+)?$"),
+    (BOOLEAN, r"(?i)^(true|false)$"),
+    (DATE, r"^\d{4}-\d{2}-\d{2}$"),
+    (MOMENT, r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$"),
 )
+# The type for a set of kinds found in one column; any other set is text.
+TYPES = {
+    INTEGER: "bigint",
+    NUMBER: "double",
+    INTEGER | NUMBER: "double",
+    BOOLEAN: "boolean",
+    DATE: "date",
+    MOMENT: "timestamp_ntz",
+    DATE | MOMENT: "timestamp_ntz",
+}
 
 
-def infer_types(df: DataFrame, sampling: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def infer_types(df: DataFrame) -> DataFrame:
     """Cast each text column to the narrowest type that all its values fit.
 
-    One aggregation tests every column and type together. Values beyond a sample that do
-    not fit the type become null.
+    One aggregation collects the kinds of value in every column as bits. Whole numbers that
+    do not fit a bigint keep all their digits as text.
     """
-    names = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and f.name not in keep]
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     if not names:
         return df
-    rows = df.sample(fraction=sampling, seed=0) if sampling else df
-    tests = [F.count(column(n)).alias(f"n{i}") for i, n in enumerate(names)]
-    for i, name in enumerate(names):
-        tests += [F.count_if(_fits(column(name), *kind)).alias(f"t{i}_{kind[0]}") for kind in CANDIDATES]
-    counts = rows.agg(*tests).first()
-    types: dict[str, str] = {}
-    for i, name in enumerate(names):
-        fit = (kind for kind, _ in CANDIDATES if counts[f"n{i}"] and counts[f"t{i}_{kind}"] == counts[f"n{i}"])
-        types[name] = next(fit, "string")
-    return df.select([_typed(n, types.get(n)) for n in df.columns])
-
-
-def _fits(col: Column, kind: str, shape: str) -> Column:
+    found = df.agg(*[F.bit_or(_kind(column(n))).alias(f"k{i}") for i, n in enumerate(names)]).first()
+    types = {n: TYPES[found[i]] for i, n in enumerate(names) if found[i] in TYPES}
+    return df.select([
+        F.trim(column(n)).try_cast(types[n]).alias(n) if n in types else column(n) for n in df.columns
+    ])
+
+
+def _kind(col: Column) -> Column:
     text = F.trim(col)
-    return text.rlike(shape) & text.try_cast(kind).isNotNull()
+    kind = F.when(col.isNull(), F.lit(None))
+    for bit, shape in SHAPES:
+        fits = text.rlike(shape)
+        if bit in (DATE, MOMENT):
+            fits = fits & text.try_cast(TYPES[bit]).isNotNull()
+        kind = kind.when(fits, F.lit(bit))
+    return kind.otherwise(F.lit(TEXT))
 
 
-def _typed(name: str, kind: str | None) -> Column:
-    if kind in (None, "string"):
-        return column(name)
-    return F.trim(column(name)).try_cast(kind).alias(name)
+def wider(a: DataType, b: DataType) -> DataType:
+    """The type both columns fit: bigint, double or, failing those, text."""
+    if a == b or isinstance(b, NullType):
+        return a
+    if isinstance(a, IntegralType) and isinstance(b, IntegralType):
+        return LongType()
+    return DoubleType() if isinstance(a, NumericType) and isinstance(b, NumericType) else StringType()

@@ -6,12 +6,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegralType, LongType, StringType, StructField, StructType
 
 from tablemill.errors import SpecError
-from tablemill.functions.inference import infer_types
+from tablemill.functions.casts import JAVA_SUFFIX
+from tablemill.functions.inference import wider
 from tablemill.plans.scope import column
 from tablemill.sources.files import InputFile, as_files, literal_path
 from tablemill.sources.heads import DETECT, heads, unique_headers
@@ -38,8 +39,8 @@ def read_csv(
     Inference reads the data once more; pass ``schema`` for large inputs, or ``sampling``
     to infer from a share of the rows. Gzipped files are read by their suffix.
     """
-    df = read_csv_set(spark, source, header=header, sep=sep, filename=False, schema=schema)
-    return df if schema is not None or not infer else infer_types(df, sampling)
+    infer = infer and schema is None
+    return read_csv_set(spark, source, header, sep, filename=False, infer=infer, schema=schema, sampling=sampling)
 
 
 def read_tsv(spark: SparkSession, source: str | list[str], header: bool = True, **options) -> DataFrame:
@@ -54,6 +55,7 @@ def read_csv_set(
     filename: bool = True,
     infer: bool = False,
     schema: StructType | None = None,
+    sampling: float | None = None,
 ) -> DataFrame:
     """Union of delimited files by column name; columns a file lacks are null.
 
@@ -65,8 +67,9 @@ def read_csv_set(
     groups = scan_groups(spark, files, header, sep)
     if not groups:
         raise SpecError("The input files hold no rows and no headers.")
-    df = union_by_name([scan(spark, group, header, filename, schema) for group in groups])
-    return infer_types(df, keep=("filename",) if filename else ()) if infer else df
+    if infer:
+        schema = infer_schema(spark, groups, header, sampling)
+    return union_by_name([scan(spark, group, header, filename, schema) for group in groups])
 
 
 def read_csv_lenient(
@@ -168,17 +171,56 @@ def scan(
     names = group.names
     wanted = {f.name.lower(): f for f in schema.fields} if schema is not None else {}
     fields = [StructField(n, wanted[n.lower()].dataType if n.lower() in wanted else StringType()) for n in names]
-    reader = (
-        spark.read.schema(StructType(fields))
-        .option("header", header)
+    df = _reader(spark, group, header).schema(StructType(fields)).csv([literal_path(path) for path in group.paths])
+    return df.select("*", file_label().alias("filename")) if filename else df
+
+
+def _reader(spark: SparkSession, group: ScanGroup, header: bool) -> DataFrameReader:
+    return (
+        spark.read.option("header", header)
         .option("sep", group.sep)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", group.multi_line)
         .option("enforceSchema", True)
         .option("maxCharsPerColumn", -1)
-        .option("maxColumns", max(20480, len(names)))
+        .option("maxColumns", max(20480, len(group.names)))
         .option("mode", "PERMISSIVE")
     )
-    df = reader.csv([literal_path(path) for path in group.paths])
-    return df.select("*", file_label().alias("filename")) if filename else df
+
+
+def infer_schema(
+    spark: SparkSession, groups: list[ScanGroup], header: bool = True, sampling: float | None = None
+) -> StructType:
+    """Types of all columns over all groups, by Spark's CSV inference.
+
+    Whole numbers are bigint. Types of one column that differ between groups are widened.
+    Inference also takes codes such as ``12D`` for numbers in Java's notation, so columns it
+    calls double are looked over once more and stay text if they hold such codes.
+    """
+    types: dict[str, StructField] = {}
+    for group in groups:
+        reader = _reader(spark, group, header).option("inferSchema", True)
+        if sampling:
+            reader = reader.option("samplingRatio", sampling)
+        found = reader.csv([literal_path(path) for path in group.paths]).schema.fields
+        kinds = [LongType() if isinstance(f.dataType, IntegralType) else f.dataType for f in found]
+        doubles = [n for n, kind in zip(group.names, kinds) if isinstance(kind, DoubleType)]
+        codes = _java_notation(scan(spark, group, header, filename=False), doubles) if doubles else set()
+        for name, kind in zip(group.names, kinds):
+            kind = StringType() if name in codes else kind
+            known = types.setdefault(name.lower(), StructField(name, kind))
+            types[name.lower()] = StructField(known.name, wider(known.dataType, kind))
+    return StructType(list(types.values()))
+
+
+def _java_notation(rows: DataFrame, names: list[str]) -> set[str]:
+    """Columns with a number that ends in a type letter.
+
+    All columns are tested together first, since hardly any data has such values.
+    """
+    together = F.concat_ws("\n", *[column(n) for n in names])
+    if not rows.agg(F.max(together.rlike(rf"(?m){JAVA_SUFFIX}")).alias("hit")).first()["hit"]:
+        return set()
+    hits = rows.agg(*[F.max(column(n).rlike(JAVA_SUFFIX)) for n in names]).first()
+    return {name for name, hit in zip(names, hits) if hit}

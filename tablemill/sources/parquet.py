@@ -14,12 +14,12 @@ from pyarrow import fs, parquet
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType, IntegralType, LongType, NumericType, StringType
+from pyspark.sql.types import DataType
 
 from tablemill.errors import SpecError
-from tablemill.functions.inference import infer_types
+from tablemill.functions.inference import wider
 from tablemill.plans.scope import column
-from tablemill.sources.delimited import scan, scan_groups, union_by_name
+from tablemill.sources.delimited import infer_schema, scan, scan_groups, union_by_name
 from tablemill.sources.files import InputFile, as_files, clean_path, file_system, literal_path
 from tablemill.sources.heads import open_binary, path_frame, record_batch
 
@@ -51,7 +51,7 @@ def read_parquet_set(spark: SparkSession, source: str | list[str] | list[InputFi
     wide: dict[str, DataType] = {}
     for df in frames:
         for f in df.schema.fields:
-            wide[f.name] = _wider(wide.get(f.name, f.dataType), f.dataType)
+            wide[f.name] = wider(wide.get(f.name, f.dataType), f.dataType)
     return union_by_name([
         df.select([column(f.name).cast(wide[f.name]).alias(f.name) for f in df.schema.fields]) for df in frames
     ])
@@ -71,14 +71,6 @@ def footers(spark: SparkSession, files: list[InputFile]) -> DataFrame:
     return path_frame(spark, files).mapInArrow(read, "path string, schema string")
 
 
-def _wider(a: DataType, b: DataType) -> DataType:
-    if a == b:
-        return a
-    if isinstance(a, IntegralType) and isinstance(b, IntegralType):
-        return LongType()
-    return DoubleType() if isinstance(a, NumericType) and isinstance(b, NumericType) else StringType()
-
-
 @dataclass(frozen=True)
 class Converted:
     """Outcome of a conversion."""
@@ -132,9 +124,8 @@ def csv_to_parquet(
     skipped = len(files) - len(read)
     if not groups:
         return Converted(output, len(files), skipped, 0)
-    rows = union_by_name([scan(spark, group) for group in groups])
-    if typed:
-        rows = infer_types(rows, keep=("filename",))
+    schema = infer_schema(spark, groups) if typed else None
+    rows = union_by_name([scan(spark, group, schema=schema) for group in groups])
     if transform is not None:
         rows = transform(rows)
     seen = Observation()

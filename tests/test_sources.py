@@ -5,6 +5,7 @@ import zipfile
 import pytest
 
 from tablemill import SpecError
+from tablemill.functions.inference import infer_types
 from tablemill.sources.containers import read_xlsx, read_zip
 from tablemill.sources.delimited import blank_missing, read_csv, read_csv_lenient, read_csv_set, read_tsv, with_headers
 from tablemill.sources.files import clean_path, list_files, resolve_inputs
@@ -63,6 +64,16 @@ def test_types_are_inferred(spark, tmp_path):
     df = read_csv(spark, str(tmp_path / "t.csv"))
     assert dict(df.dtypes) == {"id": "bigint", "name": "string", "amount": "double", "ok": "boolean", "day": "date", "mix": "string"}
     assert df.filter("name is null").count() == 1
+    put(tmp_path / "codes.csv", "code,big,e,void\n1D,12345678901234567890,1e3,\n2F,7,Inf,\n")
+    codes = read_csv(spark, str(tmp_path / "codes.csv"))
+    assert dict(codes.dtypes) == {"code": "string", "big": "decimal(20,0)", "e": "double", "void": "string"}
+    assert sorted(r["code"] for r in codes.collect()) == ["1D", "2F"]
+    put(tmp_path / "two" / "a.csv", "k,v\n1,1\n")
+    put(tmp_path / "two" / "b.csv", "v,k\n1.5,x\n")
+    both = read_csv(spark, str(tmp_path / "two"))
+    assert dict(both.dtypes) == {"k": "string", "v": "double"}
+    assert sorted(both.select("k", "v").collect()) == [("1", 1.0), ("x", 1.5)]
+    assert dict(read_csv(spark, str(tmp_path / "t.csv"), sampling=1.0).dtypes)["amount"] == "double"
     assert dict(read_csv(spark, str(tmp_path / "t.csv"), infer=False).dtypes)["id"] == "string"
 
 
@@ -277,3 +288,13 @@ def test_detected_columns(spark, tmp_path):
     assert {(r["source_file"], r["name"]): r["sample_values"] for r in found.collect()} == {
         ("a.csv", "id"): ["0", "1", "2", "3", "4"], ("a.csv", "name"): ["n0", "n1", "n2", "n3", "n4"], ("b.csv", "id"): ["7"]}
     assert conflicting_columns(found).collect() == [("id", 2)]
+
+
+def test_text_columns_get_the_type_all_values_fit(spark):
+    df = spark.createDataFrame([
+        ("1", " 2 ", "1", "true", "2024-01-01", "2024-01-01", "2024-13-01", None, "12345678901234567890"),
+        ("-3", "2.5", "x", "FALSE", "2024-01-02", "2024-01-01 10:00", "2024-01-01", None, "1"),
+    ], "a string, b string, c string, d string, e string, f string, g string, h string, i string")
+    typed = infer_types(df)
+    assert [t for _, t in typed.dtypes] == ["bigint", "double", "string", "boolean", "date", "timestamp_ntz", "string", "string", "string"]
+    assert sorted(r["b"] for r in typed.collect()) == [2.0, 2.5]
