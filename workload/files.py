@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.session import scratch_path
-from tablemill.sources.catalog import create_object, drop_object, read_source
+from tablemill.sources.catalog import create_object, drop_object, list_tables, preview, read_source
 from tablemill.sources.containers import read_xlsx, read_zip
 from tablemill.sources.delimited import read_csv, read_csv_lenient, read_csv_set, read_tsv, with_headers
 from tablemill.sources.exports import export_csv, sample_once
@@ -263,21 +263,50 @@ def sample_rows(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("header", True).csv(f"{path}/rows").agg(F.count(F.lit(1)).alias("n"))
 
 
+def object_name(spark: SparkSession, label: str) -> str:
+    """A catalog name that no other run has used."""
+    return scratch_path(spark, label).rsplit("/", 1)[-1].replace("-", "_")
+
+
 @case("SELECT o_orderkey, o_orderstatus FROM orders")
 def create_from_files(spark: SparkSession, folder: str) -> DataFrame:
     """A table made from files is replaced by a view of the same name."""
     path = as_csv(table_reader(spark, folder)("orders").select("o_orderkey", "o_orderstatus"), "object")
-    rows = read_source(spark, path)
-    create_object(spark, "workload_orders", rows, "TABLE", replace=True)
-    create_object(spark, "Workload_Orders", rows, "VIEW", replace=True)
-    return spark.table("workload_orders")
+    rows, name = read_source(spark, path), object_name(spark, "orders")
+    create_object(spark, name, rows, "TABLE")
+    create_object(spark, name.upper(), rows, "VIEW", replace=True)
+    return spark.table(name)
+
+
+@case("""SELECT 'TABLE' AS kind, 'customer' AS source, 5 AS columns, COUNT(*) AS row_count FROM customer
+         UNION ALL SELECT 'VIEW', 'orders', 6, 0 FROM (SELECT COUNT(*) FROM orders)""")
+def catalog_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """A table and a view as the catalog lists them; only tables have a row count."""
+    read = table_reader(spark, folder)
+    names = {object_name(spark, source): source for source in ("customer", "orders")}
+    for name, source in names.items():
+        create_object(spark, name, read(source), "TABLE" if source == "customer" else "VIEW")
+    listed = [o for o in list_tables(spark) if o.name in names]
+    for name in names:
+        drop_object(spark, name)
+    found = [(o.kind, names[o.name], len(o.columns), o.row_count) for o in listed]
+    return spark.createDataFrame(found, "kind string, source string, columns int, row_count long")
+
+
+@case("""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, COALESCE(NULLIF(o_orderstatus, 'F'), '') AS status
+         FROM orders ORDER BY orders.o_orderkey LIMIT 10""")
+def preview_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The first rows as text, blank for null."""
+    orders = table_reader(spark, folder)("orders")
+    rows = orders.select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("status"))
+    return preview(rows.orderBy("o_orderkey"), as_strings=True)
 
 
 @case("""SELECT c_custkey AS id, c_name AS label FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier""")
 def import_mapped(spark: SparkSession, folder: str) -> DataFrame:
     """One file creates the table, a second one with other names is appended to it."""
     read = table_reader(spark, folder)
-    table = scratch_path(spark, "import").rsplit("/", 1)[-1].replace("-", "_")
+    table = object_name(spark, "import")
     first = as_csv(read("customer").select("c_custkey", "c_name", "c_mktsegment"), "import")
     second = as_csv(read("supplier").select("s_suppkey", "s_name"), "import")
     maps = [ColumnMap("c_custkey", "id"), ColumnMap("c_name", "label"), ColumnMap("c_mktsegment", "", skip=True)]

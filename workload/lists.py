@@ -224,6 +224,21 @@ def _date_text():
     return chain.otherwise("unknown")
 
 
+register(
+    "filter_other_types",
+    """WITH typed AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(12, 2)) AS price, l_tax > 0.04 AS taxed,
+                             CAST(l_shipdate AS DATE) AS shipdate FROM lineitem)
+       SELECT l_orderkey, l_linenumber FROM typed WHERE price >= 20000.5 AND price NOT BETWEEN 30000 AND 40000 AND taxed = TRUE
+       AND shipdate > DATE '1995-01-01' AND shipdate IS NOT NULL""",
+    everything("typed", select=("l_orderkey", "l_linenumber"), filters=(
+        Filter("price", ">=", "20000.5"), Filter("price", "NOT BETWEEN", "30000, 40000"), Filter("taxed", "=", "true"),
+        Filter("shipdate", ">", "1995-01-01"), Filter("shipdate", "IS NOT NULL"),
+    )),
+    lambda read: {"typed": read("lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("decimal(12,2)").alias("price"),
+        (F.col("l_tax") > 0.04).alias("taxed"), F.col("l_shipdate").cast("date").alias("shipdate"))},
+)
+
 # Joins -------------------------------------------------------------------------------
 
 register(
@@ -403,6 +418,11 @@ register(
     QuerySpec(table="orders", select=("o_orderkey", "o_totalprice", "o_orderstatus"),
               sort=(Sort("o_totalprice", "DESC"), Sort("o_orderkey"))),
 )
+register(
+    "sort_all",
+    "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem ORDER BY l_returnflag, l_orderkey",
+    everything("lineitem", select=("l_orderkey", "l_linenumber", "l_returnflag"), sort=(Sort("l_returnflag"), Sort("l_orderkey"))),
+)
 register(
     "sort_offset",
     "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 500 OFFSET 250",
