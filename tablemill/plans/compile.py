@@ -31,11 +31,12 @@ def open_source(spec: QuerySpec, tables: Tables) -> Source:
     table = lookup_table(tables, base)
     frame = scope.admit(base, table)
     sources = [table]
+    parts = {base: frame}
     for join in spec.joins:
         earlier = set(scope.references)
         table = lookup_table(tables, join.table.strip())
-        joined = scope.admit(join.reference, table)
-        pairs = []
+        joined = parts[join.reference] = scope.admit(join.reference, table)
+        pairs, owners = [], set()
         for keys in join.conditions:
             left = scope.resolve(keys.left_column)
             right = scope.resolve(keys.right_column, default=join.reference)
@@ -44,8 +45,11 @@ def open_source(spec: QuerySpec, tables: Tables) -> Source:
             if right.reference != join.reference:
                 raise SpecError(f"The right side of join {join.reference!r} must be a column of that table.")
             pairs.append((left.qualified, right.qualified))
+            owners.add(left.reference)
         how = join.join_type.lower()
-        frame = equi_join(frame, joined, pairs, how, [table] if how == "left" else sources)
+        # Keys that all come from one table can be read from it instead of the joins so far.
+        key_source = parts[owners.pop()] if how == "left" and len(owners) == 1 else None
+        frame = equi_join(frame, joined, pairs, how, [table] if how == "left" else sources, key_source)
         sources.append(table)
     condition = compile_filters(spec.filters, scope)
     return Source(scope, frame if condition is None else frame.filter(condition))

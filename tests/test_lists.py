@@ -190,3 +190,26 @@ def test_large_optional_side_takes_the_split_form(tables, rows, monkeypatch, how
     split = build(spec, tables)
     assert "LeftAnti" in split._jdf.queryExecution().optimizedPlan().toString()
     assert split.columns == plain.columns and rows(split) == rows(plain)
+
+
+@pytest.mark.parametrize("joins", [
+    (("detail", "d", "LEFT", "ACCT_ID", "ACCT_ID"), ("master", "m2", "LEFT", "d.RELATED_ID", "ACCT_ID")),
+    (("detail", "d", "RIGHT", "ACCT_ID", "ACCT_ID"), ("master", "m2", "LEFT", "master.ACCT_ID", "ACCT_ID")),
+    (("detail", "d", "LEFT", "ACCT_ID", "ACCT_ID"), ("master", "m2", "RIGHT", "d.RELATED_ID", "ACCT_ID"), ("detail", "d2", "LEFT", "NAME", "STATUS")),
+    (("detail", "d", "INNER", "ACCT_ID", "ACCT_ID"), ("detail", "d2", "LEFT", "d.ACCT_ID", "RELATED_ID"), ("master", "m2", "LEFT", "d2.ACCT_ID", "ACCT_ID")),
+])
+def test_chains_of_split_joins_equal_plain_ones(tables, rows, monkeypatch, joins):
+    spec = QuerySpec(table="master", limit_rows=0, joins=tuple(
+        Join(table, (JoinKey(a, b),), how, alias) for table, alias, how, a, b in joins))
+    plain = build(spec, tables)
+    monkeypatch.setattr("tablemill.operators.joins.is_small", lambda df: False)
+    split = build(spec, tables)
+    assert split.columns == plain.columns and rows(split) == rows(plain)
+
+
+def test_split_join_on_two_keys_with_nulls(spark, rows):
+    a = spark.createDataFrame([(1, "x", 1), (1, None, 2), (None, None, 3), (2, "y", 4), (1, "x", 5)], "a1 int, a2 string, a int")
+    b = spark.createDataFrame([(1, "x", 1), (1, None, 2), (None, None, 3), (2, "z", 4)], "b1 long, b2 string, b int")
+    for how in ("left", "right"):
+        pairs = [("a1", "b1"), ("a2", "b2")]
+        assert rows(equi_join(a, b, pairs, how, split=True)) == rows(equi_join(a, b, pairs, how, split=False))
