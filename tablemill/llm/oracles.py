@@ -8,7 +8,7 @@ from tablemill.llm.sharding import ShardPlan, fill_table
 from tablemill.llm.url_filters import Rule
 
 # Words of a text: what is left of it between runs of white space.
-WORDS = r"list_filter(regexp_split_to_array(COALESCE({text}, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+WORDS = r"list_filter(regexp_split_to_array(COALESCE({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
 def _text(value: str) -> str:
@@ -74,7 +74,7 @@ def url_filters(rules: Sequence[Rule]) -> str:
         FROM pages
     ),
     c AS (
-        SELECT *, list_aggregate(list_filter(string_split(query, '&'), x -> x <> '' AND NOT starts_with(x, 'utm_')), 'string_agg', '&') AS kept FROM p
+        SELECT *, list_aggregate(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')), 'string_agg', '&') AS kept FROM p
     ),
     fits AS (SELECT DISTINCT host, path, rule, said FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
     best AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(said, length(rule)) AS said FROM fits GROUP BY host, path),
