@@ -23,6 +23,7 @@ REMEMBERED, LONGEST = 1 << 19, 48
 #: Pieces of up to so many bytes are merged with a plain list of their pairs.
 LISTED = 64
 NO_RANK = 1 << 62
+ID_BITS = 24
 
 # Symbols of the scan: what the pre-tokeniser's pattern tells apart.
 END, LETTER, ENDING, MIDDLE, SECOND, DOUBLE, NUMBER, QUOTE, OTHER, BLANK, WHITE = range(11)
@@ -143,29 +144,56 @@ def piece_starts(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
-def _merge_listed(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """As merge(), with the ranks of all pairs in a list, which is faster for few of them."""
-    get = ranks.get
-    parts = [piece[k : k + 1] for k in range(len(piece))]
-    pairs = [get(piece[k : k + 2], NO_RANK) for k in range(len(piece) - 1)]
+class _Pieces(dict):
+    """Ids by piece; short pieces are remembered."""
+
+    vocab: Vocabulary
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = merge(piece.encode("utf-8", "surrogatepass"), self.vocab)
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """Ranks, what pairs of ids become, ids of bytes, and the bytes of all tokens laid end to end."""
+
+    ranks: dict[bytes, int]
+    joined: dict[int, int]
+    single: list[int]
+    blob: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    pieces: _Pieces
+
+
+def _merge_listed(piece: bytes, vocab: Vocabulary) -> list[int]:
+    """As merge(), on numbers: the ids of the parts, and the ids of what each pair would become."""
+    get = vocab.joined.get
+    ids = [vocab.single[b] for b in piece]
+    pairs = [get(a << ID_BITS | b, NO_RANK) for a, b in zip(ids, ids[1:], strict=False)]
     while pairs and (least := min(pairs)) < NO_RANK:
         k = pairs.index(least)
-        joined = parts[k] + parts[k + 1]
-        parts[k : k + 2] = [joined]
-        del pairs[k]
+        ids[k] = least
+        del ids[k + 1], pairs[k]
         if k < len(pairs):
-            pairs[k] = get(joined + parts[k + 1], NO_RANK)
+            pairs[k] = get(least << ID_BITS | ids[k + 1], NO_RANK)
         if k:
-            pairs[k - 1] = get(parts[k - 1] + joined, NO_RANK)
-    return [ranks[p] for p in parts]
+            pairs[k - 1] = get(ids[k - 1] << ID_BITS | least, NO_RANK)
+    return ids
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merge(piece: bytes, vocab: Vocabulary) -> list[int]:
     """Ids of a piece: again and again the leftmost of the pairs of lowest rank becomes one part."""
+    ranks = vocab.ranks
     if (own := ranks.get(piece)) is not None:
         return [own]
     if len(piece) <= LISTED:
-        return _merge_listed(piece, ranks)
+        return _merge_listed(piece, vocab)
     parts: list[bytes | None] = [piece[k : k + 1] for k in range(len(piece))]
     after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
     heap = [(r, k) for k in range(len(parts) - 1) if (r := ranks.get(parts[k] + parts[k + 1])) is not None]
@@ -185,33 +213,6 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-class _Pieces(dict):
-    """Ids by piece; short pieces are remembered."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> list[int]:
-        ids = merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
-@dataclass(frozen=True)
-class Vocabulary:
-    """Ranks, and the bytes of all tokens laid end to end with their places."""
-
-    ranks: dict[bytes, int]
-    blob: np.ndarray
-    start: np.ndarray
-    length: np.ndarray
-    pieces: _Pieces
-
-
 @lru_cache(4)
 def vocabulary(path: str) -> Vocabulary:
     """A file of ranks: a base-64 token and its rank per line. Loaded once a worker."""
@@ -221,7 +222,15 @@ def vocabulary(path: str) -> Vocabulary:
     for token, rank in ranks.items():
         tokens[rank] = token
     length = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    return Vocabulary(ranks, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(length) - length, length, _Pieces(ranks))
+    joined = {}
+    for token, rank in ranks.items():
+        for k in range(1, len(token)):
+            if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
+                joined[a << ID_BITS | b] = rank
+    single = [ranks[bytes([b])] for b in range(256)]
+    vocab = Vocabulary(ranks, joined, single, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(length) - length, length, _Pieces())
+    vocab.pieces.vocab = vocab
+    return vocab
 
 
 def _bundles(texts: list[str]) -> Iterator[list[str]]:

@@ -88,22 +88,22 @@ def _histogram(text: Column, lang: Column, rules: QualityRules) -> Column:
     )
 
 
-def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: QualityRules | None = None) -> DataFrame:
+def references(measured: DataFrame, histogram: str, rules: QualityRules) -> DataFrame:
     """key, classes, common: the shares in all texts of a language together, written once.
 
     One row per listed language and one, with an empty key, for all others together.
     """
-    rules = rules or QualityRules()
     longest = max(len(v.split()) for v in rules.common.values())
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    counted = df.select(_histogram(text, F.col(lang_col), rules).alias("h")).select("h.key", F.concat("h.classes", "h.common").alias("c"))
+    counted = measured.select(f"{histogram}.key", F.concat(f"{histogram}.classes", f"{histogram}.common").alias("c"))
     size = len(CLASSES) + 1
     summed = counted.groupBy("key").agg(*[F.sum(F.col("c")[k]).alias(f"c{k}") for k in range(size + longest + 1)])
 
     def shares(first: int, n: int) -> Column:
         counts = F.array(*[F.col(f"c{first + k}") for k in range(n)])
-        whole = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(counts, lambda x: F.when(whole > 0, x / whole).otherwise(0.0))
+        return let(
+            F.struct(counts.alias("c"), F.aggregate(counts, F.lit(0.0), lambda a, x: a + x).alias("n")),
+            lambda v: F.transform(v["c"], lambda x: F.when(v["n"] > 0, x / v["n"]).otherwise(0.0)),
+        )
 
     return materialize(summed.select("key", shares(0, size).alias("classes"), shares(size, longest + 1).alias("common")), "references")
 
@@ -166,8 +166,10 @@ def base_measures(text: Column) -> Column:
     return let(F.struct(words(text).alias("words"), lines.alias("lines"), symbols.alias("symbols")), counts)
 
 
-def judge(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: QualityRules | None = None, refs: DataFrame | None = None, out: str = "quality") -> DataFrame:
-    """All rows and columns, and a struct column `out` behind them.
+def judge(
+    df: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: QualityRules | None = None, out: str = "quality", columns: list[str] | None = None
+) -> DataFrame:
+    """All rows, their columns (or those named), and a struct column `out` behind them.
 
     Its fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     class_distance, word_distance (rounded to four places, null below the least length) and
@@ -175,33 +177,38 @@ def judge(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rules:
     language is compared with all unlisted ones together. Every row is judged by itself, so
     repeated rows get equal verdicts, an empty frame gives an empty one, and columns of any
     name pass through (one named `out` is replaced).
+
+    Texts are read and measured once; the measures are written, with the columns asked for, and
+    both the references and the verdicts come from there.
     """
     rules = rules or QualityRules()
-    refs = references(df, text_col, lang_col, rules) if refs is None else refs
+    names = [c for c in columns if c.lower() != out.lower()] if columns is not None else [c for c in df.columns if c.lower() != out.lower()]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = free_name(df, "_key")
-    refs = refs.select(F.col("key").alias(key), F.struct("classes", "common").alias(key + "ref"))
+    base, histogram, key = (free_name(df, n) for n in ("_base", "_histogram", "_key"))
+    measured = df.select(
+        *[F.col(f"`{c}`") for c in names], base_measures(text).alias(base), _histogram(text, F.col(lang_col), rules).alias(histogram)
+    )
+    measured = materialize(measured, "measures")
+    refs = references(measured, histogram, rules).select(F.col("key").alias(key), F.struct("classes", "common").alias(key + "ref"))
     # One row per listed language and one for the rest: the bound of what is broadcast.
-    rows = df.join(F.broadcast(refs), _reference_key(F.col(lang_col), rules) == F.col(key), "left")
+    rows = measured.join(F.broadcast(refs), F.col(f"{histogram}.key") == F.col(key), "left")
 
     def verdict(v: Column) -> Column:
         b, h, ref = v["base"], v["histogram"], v["ref"]
         near = F.when(h["chars"] >= rules.least_chars, F.round(jensen_shannon(h["classes"], ref["classes"]), 4))
         common = F.when((h["n"] >= rules.least_words) & (h["key"] != OTHER), F.round(jensen_shannon(h["common"], ref["common"]), 4))
         failed = (b["n_words"] < rules.least_words_base) | (100 * b["n_repeat_words"] > rules.most_repeated_percent * b["n_words"])
-        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-        return let(
-            F.struct(*[b[n].alias(n) for n in names], failed.alias("base_failed"), near.alias("class_distance"), common.alias("word_distance")),
-            lambda m: F.struct(
-                *[m[n].alias(n) for n in [*names, "base_failed", "class_distance", "word_distance"]],
-                (
-                    ~m["base_failed"]
-                    & (F.coalesce(m["class_distance"], F.lit(0.0)) <= rules.most_class_distance)
-                    & (F.coalesce(m["word_distance"], F.lit(0.0)) <= rules.most_word_distance)
-                ).alias("kept"),
-            ),
-        )
+        fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+        def judged(m: Column) -> Column:
+            far = (F.coalesce(m["class_distance"], F.lit(0.0)) > rules.most_class_distance) | (
+                F.coalesce(m["word_distance"], F.lit(0.0)) > rules.most_word_distance
+            )
+            known = [m[n].alias(n) for n in [*fields, "base_failed", "class_distance", "word_distance"]]
+            return F.struct(*known, (~m["base_failed"] & ~far).alias("kept"))
+
+        found = [b[n].alias(n) for n in fields]
+        return let(F.struct(*found, failed.alias("base_failed"), near.alias("class_distance"), common.alias("word_distance")), judged)
 
-    measured = F.struct(base_measures(text).alias("base"), _histogram(text, F.col(lang_col), rules).alias("histogram"), F.col(key + "ref").alias("ref"))
-    rows = rows.withColumn(key + "out", let(measured, verdict))
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()], F.col(key + "out").alias(out))
+    parts = F.struct(F.col(base).alias("base"), F.col(histogram).alias("histogram"), F.col(key + "ref").alias("ref"))
+    return rows.select(*[F.col(f"`{c}`") for c in names], let(parts, verdict).alias(out))

@@ -72,7 +72,7 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.judge(_table(spark, folder, "documents").select("doc_id", "text", "lang")).select("doc_id", "quality.*")
+    return quality.judge(_table(spark, folder, "documents"), columns=["doc_id"]).select("doc_id", "quality.*")
 
 
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
