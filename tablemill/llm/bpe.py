@@ -5,10 +5,10 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 #: Code points worked on at once; a longer text is taken alone, whole.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 #: Distinct pieces remembered by a worker, and the longest of them.
-REMEMBERED, LONGEST = 1 << 19, 48
+REMEMBERED, LONGEST = 1 << 18, 48
 #: Pieces of up to so many bytes are merged with a plain list of their pairs.
 LISTED = 64
 NO_RANK = 1 << 62
@@ -144,34 +144,42 @@ def piece_starts(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
-class _Pieces(dict):
-    """Ids by piece; short pieces are remembered."""
-
-    vocab: Vocabulary
-
-    def __missing__(self, piece: str) -> list[int]:
-        ids = merge(piece.encode("utf-8", "surrogatepass"), self.vocab)
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 @dataclass(frozen=True)
 class Vocabulary:
-    """Ranks, what pairs of ids become, ids of bytes, and the bytes of all tokens laid end to end."""
+    """Ranks, and the bytes of all tokens laid end to end with their places."""
 
     ranks: dict[bytes, int]
-    joined: dict[int, int]
-    single: list[int]
     blob: np.ndarray
     start: np.ndarray
     length: np.ndarray
-    pieces: _Pieces
 
 
-def _merge_listed(piece: bytes, vocab: Vocabulary) -> list[int]:
+@dataclass(frozen=True)
+class Merger:
+    """Ranks, ids of bytes, and what pairs of ids become."""
+
+    ranks: dict[bytes, int]
+    single: list[int]
+    joined: dict[int, int]
+
+
+class Pieces(dict):
+    """Ids by piece, as the bytes of 32-bit numbers; short pieces are remembered."""
+
+    def __init__(self, merger: Merger):
+        super().__init__()
+        self.merger = merger
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", merge(piece.encode("utf-8", "surrogatepass"), self.merger)).tobytes()
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+def _merge_listed(piece: bytes, vocab: Merger) -> list[int]:
     """As merge(), on numbers: the ids of the parts, and the ids of what each pair would become."""
     get = vocab.joined.get
     ids = [vocab.single[b] for b in piece]
@@ -187,7 +195,7 @@ def _merge_listed(piece: bytes, vocab: Vocabulary) -> list[int]:
     return ids
 
 
-def merge(piece: bytes, vocab: Vocabulary) -> list[int]:
+def merge(piece: bytes, vocab: Merger) -> list[int]:
     """Ids of a piece: again and again the leftmost of the pairs of lowest rank becomes one part."""
     ranks = vocab.ranks
     if (own := ranks.get(piece)) is not None:
@@ -222,15 +230,19 @@ def vocabulary(path: str) -> Vocabulary:
     for token, rank in ranks.items():
         tokens[rank] = token
     length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return Vocabulary(ranks, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(length) - length, length)
+
+
+@lru_cache(2)
+def known_pieces(path: str) -> Pieces:
+    """What merging needs, for workers that encode. Every split of a token into two tokens is a pair."""
+    ranks = vocabulary(path).ranks
     joined = {}
     for token, rank in ranks.items():
         for k in range(1, len(token)):
             if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
                 joined[a << ID_BITS | b] = rank
-    single = [ranks[bytes([b])] for b in range(256)]
-    vocab = Vocabulary(ranks, joined, single, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(length) - length, length, _Pieces())
-    vocab.pieces.vocab = vocab
-    return vocab
+    return Pieces(Merger(ranks, [ranks[bytes([b])] for b in range(256)], joined))
 
 
 def _bundles(texts: list[str]) -> Iterator[list[str]]:
@@ -245,9 +257,8 @@ def _bundles(texts: list[str]) -> Iterator[list[str]]:
         yield bundle
 
 
-def encode_texts(texts: list[str], vocab: Vocabulary) -> Iterator[np.ndarray]:
+def encode_texts(texts: list[str], known: Pieces) -> Iterator[np.ndarray]:
     """The ids of each text."""
-    known = vocab.pieces
     for bundle in _bundles(texts):
         whole = "\n".join(bundle) + "\n"  # the joints are marked as ends below
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -257,7 +268,7 @@ def encode_texts(texts: list[str], vocab: Vocabulary) -> Iterator[np.ndarray]:
         places, first = starts.tolist(), 0
         for text_end in at.tolist():
             pieces = [whole[a:b] for a, b in zip(places[first:text_end], places[first + 1 : text_end + 1], strict=True)]
-            yield np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.int32)
+            yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
             first = text_end + 1
 
 
@@ -306,12 +317,12 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids: str = "ids", o
     schema = StructType([*df.select(*others).schema.fields, StructField(ids, ArrayType(IntegerType())), StructField(offsets, ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab, known = vocabulary(path), known_pieces(path)
         for batch in batches:
             lengths = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(len(others))], np.int64)
-            for part in _slices(batch, lengths, 4 * AT_ONCE):
+            for part in _slices(batch, lengths, 2 * AT_ONCE):
                 texts = [x or "" for x in part.column(len(others)).to_pylist()]
-                found = list(encode_texts(texts, vocab))
+                found = list(encode_texts(texts, known))
                 own = [part.column(k) for k in range(len(others))]
                 starts = [offsets_of(x, vocab) for x in found]
                 yield pa.RecordBatch.from_arrays([*own, _lists(found, pa.int32()), _lists(starts, pa.int64())], names=[*others, ids, offsets])
@@ -333,7 +344,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str = "offsets",
         for batch in batches:
             mine, places = batch.column(names.index(ids)), batch.column(names.index(offsets))
             sizes = np.array([len(x.values) if x.is_valid else 0 for x in mine], np.int64)
-            for part in _slices(batch, sizes, 2 * AT_ONCE):
+            for part in _slices(batch, sizes, AT_ONCE):
                 mine, places = part.column(names.index(ids)), part.column(names.index(offsets))
                 found = [
                     decode_ids(a.values.to_numpy(zero_copy_only=False), b.values.to_numpy(zero_copy_only=False), vocab) if a.is_valid else b""

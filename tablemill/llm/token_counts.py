@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 #: Documents are taken together up to so many characters, and so many documents.
-BLOCK_CHARS, BLOCK_DOCS = 24_000_000, 60_000
+BLOCK_CHARS, BLOCK_DOCS = 16_000_000, 60_000
 #: Buckets of pre-tokens for each shuffle partition.
 BUCKETS_PER_PARTITION = 2
 # The mark of a blank in the pieces, and what is always a token of its own.
