@@ -19,6 +19,8 @@ RECOMMENDED_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows with whole texts are large: smaller batches bound the memory of Python workers.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
