@@ -6,7 +6,7 @@ import base64
 import heapq
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -306,28 +306,61 @@ def _slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.
         yield batch.slice(first)
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", ids: str = "ids", offsets: str = "offsets") -> DataFrame:
-    """All columns but the text, then `ids` and the byte `offsets` at which tokens begin.
+Batches = Iterator[pa.RecordBatch]
 
-    The ids are those of the rank file's byte-level BPE without special tokens; a text's bytes
-    are all in them. A null text counts as empty and has none. Texts are whole, rows are kept
-    as they come, and an input column named like an output is left out.
-    """
-    others = [c for c in df.columns if c.lower() not in (text_col.lower(), ids.lower(), offsets.lower())]
-    schema = StructType([*df.select(*others).schema.fields, StructField(ids, ArrayType(IntegerType())), StructField(offsets, ArrayType(LongType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoder(path: str, others: list[str], ids: str, offsets: str) -> Callable[[Batches], Batches]:
+    """Batches of the other columns and the text, to the other columns, ids and offsets."""
+
+    def run(batches: Batches) -> Batches:
         vocab, known = vocabulary(path), known_pieces(path)
         for batch in batches:
             lengths = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(len(others))], np.int64)
             for part in _slices(batch, lengths, 2 * AT_ONCE):
-                texts = [x or "" for x in part.column(len(others)).to_pylist()]
-                found = list(encode_texts(texts, known))
-                own = [part.column(k) for k in range(len(others))]
-                starts = [offsets_of(x, vocab) for x in found]
-                yield pa.RecordBatch.from_arrays([*own, _lists(found, pa.int32()), _lists(starts, pa.int64())], names=[*others, ids, offsets])
+                found = list(encode_texts([x or "" for x in part.column(len(others)).to_pylist()], known))
+                starts = _lists((offsets_of(x, vocab) for x in found), pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], _lists(found, pa.int32()), starts], names=[*others, ids, offsets])
+
+    return run
+
+
+def _decoder(path: str, names: list[str], ids: str, offsets: str, out: str) -> Callable[[Batches], Batches]:
+    """Batches of all columns, to the same and the bytes decoded."""
+    mine, places = names.index(ids), names.index(offsets)
+
+    def run(batches: Batches) -> Batches:
+        vocab = vocabulary(path)
+
+        def row(a: pa.ListScalar, b: pa.ListScalar) -> bytes:
+            return decode_ids(a.values.to_numpy(zero_copy_only=False), b.values.to_numpy(zero_copy_only=False), vocab) if a.is_valid else b""
+
+        for batch in batches:
+            sizes = np.array([len(x.values) if x.is_valid else 0 for x in batch.column(mine)], np.int64)
+            for part in _slices(batch, sizes, AT_ONCE):
+                found = [row(a, b) for a, b in zip(part.column(mine), part.column(places), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*names, out])
+
+    return run
 
-    return df.select(*[F.col(f"`{c}`") for c in others], F.col(text_col)).mapInArrow(run, schema)
+
+def _others(df: DataFrame, *taken: str) -> list[str]:
+    return [c for c in df.columns if c.lower() not in {t.lower() for t in taken}]
+
+
+def _columns(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in names])
+
+
+def encode(df: DataFrame, path: str, text_col: str = "text", ids: str = "ids", offsets: str = "offsets") -> DataFrame:
+    """All columns but the text, then `ids` and the byte `offsets` at which tokens begin.
+
+    The ids are those of the rank file's byte-level BPE without special tokens; a text's bytes
+    are all in them. A null text counts as empty and has none. Texts are whole, rows are kept
+    as they come, and an input column named like an output is left out.
+    """
+    others = _others(df, text_col, ids, offsets)
+    schema = StructType([*_columns(df, others).schema.fields, StructField(ids, ArrayType(IntegerType())), StructField(offsets, ArrayType(LongType()))])
+    return _columns(df, [*others, text_col]).mapInArrow(_encoder(path, others, ids, offsets), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str = "offsets", out: str = "decoded") -> DataFrame:
@@ -336,20 +369,20 @@ def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str = "offsets",
     A run of consecutive tokens can be decoded as well, given with its own offsets. A null
     list counts as empty. An input column named `out` is replaced.
     """
-    names = [c for c in df.columns if c.lower() != out.lower()]
-    schema = StructType([*df.select(*names).schema.fields, StructField(out, BinaryType())])
+    names = _others(df, out)
+    schema = StructType([*_columns(df, names).schema.fields, StructField(out, BinaryType())])
+    return _columns(df, names).mapInArrow(_decoder(path, names, ids, offsets, out), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        for batch in batches:
-            mine, places = batch.column(names.index(ids)), batch.column(names.index(offsets))
-            sizes = np.array([len(x.values) if x.is_valid else 0 for x in mine], np.int64)
-            for part in _slices(batch, sizes, AT_ONCE):
-                mine, places = part.column(names.index(ids)), part.column(names.index(offsets))
-                found = [
-                    decode_ids(a.values.to_numpy(zero_copy_only=False), b.values.to_numpy(zero_copy_only=False), vocab) if a.is_valid else b""
-                    for a, b in zip(mine, places, strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*names, out])
 
-    return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+def round_trip(
+    df: DataFrame, path: str, text_col: str = "text", ids: str = "ids", offsets: str = "offsets", out: str = "decoded"
+) -> DataFrame:
+    """decode() of encode(), in one pass over each batch, so that ids cross to Python and back once."""
+    others = _others(df, text_col, ids, offsets, out)
+    own = [StructField(ids, ArrayType(IntegerType())), StructField(offsets, ArrayType(LongType())), StructField(out, BinaryType())]
+    encoder, decoder = _encoder(path, others, ids, offsets), _decoder(path, [*others, ids, offsets], ids, offsets, out)
+
+    def run(batches: Batches) -> Batches:
+        return decoder(encoder(batches))
+
+    return _columns(df, [*others, text_col]).mapInArrow(run, StructType([*_columns(df, others).schema.fields, *own]))

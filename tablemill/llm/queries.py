@@ -33,8 +33,7 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(_table(spark, folder, "documents").select("doc_id", "text"), path)
-    return bpe.decode(encoded, path).select(
+    return bpe.round_trip(_table(spark, folder, "documents").select("doc_id", "text"), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
