@@ -120,7 +120,9 @@ def compare_with_edit(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     before it go only the code points that one can need, and the fingerprint. Rows that repeat
     an id are all kept; as the next document they count once, by their smallest text.
     """
-    rows = fingerprint_documents(df, id_col, text_col)
+    # Fingerprints are made behind the shuffle, twice, which is cheaper than to shuffle them with the texts.
+    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    print_ = let(tree(F.col("text")), fingerprint)
     ids = df.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n"))
     ids = ids.groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
     ring = neighbours(ids.select("doc_id", "n")).join(ids.select(F.col("doc_id").alias("_id"), "rows"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
@@ -128,14 +130,14 @@ def compare_with_edit(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = ring.select(F.col("doc_id").alias("_id"), "next_id", "previous_id", F.floor(F.col("previous_n") / 2).cast("int").alias("_wanted"), "rows")
     placed = rows.join(place, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     heads = placed.select(
-        F.col("previous_id").alias("_for"), F.expr("substring(text, 1, _wanted)").alias("_head"), F.col("fingerprint").alias("_next_print"), "text", "rows"
+        F.col("previous_id").alias("_for"), F.expr("substring(text, 1, _wanted)").alias("_head"), print_.alias("_next_print"), "text", "rows"
     )
     several = heads.where("rows > 1").groupBy("_for").agg(F.min(F.struct("text", "_head", "_next_print")).alias("m"))
     heads = heads.where("rows = 1").select("_for", "_head", "_next_print").union(several.select("_for", "m._head", "m._next_print"))
     joined = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("_for"))).withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     joined = joined.withColumn("_edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("_head", F.lit(1), half)))
-    joined = joined.withColumn("edited_fingerprint", let(tree(F.col("_edited")), fingerprint))
+    joined = joined.withColumn("fingerprint", print_).withColumn("edited_fingerprint", let(tree(F.col("_edited")), fingerprint))
     return joined.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
