@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -25,7 +26,15 @@ RECOMMENDED_SETTINGS = {
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
-    """Set the recommended settings on a running session."""
+    """Set the recommended settings on a running session, and let its Python workers find this package.
+
+    Workers on other hosts need it installed or sent with --py-files.
+    """
+    own = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if own not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([own, *filter(None, known)])
     for name, value in RECOMMENDED_SETTINGS.items():
         spark.conf.set(name, value)
     return spark
