@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tablemill.errors import SpecError
 from tablemill.operators.paging import ordering, sort_rows
 from tablemill.operators.reports import lay_out, long_report
-from tablemill.plans.compile import build, build_list, count_rows, open_source, shape
+from tablemill.operators.totals import with_grand_total
+from tablemill.plans.compile import Page, build, build_list, count_rows, fetch_page, open_source, shape, states_order
 from tablemill.plans.scope import Tables, column, lookup_table
 from tablemill.plans.spec import NAME_RULE, QuerySpec, decode
 from tablemill.plans.sql import clean_sql
@@ -123,6 +124,8 @@ def union_family(spec: QuerySpec, family: Family, tables: Tables) -> DataFrame:
     holds for the union. Reports aggregate per member and are laid out together; where
     members fill the same cell, the later region's value is shown.
     """
+    if spec.execution_mode == "sql":
+        return _sql_union(spec, family, tables)
     branches = [family.tables_for(region, tables) for region in family.members]
     if len(branches) == 1:
         return build(spec, branches[0])
@@ -166,10 +169,36 @@ def union_family_sql(
         parts = [part.orderBy(*order_by).limit(limit_rows) if order_by else part.limit(limit_rows) for part in parts]
         return _stack(parts)
     stacked = _stack(parts)
-    return stacked.orderBy(*order_by) if order_by else stacked
+    keys = [F.col(key) if isinstance(key, str) else key for key in order_by]
+    return sort_rows(stacked, keys) if keys else stacked
+
+
+def _sql_union(spec: QuerySpec, family: Family, tables: Tables) -> DataFrame:
+    """SQL text of a specification over all members, with its limit, sort and grand total."""
+    session = tables if isinstance(tables, SparkSession) else SparkSession.active()
+    order = [ordering(column(s.column.strip()), s.direction) for s in spec.sort]
+    rows = union_family_sql(session, spec.sql or "", family, spec.limit_rows, order)
+    if spec.mode == "REPORT" and spec.add_grand_total:
+        return with_grand_total(rows, keep_order=bool(order) or states_order(spec.sql or ""))
+    return rows
 
 
 def family_total(spec: QuerySpec, family: Family, tables: Tables) -> DataFrame:
     """One row, ``total``: matching rows of all members, each counted on its own."""
     parts = [count_rows(spec, family.tables_for(region, tables)) for region in family.members]
     return _stack(parts).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
+
+
+def family_page(spec: QuerySpec, family: Family, tables: Tables) -> Page:
+    """The union's rows with the summed ``total`` and ``page_rows``, and ``truncated`` if a member's page is full.
+
+    For reports and SQL text the total is the number of rows shown, and nothing is cut off
+    but by a limit.
+    """
+    rows = union_family(spec, family, tables)
+    if spec.mode == "REPORT" or spec.execution_mode == "sql":
+        shown = F.count(F.lit(1))
+        return Page(rows, rows.agg(shown.alias("total"), shown.alias("page_rows"), F.lit(False).alias("truncated")))
+    parts = [fetch_page(spec, family.tables_for(region, tables)).counts for region in family.members]
+    counts = _stack(parts).agg(F.sum("total").alias("total"), F.sum("page_rows").alias("page_rows"), F.max("truncated").alias("truncated"))
+    return Page(rows, counts)

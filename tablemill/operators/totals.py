@@ -17,14 +17,16 @@ TOTAL_COLUMN = "DISCOM"
 
 
 def with_grand_total(
-    df: DataFrame, label_column: str = TOTAL_COLUMN, order_by: Sequence[str] = ()
+    df: DataFrame, label_column: str = TOTAL_COLUMN, order_by: Sequence[str] = (), keep_order: bool = True
 ) -> DataFrame:
     """Append one row that sums every numeric column of the shown rows.
 
     The label goes into ``label_column`` or else the first column, unless that column is
     numeric and is summed itself. Any other column shows its value if all rows agree on
     it, and otherwise a blank (null where the type has no blank). An empty frame, or one
-    without numeric columns, comes back unchanged. The total row sorts last.
+    without numeric columns, comes back unchanged. The total row sorts last, the others by
+    ``order_by`` or else, with ``keep_order``, as they came; without either nothing is sorted.
+    A row number behind the keys lets rows with equal keys be spread over many ranges.
     """
     fields = df.schema.fields
     if not any(isinstance(f.dataType, NumericType) for f in fields):
@@ -37,9 +39,11 @@ def with_grand_total(
         rows = rows.withColumn(names[label], column(names[label]).cast("string"))
     cells = [_total_cell(name, f, i == label).alias(name) for i, (name, f) in enumerate(zip(names, fields))]
     total = rows.agg(F.count(F.lit(1)).alias("__rows"), *cells).filter("__rows > 0").drop("__rows")
-    stacked = rows.withColumn("__total", F.lit(0)).union(total.withColumn("__total", F.lit(1)))
-    stacked = stacked.orderBy("__total", *[ordering(column(k), "ASC") for k in keys])
-    return stacked.drop("__total").toDF(*[f.name for f in fields])
+    place = F.monotonically_increasing_id()
+    stacked = rows.withColumns({"__total": F.lit(0), "__row": place}).union(total.withColumns({"__total": F.lit(1), "__row": place}))
+    if keys or keep_order:
+        stacked = stacked.orderBy("__total", *[ordering(column(k), "ASC") for k in keys], "__row")
+    return stacked.drop("__total", "__row").toDF(*[f.name for f in fields])
 
 
 def _total_cell(name: str, field: StructField, is_label: bool) -> Column:

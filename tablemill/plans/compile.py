@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,7 +122,7 @@ def _grouped(
     key_columns = {ref.qualified: column(f"__key_{i}") for i, ref in enumerate(keys)}
     aliases = {alias: column(f"__computed_{i}") for i, (_, alias, _) in enumerate(computed)}
     outputs = [(key_columns[ref.qualified], _public(ref, joined)) for ref in keys]
-    outputs += [(aliases[alias], alias) for _, alias, _ in computed]
+    outputs += [(column(f"__computed_{i}"), alias) for i, (_, alias, _) in enumerate(computed)]
     sorts = []
     for s in spec.sort:
         ref = _find(scope, s.column, aliases)
@@ -165,7 +166,9 @@ def build(spec: QuerySpec, tables: Tables) -> DataFrame:
 
         session = tables if isinstance(tables, SparkSession) else SparkSession.active()
         result = run_sql(session, spec.sql or "")
-        return with_grand_total(result) if spec.mode == "REPORT" and spec.add_grand_total else result
+        if spec.mode == "REPORT" and spec.add_grand_total:
+            return with_grand_total(result, keep_order=states_order(spec.sql or ""))
+        return result
     if spec.mode == "REPORT":
         from tablemill.operators.reports import report
 
@@ -173,6 +176,11 @@ def build(spec: QuerySpec, tables: Tables) -> DataFrame:
     return build_list(spec, tables)
 
 
+def states_order(text: str) -> bool:
+    """Whether SQL text may state an order. One in a subquery or a literal only costs a needless sort."""
+    return bool(re.search(r"\b(ORDER|SORT)\s+BY\b", text, re.IGNORECASE))
+
+
 def check_operators(spec: QuerySpec, tables: Tables) -> None:
     """Refuse filters whose operator is not offered for the column's type."""
     scope = open_source(spec.with_(filters=()), tables).scope
@@ -186,6 +194,11 @@ def count_rows(spec: QuerySpec, tables: Tables) -> DataFrame:
     return open_source(spec, tables).frame.agg(F.count(F.lit(1)).alias("total"))
 
 
+def _may_group(spec: QuerySpec) -> bool:
+    computed = any(f.func != "COALESCE" for f in spec.function_columns) or any(c.aggregate_func for c in spec.case_expressions)
+    return bool(spec.group_by or spec.aggregates or computed)
+
+
 @dataclass
 class Page:
     """One page of a result with its size information."""
@@ -198,10 +211,18 @@ class Page:
 
 
 def fetch_page(spec: QuerySpec, tables: Tables) -> Page:
-    """The page plus ``total``, ``page_rows`` and ``truncated`` (the page is full)."""
+    """The page plus ``total``, ``page_rows`` and ``truncated`` (the page is full).
+
+    Without grouping the size of the page follows from the total, and the data are counted once.
+    """
     rows = build_list(spec, tables)
-    total = count_rows(spec, tables).select("total", F.lit(0).cast("long").alias("page_rows"))
-    shown = rows.agg(F.count(F.lit(1)).alias("page_rows")).select(F.lit(0).cast("long").alias("total"), "page_rows")
-    counts = total.union(shown).agg(F.max("total").alias("total"), F.max("page_rows").alias("page_rows"))
+    counts = count_rows(spec, tables)
+    if _may_group(spec):
+        shown = rows.agg(F.count(F.lit(1)).alias("page_rows")).select(F.lit(0).cast("long").alias("total"), "page_rows")
+        counts = counts.select("total", F.lit(0).cast("long").alias("page_rows")).union(shown)
+        counts = counts.agg(F.max("total").alias("total"), F.max("page_rows").alias("page_rows"))
+    else:
+        left = F.greatest(F.col("total") - spec.offset, F.lit(0).cast("long"))
+        counts = counts.withColumn("page_rows", F.least(left, F.lit(spec.limit_rows).cast("long")) if spec.limit_rows else left)
     full = F.lit(False) if not spec.limit_rows else F.col("page_rows") == spec.limit_rows
     return Page(rows, counts.withColumn("truncated", full))

@@ -134,8 +134,10 @@ def list_items(spark: SparkSession, files: list[InputFile]) -> list[Item]:
     return sorted(items, key=lambda item: (item.path, item.member, item.number))
 
 
-def padded(row: list[str | None], width: int) -> list[str | None]:
-    """A record cut or filled to its header's width."""
+def padded(row: list[str | None], width: int, label: str) -> list[str | None]:
+    """A record filled to its header's width; cells beyond it are refused, blank ones aside."""
+    if any(row[width:]):
+        raise SpecError(f"{label}: a record has {len(row)} cells, its header {width}.")
     return row[:width] + [None] * (width - len(row))
 
 
@@ -169,7 +171,7 @@ def read_items(spark: SparkSession, items: list[Item], header: bool = True) -> D
                 rows = iter(start())
                 first = next(rows)
                 names = names_of(tuple(c or "" for c in first))
-                body = (padded(row, len(names)) for row in (rows if header else chain([first], rows)))
+                body = (padded(row, len(names), label) for row in (rows if header else chain([first], rows)))
                 while chunk := list(islice(body, BATCH_ROWS)):
                     yield batch_of(label, sheet, names, chunk)
                 tables.close()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -15,9 +16,10 @@ from tablemill.functions.casts import JAVA_SUFFIX
 from tablemill.functions.inference import wider
 from tablemill.plans.scope import column
 from tablemill.sources.files import InputFile, as_files, literal_path
-from tablemill.sources.heads import DETECT, heads, unique_headers
+from tablemill.sources.heads import DETECT, candidates, heads, record_widths, unique_headers, wide_records
 
-SPLIT_SETTING = "spark.sql.files.maxPartitionBytes"
+# What happens to cells beyond the header: an error, or columns of their own.
+REFUSE, KEEP = "refuse", "keep"
 # Texts that count as missing in uploaded sheets.
 MISSING_WORDS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -33,6 +35,7 @@ def read_csv(
     schema: StructType | None = None,
     infer: bool = True,
     sampling: float | None = None,
+    wide: str = REFUSE,
 ) -> DataFrame:
     """Scan delimited files as one table. Types are inferred unless a schema is given.
 
@@ -40,7 +43,7 @@ def read_csv(
     to infer from a share of the rows. Gzipped files are read by their suffix.
     """
     infer = infer and schema is None
-    return read_csv_set(spark, source, header, sep, filename=False, infer=infer, schema=schema, sampling=sampling)
+    return read_csv_set(spark, source, header, sep, filename=False, infer=infer, schema=schema, sampling=sampling, wide=wide)
 
 
 def read_tsv(spark: SparkSession, source: str | list[str], header: bool = True, **options) -> DataFrame:
@@ -56,15 +59,16 @@ def read_csv_set(
     infer: bool = False,
     schema: StructType | None = None,
     sampling: float | None = None,
+    wide: str = REFUSE,
 ) -> DataFrame:
     """Union of delimited files by column name; columns a file lacks are null.
 
     All columns are text unless ``infer`` or ``schema`` says otherwise, so ``DV_111368`` and
     ``123`` can share a column. ``filename`` adds the path of each row's file. Files with
-    equal headers share one scan.
+    equal headers share one scan. ``wide`` says what becomes of cells beyond the header.
     """
     files = as_files(source)
-    groups = scan_groups(spark, files, header, sep)
+    groups = scan_groups(spark, files, header, sep, wide)
     if not groups:
         raise SpecError("The input files hold no rows and no headers.")
     if infer:
@@ -84,7 +88,12 @@ def read_csv_lenient(
 
 
 def union_by_name(parts: Iterable[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    """Union as a balanced tree, so that its depth grows with the logarithm of the parts."""
+    parts = list(parts)
+    while len(parts) > 1:
+        pairs = (parts[i : i + 2] for i in range(0, len(parts), 2))
+        parts = [reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pair) for pair in pairs]
+    return parts[0]
 
 
 def blank_missing(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
@@ -116,46 +125,110 @@ class ScanGroup:
     paths: list[str]
 
 
-def scan_groups(spark: SparkSession, files: list[InputFile], header: bool = True, sep: str = DETECT) -> list[ScanGroup]:
-    """Group files by how they have to be read. Files without any record are left out."""
-    shared: dict[tuple[str, ...], tuple[str, ...]] = {}
-    first: dict[str, tuple[str, tuple[str, ...]]] = {}
-    for row in heads(spark, files, sep).toLocalIterator():
-        cells = tuple(row["cells"])
-        first[row["path"]] = row["mark"], shared.setdefault(cells, cells)
-    multi = _multi_line(spark, [f for f in files if f.path in first])
-    groups: dict[object, ScanGroup] = {}
-    for f in files:
-        if f.path in first:
-            mark, cells = first[f.path]
-            names = tuple(unique_headers(cells) if header else (f"column{i}" for i in range(len(cells))))
-            key = names, mark, f.path in multi
-            groups.setdefault(key, ScanGroup(*key, [])).paths.append(f.path)
-    return list(groups.values())
+@dataclass
+class _Layout:
+    """How the whole of one file looks: its header and widest record by delimiter."""
+
+    mark: str
+    headers: dict[str, tuple[str, ...]]
+    widest: dict[str, int]
+    multi_line: bool
+
+    def fits(self, mark: str) -> bool:
+        return self.widest[mark] <= len(self.headers[mark])
 
+    def settle(self) -> bool:
+        """Whether no record has more cells than the header, by another delimiter if need be.
 
-def _multi_line(spark: SparkSession, files: list[InputFile]) -> set[str]:
-    """Files to read whole, so that a quoted line break stays inside its record.
+        A header that a delimiter leaves in one piece only counts if all of them do.
+        """
+        if not self.fits(self.mark):
+            whole = max(map(len, self.headers.values())) == 1
+            others = [m for m, cells in self.headers.items() if self.fits(m) and (whole or len(cells) > 1)]
+            self.mark = max(others, key=lambda m: len(self.headers[m]), default=self.mark)
+        return self.fits(self.mark)
 
-    A file of at most one split, or a gzipped one, is read by one task anyway. A larger
-    file is read whole only if it has a line with an odd number of quotes, which every
-    record with a quoted line break has; all others stay splittable.
+
+def scan_groups(
+    spark: SparkSession, files: list[InputFile], header: bool = True, sep: str = DETECT, wide: str = REFUSE
+) -> list[ScanGroup]:
+    """Group files by how they have to be read. Files without any record are left out.
+
+    Delimiters are judged by all records of a file. Where records have more cells than the
+    header by any delimiter, ``REFUSE`` names the files and counts those records, and
+    ``KEEP`` gives the cells columns of their own, called ``Column_i``.
+    """
+    if wide not in (REFUSE, KEEP):
+        raise SpecError(f"Wide records are handled by {REFUSE!r} or {KEEP!r}; got {wide!r}.")
+    layouts = _layouts(spark, files, sep)
+    unfit = {path: layout for path, layout in layouts.items() if not layout.settle()}
+    if unfit and wide == REFUSE:
+        found = wide_records(spark, [(p, x.mark, len(x.headers[x.mark])) for p, x in unfit.items()])
+        listed = ", ".join(f"{r['path']} ({r['n']})" for r in found.orderBy("path").limit(20).collect())
+        raise SpecError(f"Records with more cells than their header in {len(unfit)} files: {listed}")
+    members: dict[object, list[str]] = {}
+    widths: dict[object, int] = {}
+    for f in files:
+        if f.path in layouts:
+            layout = layouts[f.path]
+            key = layout.headers[layout.mark], layout.mark, layout.multi_line
+            members.setdefault(key, []).append(f.path)
+            widths[key] = max(widths.get(key, 0), layout.widest[layout.mark])
+    groups = []
+    for (cells, mark, multi), paths in members.items():
+        cells = (*cells, *[""] * (widths[cells, mark, multi] - len(cells)))
+        names = tuple(unique_headers(cells) if header else (f"column{i}" for i in range(len(cells))))
+        groups.append(ScanGroup(names, mark, multi, paths))
+    return groups
+
+
+def _layouts(spark: SparkSession, files: list[InputFile], sep: str) -> dict[str, _Layout]:
+    """The layout of every file with a record: heads from its first bytes, widths from one pass over all lines.
+
+    A line with an odd number of quotes may be part of a record with a quoted line break.
+    Files with such lines are measured by records and read whole; all others stay splittable.
     """
-    split = _bytes(spark.conf.get(SPLIT_SETTING, "128MB"))
-    whole = {f.path for f in files if f.size <= split or f.name.lower().endswith(".gz")}
-    large = [f.path for f in files if f.path not in whole]
-    if large:
-        lines = spark.read.text([literal_path(path) for path in large]).select(file_label().alias("path"), "value")
-        odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
-        hits = lines.filter(odd).select("path").distinct().toLocalIterator()
-        whole |= {row["path"] for row in hits}
-    return whole
-
-
-def _bytes(text: str) -> int:
-    digits = "".join(c for c in text if c.isdigit())
-    scale = {"k": 10, "m": 20, "g": 30, "t": 40}.get(text.lower().replace("b", "").strip()[-1], 0)
-    return int(digits) << scale
+    shared: dict[tuple[str, ...], tuple[str, ...]] = {}
+    found: dict[str, _Layout] = {}
+    for row in heads(spark, files, sep).toLocalIterator():
+        cells = tuple(row["cells"])
+        layout = found.setdefault(row["path"], _Layout("", {}, {}, True))
+        layout.headers[row["mark"]] = shared.setdefault(cells, cells)
+        layout.mark = row["mark"] if row["chosen"] else layout.mark
+    if not found:
+        return found
+    marks = candidates(sep)
+    listed = [f for f in files if f.path in found]
+    for row in _line_widths(spark, listed, marks).filter(~F.col("odd")).toLocalIterator():
+        if row["path"] in found:
+            found[row["path"]].multi_line = False
+            found[row["path"]].widest = {m: row[f"w{i}"] for i, m in enumerate(marks)}
+    whole = [f for f in listed if found[f.path].multi_line]
+    if whole:
+        for row in record_widths(spark, whole, marks).toLocalIterator():
+            found[row["path"]].widest = dict(zip(marks, row["widest"]))
+    return found
+
+
+def _line_widths(spark: SparkSession, files: list[InputFile], marks: tuple[str, ...]) -> DataFrame:
+    """path, odd (a line has an odd number of quotes), and the most cells of a line for each delimiter."""
+    lines = spark.read.text([literal_path(f.path) for f in files]).select(file_label().alias("path"), "value")
+    odd = F.max(_occurrences(F.col("value"), '"') % 2 == 1).alias("odd")
+    return lines.groupBy("path").agg(odd, *[F.max(_cells(m)).alias(f"w{i}") for i, m in enumerate(marks)])
+
+
+def _occurrences(text: Column, mark: str) -> Column:
+    """In bytes, so that undecodable text does not hide a mark."""
+    lost = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
+    return (lost / len(mark.encode())).cast("int")
+
+
+def _cells(mark: str) -> Column:
+    """Cells of a line; marks inside of a quoted cell do not count."""
+    value = F.col("value")
+    quoted = rf'(^|{re.escape(mark)})"[^"]*+(?:""[^"]*+)*+"'
+    bare = F.when(value.contains('"'), F.regexp_replace(value, quoted, "$1")).otherwise(value)
+    return _occurrences(bare, mark) + 1
 
 
 def file_label() -> Column:

@@ -72,11 +72,18 @@ def _widths(sample: str, mark: str) -> list[int]:
     return [len(row) for row in csv.reader(io.StringIO(sample, newline=""), delimiter=mark) if row][:20]
 
 
+def candidates(sep: str) -> tuple[str, ...]:
+    """The delimiters in question."""
+    return DELIMITERS if sep in (DETECT, COMMA_FIRST) else (sep,)
+
+
 def heads(spark: SparkSession, files: Iterable[InputFile], sep: str) -> DataFrame:
-    """Delimiter and first record of every file that has one: path, mark, cells.
+    """First record of every file that has one, by each delimiter in question: path, mark, cells, chosen.
 
-    ``sep`` is a delimiter, ``DETECT`` or ``COMMA_FIRST``.
+    ``sep`` is a delimiter, ``DETECT`` or ``COMMA_FIRST``. ``chosen`` marks the delimiter that
+    the file's beginning speaks for.
     """
+    marks = candidates(sep)
 
     def delimiter(path: str) -> str:
         if sep not in (DETECT, COMMA_FIRST):
@@ -87,20 +94,55 @@ def heads(spark: SparkSession, files: Iterable[InputFile], sep: str) -> DataFram
             data = data[: data.rfind(b"\n") + 1] or data
         return sniff(data.decode("utf-8-sig", errors="replace"), "," if sep == COMMA_FIRST else None)
 
-    columns = {"path": pa.string(), "mark": pa.string(), "cells": pa.list_(pa.string())}
+    columns = {"path": pa.string(), "mark": pa.string(), "cells": pa.list_(pa.string()), "chosen": pa.bool_()}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for path in batch.column("path").to_pylist():
-                mark = delimiter(path)
-                with open_binary(path) as stream:
-                    first = next(text_rows(stream, mark), None)
-                if first:
-                    found.append((path, mark, first))
+                best = delimiter(path)
+                for mark in marks:
+                    with open_binary(path) as stream:
+                        first = next(text_rows(stream, mark), None)
+                    if first:
+                        found.append((path, mark, first, mark == best))
+            yield record_batch(columns, found)
+
+    return path_frame(spark, files).mapInArrow(read, "path string, mark string, cells array<string>, chosen boolean")
+
+
+def record_widths(spark: SparkSession, files: Iterable[InputFile], marks: tuple[str, ...]) -> DataFrame:
+    """path, widest: the most cells of any record, for each delimiter. Each file is read by one task."""
+    columns = {"path": pa.string(), "widest": pa.list_(pa.int32())}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                widest = []
+                for mark in marks:
+                    with open_binary(path) as stream:
+                        widest.append(max(map(len, text_rows(stream, mark)), default=0))
+                found.append((path, widest))
+            yield record_batch(columns, found)
+
+    return path_frame(spark, files).mapInArrow(read, "path string, widest array<int>")
+
+
+def wide_records(spark: SparkSession, files: list[tuple[str, str, int]]) -> DataFrame:
+    """path, n: records with more cells than a width, for files given as path, delimiter and width."""
+    columns = {"path": pa.string(), "n": pa.int64()}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for place in batch.to_pylist():
+                with open_binary(place["path"]) as stream:
+                    found.append((place["path"], sum(len(row) > place["width"] for row in text_rows(stream, place["mark"]))))
             yield record_batch(columns, found)
 
-    return path_frame(spark, files).mapInArrow(read, "path string, mark string, cells array<string>")
+    frame = spark.createDataFrame(files, "path string, mark string, width int")
+    return frame.repartition(len(files)).mapInArrow(read, "path string, n long")
 
 
 def unique_headers(names: Iterable[str | None]) -> list[str]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablemill import Filter, FunctionColumn, Pivot, QuerySpec, Sort
 from tablemill.operators.families import (
-    REGION_CODES, TABLE_PLACEHOLDER, Family, family_of_partitions, family_total, union_family, union_family_sql,
+    REGION_CODES, TABLE_PLACEHOLDER, Family, family_of_partitions, family_page, family_total, union_family, union_family_sql,
 )
 from tablemill.session import scratch_path
 from workload import Case, table_reader
@@ -84,6 +84,33 @@ def _total(spark: SparkSession, folder: str) -> DataFrame:
 CASES["family_total"] = Case(_total, f"{MEMBERS} SELECT COUNT(*) AS total FROM member WHERE c_mktsegment = 'BUILDING'")
 
 
+def _page(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of a page over all members: 20 rows of each, behind its first 5."""
+    spec = QuerySpec(table=TABLE_PLACEHOLDER, filters=(Filter("c_mktsegment", "=", "BUILDING"),), sort=(Sort("c_custkey"),), limit_rows=20, offset=5)
+    return family_page(spec, FAMILY, family_of_partitions(members(spark, folder), FAMILY, "region")).counts
+
+
+CASES["family_page"] = Case(_page, f"""{MEMBERS}, sizes AS (SELECT COUNT(*) FILTER (c_mktsegment = 'BUILDING') AS n FROM member GROUP BY region)
+    SELECT SUM(n)::BIGINT AS total, SUM(LEAST(20, GREATEST(n - 5, 0)))::BIGINT AS page_rows, MAX(n - 5 >= 20) AS truncated FROM sizes""")
+
+
+def _payload(spark: SparkSession, folder: str) -> DataFrame:
+    """SQL text over the family by specification, with a sort and a total of all members."""
+    find = family_of_partitions(members(spark, folder), FAMILY, "region")
+    for region in FAMILY.members:
+        find(FAMILY.table(region)).createOrReplaceTempView(FAMILY.table(region))
+    spec = QuerySpec.from_dict({
+        "execution_mode": "sql", "mode": "REPORT", "add_grand_total": True, "limit_rows": 0,
+        "sql": "SELECT '{{DISCOM}}' AS discom, c_mktsegment, COUNT(*) AS n FROM {{MASTER_TABLE}} GROUP BY c_mktsegment",
+        "sort": [{"column": "discom", "direction": "ASC"}, {"column": "c_mktsegment", "direction": "ASC"}],
+    })
+    return union_family(spec, FAMILY, spark)
+
+
+CASES["family_sql_payload"] = Case(_payload, f"""{MEMBERS}, r AS (SELECT region AS discom, c_mktsegment, COUNT(*) AS n FROM member GROUP BY ALL)
+    SELECT * FROM r UNION ALL SELECT 'GRAND TOTAL', '', SUM(n)::BIGINT FROM r""")
+
+
 def _template(spark: SparkSession, folder: str) -> DataFrame:
     find = family_of_partitions(members(spark, folder), FAMILY, "region")
     for region in FAMILY.members:

@@ -9,19 +9,20 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.session import scratch_path
 from tablemill.sources.catalog import create_object, drop_object, list_tables, preview, read_source
 from tablemill.sources.containers import read_xlsx, read_zip
-from tablemill.sources.delimited import read_csv, read_csv_lenient, read_csv_set, read_tsv, with_headers
+from tablemill.sources.delimited import KEEP, read_csv, read_csv_lenient, read_csv_set, read_tsv, with_headers
 from tablemill.sources.exports import export_csv, sample_once
 from tablemill.sources.files import file_system
 from tablemill.sources.folders import conflicting_columns, detect_columns, merge_folder, merge_frame
 from tablemill.sources.imports import ColumnMap, import_csv
 from tablemill.sources.parquet import csv_to_parquet, read_parquet_set
-from tablemill.streaming.ingest import expand_path, ingest
+from tablemill.sources.heads import COMMA_FIRST
+from tablemill.streaming.ingest import expand_path, ingest, ingest_by_name
 from workload import Case, Query, table_reader
 
 CASES: dict[str, Case] = {}
@@ -103,6 +104,30 @@ def csv_lenient(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv_lenient(spark, f"{root}/*/*.csv", filename=False)
 
 
+def as_lines(line: Column, header: str, df: DataFrame, path: str) -> None:
+    """Lines as they are below a header line, in every file of a folder."""
+    df.select(line.alias(header)).write.options(header=True, sep="\u0001").csv(path)
+
+
+@case("""SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status,
+                CASE WHEN o_orderkey % 50 = 49 THEN CAST(o_custkey AS VARCHAR) END AS Column_3 FROM orders""")
+def csv_wide_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells beyond the header, in a few late records, are kept under names of their own."""
+    root = scratch_path(spark, "wide")
+    extra = F.when(F.col("o_orderkey") % 50 == 49, F.col("o_custkey"))
+    as_lines(F.concat_ws(",", "o_orderkey", "o_orderstatus", extra), "id,status", table_reader(spark, folder)("orders"), root)
+    return read_csv_set(spark, f"{root}/*.csv", filename=False, wide=KEEP)
+
+
+@case("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 50 = 49 THEN 'a, b, c' ELSE o_orderstatus END AS note FROM orders""")
+def csv_late_delimiter(spark: SparkSession, folder: str) -> DataFrame:
+    """Commas are given up for a file whose later records have too many of them."""
+    root = scratch_path(spark, "late")
+    note = F.when(F.col("o_orderkey") % 50 == 49, "a, b, c").otherwise(F.col("o_orderstatus"))
+    as_lines(F.concat_ws(";", "o_orderkey", note), "id;note", table_reader(spark, folder)("orders"), root)
+    return read_csv_set(spark, f"{root}/*.csv", filename=False, sep=COMMA_FIRST)
+
+
 @case("""SELECT o_orderkey AS id, o_orderstatus AS status, NULL AS balance FROM orders
          UNION ALL SELECT c_custkey, NULL, c_acctbal FROM customer""")
 def parquet_merge_schema(spark: SparkSession, folder: str) -> DataFrame:
@@ -330,3 +355,16 @@ def ingest_available_now(spark: SparkSession, folder: str) -> DataFrame:
         ingest(spark, landing, target, marks, events.schema)
     return spark.read.parquet(target).groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@case("SELECT event_type, COUNT(*) AS n, COUNT(DISTINCT user_id) AS users, SUM(event_id)::BIGINT AS ids FROM events GROUP BY event_type")
+def ingest_mixed_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """The second delivery has its columns in another order; both are matched by name."""
+    events = table_reader(spark, folder)("events").select("event_id", "user_id", "event_type")
+    landing, target, marks = (scratch_path(spark, label) for label in ("landing", "ingested", "marks"))
+    late = F.col("user_id") % 2 == 1
+    for part in (events.filter(~late), events.filter(late).select("event_type", "user_id", "event_id")):
+        part.write.mode("append").option("header", True).csv(landing)
+        ingest_by_name(spark, landing, target, marks, events.schema)
+    return spark.read.parquet(target).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.sum("event_id").alias("ids"))

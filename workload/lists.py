@@ -310,7 +310,7 @@ def _split_join(how: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         read = table_reader(spark, folder)
         parts = read("part").select("p_partkey", "p_name")
-        lines = read("lineitem").filter(F.col("l_quantity") > 48).select("l_partkey", "l_orderkey", "l_linenumber")
+        lines = read("lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
         if how == "left":
             return equi_join(parts, lines, [("p_partkey", "l_partkey")], "left", split=True)
         return equi_join(lines, parts, [("l_partkey", "p_partkey")], "right", split=True)
@@ -318,7 +318,7 @@ def _split_join(how: str):
     return run
 
 
-LARGE = "(SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 48)"
+LARGE = "(SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem)"
 CASES["join_left_split"] = Case(
     _split_join("left"), f"SELECT p_partkey, p_name, l.* FROM part LEFT JOIN {LARGE} l ON p_partkey = l_partkey"
 )

@@ -92,19 +92,19 @@ def _monthly(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _supply(spark: SparkSession, folder: str) -> DataFrame:
-    """Return flags and line states as the supply-type lookup; every type repeats."""
+    """Return flags and line states as the supply-type lookup; every type repeats, and one has another name there."""
     return table_reader(spark, folder)("lineitem").select(
-        F.concat("l_returnflag", "l_linestatus").alias("SUPPLY_TYPE"), F.col("l_returnflag").alias("CATEGORY"),
-        F.col("l_orderkey").alias("place"),
-    ).filter(F.col("SUPPLY_TYPE") != "NO")
+        F.replace(F.concat("l_returnflag", "l_linestatus"), F.lit("NO"), F.lit("NONE")).alias("SUPPLY_TYPE"),
+        F.col("l_returnflag").alias("CATEGORY"), F.col("l_orderkey").alias("place"),
+    )
 
 
 HIERARCHY = """hierarchy AS (SELECT 'D' || n_nationkey AS DIV_CODE, r_name AS DISCOM, n_regionkey AS CIR_SP_ID, r_regionkey AS ZON_SP_ID,
     s_name AS DIV_NAME, n_name AS CIRCLE_NAME, r_name AS ZONE_NAME, 'S' || s_suppkey AS SDO_SP_ID, s_name AS SDO_NAME, s_suppkey AS place
     FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
   division AS (SELECT * FROM hierarchy QUALIFY ROW_NUMBER() OVER (PARTITION BY DIV_CODE ORDER BY place) = 1),
-  supply AS (SELECT DISTINCT l_returnflag || l_linestatus AS SUPPLY_TYPE, l_returnflag AS CATEGORY FROM lineitem
-             WHERE l_returnflag || l_linestatus <> 'NO')"""
+  supply AS (SELECT DISTINCT replace(l_returnflag || l_linestatus, 'NO', 'NONE') AS SUPPLY_TYPE, l_returnflag AS CATEGORY
+             FROM lineitem)"""
 MONTHLY = """monthly AS (SELECT CASE WHEN l_linenumber = 7 THEN l_orderkey || '.0' ELSE CAST(l_orderkey AS VARCHAR) END AS ACCT_ID, l_linenumber,
     'D' || (l_suppkey % 30) AS DIV_CODE, 'S' || l_suppkey AS SDO_CODE,
     CASE WHEN l_linenumber = 6 THEN 'bad' ELSE CAST(l_quantity / 4 AS VARCHAR) END AS LOAD,

@@ -124,3 +124,14 @@ CASES["grand_total_label"] = Case(
        SELECT scope, "DISCOM", CAST(c_nationkey AS BIGINT) AS c_nationkey, n FROM r
        UNION ALL SELECT 'all', 'GRAND TOTAL', CAST(SUM(c_nationkey) AS BIGINT), CAST(SUM(n) AS BIGINT) FROM r""",
 )
+
+
+def _sql_total(spark: SparkSession, folder: str) -> DataFrame:
+    """A grand total below an ordered SQL text over every line item."""
+    table_reader(spark, folder)("lineitem").createOrReplaceTempView("report_lines")
+    text = "SELECT CONCAT('L', l_orderkey) AS line, l_linenumber AS number, l_partkey FROM report_lines ORDER BY l_partkey, l_orderkey, l_linenumber"
+    return build(QuerySpec.from_dict({"execution_mode": "sql", "mode": "REPORT", "add_grand_total": True, "sql": text}), spark)
+
+
+CASES["sql_report_total"] = Case(_sql_total, """SELECT 'L' || l_orderkey AS line, l_linenumber::BIGINT AS number, l_partkey::BIGINT AS l_partkey FROM lineitem
+    UNION ALL SELECT 'GRAND TOTAL', SUM(l_linenumber)::BIGINT, SUM(l_partkey)::BIGINT FROM lineitem""")
