@@ -77,8 +77,10 @@ def links(distinct: DataFrame, paired: int = PAIRED_BUCKET) -> DataFrame:
     the smallest. Every pair within two bits is found in one way or the other; with large
     buckets the pair itself may be represented by a path.
     """
-    counted = _variants(distinct).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    crowded = materialize(counted, "buckets")
+    each = _variants(distinct)
+    # Counted with partial sums and joined, which splits a crowded bucket over tasks.
+    shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = materialize(each.join(shared, "key"), "buckets")
     small = crowded.where(F.col("n") <= paired)
     a, b = small.select("key", F.col("fp").alias("a")), small.select("key", F.col("fp").alias("b"))
     pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.expr("bit_count(a ^ b)") <= MOST_BITS)).select("a", "b")
@@ -86,6 +88,7 @@ def links(distinct: DataFrame, paired: int = PAIRED_BUCKET) -> DataFrame:
     masks = F.array(*[F.lit(m - ((m >> 63) << 64)).cast("long") for m in wiped])
     many = crowded.where(F.col("n") > paired).select("fp").distinct()
     cliques = many.select("fp", F.posexplode(masks).alias("w", "m")).select("w", F.expr("fp & ~m").alias("rest"), "fp")
+    # At most four share a window here.
     least = cliques.withColumn("b", F.min("fp").over(Window.partitionBy("w", "rest"))).where("fp <> b")
     return pairs.union(least.select("fp", "b")).distinct()
 
