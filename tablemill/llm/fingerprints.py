@@ -14,9 +14,14 @@ BRANCH_DIGITS = 12
 ORDER_PARTS = 64
 
 
+# What ends a section, and what ends a leaf.
+SECTION_END, LEAF_END = r"\n[ \t\r]*\n[ \t\n\x0B\f\r]*", r"(?:\n|[.!?:;,|]+[ \t\r]+)"
+
+
 def _pieces(text: Column, ends: str) -> Column:
-    """The text cut behind each match of `ends`, nothing left out."""
-    return F.split(F.regexp_replace(text, f"({ends})(?=.)", "$1\u0000"), "\u0000")
+    """The text cut behind each match of `ends`, nothing left out; the empty rest behind a last one is none."""
+    cut = F.split(F.regexp_replace(text, f"({ends})", "$1\u0000"), "\u0000")
+    return F.filter(cut, lambda x, i: (x != "") | (i == 0))
 
 
 def tree(text: Column) -> Column:
@@ -28,10 +33,10 @@ def tree(text: Column) -> Column:
     counts as an empty text, which has one section of one empty leaf.
     """
     whole = F.regexp_replace(F.coalesce(text, F.lit("")), "\u0000", "\u0001")
-    sections = _pieces(whole, r"\n[ \t\r]*\n\s*")
+    sections = _pieces(whole, SECTION_END)
 
     def section(s: Column) -> Column:
-        leaves = F.transform(_pieces(s, r"(?:\n|[.!?:;,|]+[ \t\r]+)"), lambda x: F.sha2(x, 256))
+        leaves = F.transform(_pieces(s, LEAF_END), lambda x: F.sha2(x, 256))
         return F.struct(F.sha2(F.array_join(leaves, ""), 256).alias("hash"), leaves.alias("leaves"))
 
     return F.transform(sections, section)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from tablemill.llm.fingerprints import BRANCH_DIGITS, LEAF_END, SECTION_END
+from tablemill.llm.quality import CLASSES, OTHER, SYMBOLS, QualityRules
 from tablemill.llm.sharding import ShardPlan, fill_table
 from tablemill.llm.url_filters import Rule
 
@@ -97,3 +99,96 @@ def url_filters(rules: Sequence[Rule]) -> str:
         COALESCE(said, CASE WHEN url IN (SELECT url FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
     FROM j
     """
+
+
+def _cut(text: str, ends: str, place: str) -> str:
+    """The text cut behind each match of `ends`; `place` names the lambda's variables."""
+    cut = f"string_split(regexp_replace({text}, '({ends})', '\\1' || chr(0), 'g'), chr(0))"
+    return f"list_filter({cut}, lambda {place}, {place}_i: {place} <> '' OR {place}_i = 1)"
+
+
+def _short(hashes: str) -> str:
+    return f"list_transform({hashes}, lambda h: h[1:{BRANCH_DIGITS}])"
+
+
+FINGERPRINTS = f"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS text FROM documents),
+ring AS (
+    SELECT doc_id, text, COALESCE(lead(text) OVER w, first_value(text) OVER w) AS next_text, COALESCE(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
+    FROM d WINDOW w AS (ORDER BY doc_id DESC)
+),
+e AS (
+    SELECT doc_id, next_id, length(text) AS n_chars, text,
+        substring(text, 1, length(text) - length(text) // 2) || substring(next_text, 1, length(text) // 2) AS edited
+    FROM ring
+),
+texts AS (SELECT doc_id, 'own' AS kind, text FROM e UNION ALL SELECT doc_id, 'edited', edited FROM e),
+leaves AS (
+    SELECT doc_id, kind, list_transform({_cut("replace(text, chr(0), chr(1))", SECTION_END, "s")}, lambda s: list_transform({_cut("s", LEAF_END, "x")}, lambda x: sha256(x))) AS t
+    FROM texts
+),
+hashed AS (SELECT doc_id, kind, t, list_transform(t, lambda s: sha256(array_to_string(s, ''))) AS h FROM leaves),
+prints AS (
+    SELECT doc_id, kind, sha256(array_to_string(h, '')) AS root, list_distinct({_short("flatten(t)")}) AS own,
+        array_to_string(list_transform(t, lambda s, i: h[i][1:{BRANCH_DIGITS}] || '=' || array_to_string({_short("s")}, ',')), ';') AS branches
+    FROM hashed
+),
+sides AS (
+    SELECT e.doc_id, n_chars, edited, a, b, c FROM e JOIN prints a ON a.kind = 'own' AND a.doc_id = e.doc_id
+    JOIN prints b ON b.kind = 'edited' AND b.doc_id = e.doc_id JOIN prints c ON c.kind = 'own' AND c.doc_id = e.next_id
+)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, a.root || ':' || a.branches AS fingerprint, b.root || ':' || b.branches AS edited_fingerprint,
+    CASE WHEN a.root = b.root THEN 1.0::DOUBLE ELSE ROUND(2 * len(list_intersect(a.own, b.own))::DOUBLE / (len(a.own) + len(b.own)), 6) END AS near_edited,
+    CASE WHEN a.root = c.root THEN 1.0::DOUBLE ELSE ROUND(2 * len(list_intersect(a.own, c.own))::DOUBLE / (len(a.own) + len(c.own)), 6) END AS near_next
+FROM sides
+"""
+
+
+def quality(rules: QualityRules) -> str:
+    """Base measures by rows of words; histograms as rows of (document, kind, place, count)."""
+    lists = ", ".join(f"({_text(k)}, {_text(w)}, {n})" for k, v in rules.common.items() for n, w in enumerate(v.split(), 1))
+    longest = max(len(v.split()) for v in rules.common.values())
+    names = ", ".join(map(_text, rules.common))
+    taken = [f"length(text) - length(regexp_replace(text, {_text(p + '+')}, '', 'g'))" for p in CLASSES.values()]
+    rest = f"length(text) - ({' + '.join(taken)})"
+    return rf"""
+    WITH d AS (
+        SELECT doc_id, COALESCE(text, '') AS text, CASE WHEN lang IN ({names}) THEN lang ELSE {_text(OTHER)} END AS key,
+            {WORDS.format(text="text")} AS words, list_filter(string_split(COALESCE(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines
+        FROM documents
+    ),
+    placed AS (SELECT doc_id, unnest(words) AS x, generate_subscripts(words, 1) AS i FROM d),
+    windows AS (SELECT doc_id, i, x, lead(x) OVER p AS y, lead(x, 2) OVER p AS z FROM placed WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+    again AS (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, x, y, z) AS c FROM windows WHERE z IS NOT NULL),
+    covered AS (SELECT doc_id, COUNT(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM again WHERE c > 1) GROUP BY doc_id),
+    base AS (
+        SELECT d.doc_id, key, length(text) AS chars, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+            (length(text) - length(regexp_replace(text, '{SYMBOLS}+', '', 'g')))::BIGINT AS n_symbols,
+            (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, COALESCE(n, 0)::BIGINT AS n_repeat_words
+        FROM d LEFT JOIN covered USING (doc_id)
+    ),
+    classes AS (SELECT doc_id, key, unnest([{", ".join([*taken, rest])}]) AS c, unnest(range({len(taken) + 1})) AS place FROM d),
+    listed(key, word, place) AS (VALUES {lists}),
+    spoken AS (SELECT doc_id, key, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}]+'), lambda x: x <> '')) AS word FROM d),
+    met AS (SELECT doc_id, key, COALESCE(place, {longest + 1}) AS place, COUNT(*) AS c FROM spoken LEFT JOIN listed USING (key, word) GROUP BY ALL),
+    common AS (
+        SELECT doc_id, key, place, COALESCE(c, 0) AS c FROM (SELECT doc_id, key, unnest(range(1, {longest + 2})) AS place FROM d) LEFT JOIN met USING (doc_id, key, place)
+    ),
+    counts AS (SELECT *, 'classes' AS kind FROM classes UNION ALL SELECT doc_id, key, c, place, 'common' FROM common),
+    refs AS (SELECT key, kind, place, SUM(c) / SUM(SUM(c)) OVER (PARTITION BY key, kind) AS q FROM counts GROUP BY key, kind, place),
+    shares AS (SELECT doc_id, kind, SUM(c) OVER (PARTITION BY doc_id, kind) AS n, c / SUM(c) OVER (PARTITION BY doc_id, kind) AS p, q FROM counts JOIN refs USING (key, kind, place)),
+    far AS (
+        SELECT doc_id, kind, n, ROUND(SQRT(GREATEST(SUM(CASE WHEN p > 0 THEN p * LOG2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * LOG2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)), 4) AS far
+        FROM shares WHERE n > 0 GROUP BY doc_id, kind, n
+    ),
+    known AS (
+        SELECT base.*, n_words < {rules.least_words_base} OR 100 * n_repeat_words > {rules.most_repeated_percent} * n_words AS base_failed,
+            CASE WHEN chars >= {rules.least_chars} THEN a.far END AS class_distance,
+            CASE WHEN b.n >= {rules.least_words} AND key <> {_text(OTHER)} THEN b.far END AS word_distance
+        FROM base LEFT JOIN far a ON a.doc_id = base.doc_id AND a.kind = 'classes' LEFT JOIN far b ON b.doc_id = base.doc_id AND b.kind = 'common'
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance,
+        NOT base_failed AND COALESCE(class_distance, 0) <= {rules.most_class_distance} AND COALESCE(word_distance, 0) <= {rules.most_word_distance} AS kept
+    FROM known
+    """

@@ -89,11 +89,11 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 CASES = {
     "op1_sharding": Case(op1_sharding, oracles.sharding(SHARDS)),
     "op2_byte_bpe": Case(op2_byte_bpe),
-    "op3_fingerprints": Case(op3_fingerprints),
+    "op3_fingerprints": Case(op3_fingerprints, oracles.FINGERPRINTS),
     "op4_chat_formatting": Case(op4_chat_formatting),
     "op5_toxicity": Case(op5_toxicity),
     "op6_token_counts": Case(op6_token_counts),
-    "op7_quality_rules": Case(op7_quality_rules),
+    "op7_quality_rules": Case(op7_quality_rules, oracles.quality(quality.QualityRules())),
     "op8_mixing": Case(op8_mixing, oracles.MIXING),
     "op9_simhash": Case(op9_simhash),
     "op10_url_filters": Case(op10_url_filters, oracles.url_filters(URL_RULES)),
