@@ -6,16 +6,19 @@
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tablemill.errors import SpecError
 from tablemill.operators.families import Family, union_family
+from tablemill.operators.lookups import enrich_monthly
 from tablemill.plans.compile import build
 from tablemill.plans.spec import QuerySpec
 from tablemill.sources.catalog import create_object, read_source
+from tablemill.sources.delimited import read_csv_set
 from tablemill.sources.exports import export_csv
 from tablemill.sources.folders import merge_folder
 from tablemill.sources.parquet import CODECS, DEFAULT_CODEC, csv_to_parquet
@@ -30,6 +33,9 @@ def parser() -> argparse.ArgumentParser:
     convert.add_argument("--output", required=True)
     convert.add_argument("--compression", choices=CODECS, default=DEFAULT_CODEC)
     convert.add_argument("--typed", action="store_true", help="infer column types instead of keeping text")
+    convert.add_argument("--hierarchy", help="office lookup; with --supply, the rows get the monthly cleaning")
+    convert.add_argument("--supply", help="supply-type lookup")
+    convert.add_argument("--as-of", type=dt.date.fromisoformat, default=dt.date.today(), help="day behind the month of the rows")
 
     create = jobs.add_parser("create", help="table or view from files")
     create.add_argument("--input", required=True)
@@ -37,6 +43,9 @@ def parser() -> argparse.ArgumentParser:
     create.add_argument("--object-type", choices=("TABLE", "VIEW"), default="TABLE")
     create.add_argument("--replace", action="store_true")
     create.add_argument("--month-label")
+    create.add_argument("--sheet", help="sheet of a workbook")
+    create.add_argument("--no-header", action="store_true")
+    create.add_argument("--names", help="new column names, separated by commas")
 
     merge = jobs.add_parser("merge", help="all files of a folder into one CSV data set")
     merge.add_argument("--input", required=True)
@@ -49,12 +58,24 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def read_lookup(spark: SparkSession, source: str) -> DataFrame:
+    """A lookup with its keys as they are written."""
+    return read_source(spark, source) if source.lower().endswith((".parquet", ".xlsx")) else read_csv_set(spark, source, filename=False)
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> str:
     if args.job == "convert":
-        done = csv_to_parquet(spark, args.input, args.output, args.compression, args.typed)
+        transform = None
+        if args.hierarchy or args.supply:
+            if not (args.hierarchy and args.supply):
+                raise SpecError("The monthly cleaning needs both --hierarchy and --supply.")
+            hierarchy, supply = read_lookup(spark, args.hierarchy), read_lookup(spark, args.supply)
+            transform = lambda rows: enrich_monthly(rows, hierarchy, supply, args.as_of)
+        done = csv_to_parquet(spark, args.input, args.output, args.compression, args.typed, transform)
         return f"{done.rows} rows from {done.total_files - done.skipped_files} file(s) to {done.output_path}; skipped {done.skipped_files}."
     if args.job == "create":
-        rows = read_source(spark, args.input)
+        names = [n.strip() for n in args.names.split(",")] if args.names else None
+        rows = read_source(spark, args.input, not args.no_header, args.sheet, names)
         made = create_object(spark, args.object_name, rows, args.object_type, args.replace, args.month_label)
         return f"Created {made.kind} {made.name}."
     if args.job == "merge":

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,13 +62,17 @@ def lookup_join(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
 
 
 def lookup_tables(
-    hierarchy: DataFrame, supply: DataFrame, order: Sequence[Column] = ()
+    hierarchy: DataFrame, supply: DataFrame, order: Sequence[Column] = (), places: Sequence[Column] | None = None
 ) -> dict[str, DataFrame]:
-    """Division, sub-division and supply lookups by key, one row per key value."""
-    offices = first_rows(hierarchy, SUBDIVISION_SOURCE_KEY, SUBDIVISION_COLUMNS, order)
+    """Division, sub-division and supply lookups by key, one row per key value.
+
+    ``places`` is the order within the hierarchy, if it is another one.
+    """
+    places = order if places is None else places
+    offices = first_rows(hierarchy, SUBDIVISION_SOURCE_KEY, SUBDIVISION_COLUMNS, places)
     details = [c for c in supply.columns if c != SUPPLY_KEY]
     return {
-        DIVISION_KEY: first_rows(hierarchy, DIVISION_KEY, DIVISION_COLUMNS, order),
+        DIVISION_KEY: first_rows(hierarchy, DIVISION_KEY, DIVISION_COLUMNS, places),
         SUBDIVISION_KEY: offices.withColumnRenamed(SUBDIVISION_SOURCE_KEY, SUBDIVISION_KEY),
         SUPPLY_KEY: first_rows(supply, SUPPLY_KEY, details, order),
     }
@@ -80,16 +83,19 @@ def lookup_enrich(
 ) -> DataFrame:
     """Add division, sub-division and supply columns, each where ``df`` has the key.
 
-    Each lookup is written once after its duplicates are gone, so its true size decides
-    how it is joined and no job reads the raw lookup twice.
+    The hierarchy serves two lookups, so where both are wanted the columns in question are
+    written first, in one job, and it is computed once. All else is one plan, in which
+    adaptive execution broadcasts a lookup that turns out small after its duplicates are gone.
     """
-    lookups = lookup_tables(hierarchy, supply, order)
-    keys = [key for key in lookups if key in df.columns]
-    # The writes are independent jobs, so they are submitted side by side.
-    with ThreadPoolExecutor(max(1, len(keys))) as pool:
-        written = list(pool.map(lambda key: materialize(lookups[key], "lookup"), keys))
-    for key, lookup in zip(keys, written):
-        df = lookup_join(df, lookup, key)
+    places: Sequence[Column] = order
+    if DIVISION_KEY in df.columns and SUBDIVISION_KEY in df.columns:
+        names = dict.fromkeys((DIVISION_KEY, SUBDIVISION_SOURCE_KEY, *DIVISION_COLUMNS, *SUBDIVISION_COLUMNS))
+        place = F.struct(*(order or [F.monotonically_increasing_id()])).alias("__order")
+        hierarchy = materialize(hierarchy.select(*map(column, names), place), "hierarchy")
+        places = [F.col("__order")]
+    for key, lookup in lookup_tables(hierarchy, supply, order, places).items():
+        if key in df.columns:
+            df = lookup_join(df, lookup, key)
     return df
 
 
@@ -115,7 +121,7 @@ def enrich_monthly(
     as_of: dt.date,
     order: Sequence[Column] = (),
 ) -> DataFrame:
-    """The whole monthly cleaning as one plan.
+    """The whole monthly cleaning; see lookup_enrich for the one job that is run ahead.
 
     Keeps rows with an all-digit ACCT_ID, joins the lookups, and adds LOAD_KW and MONTH
     (the month before ``as_of``).

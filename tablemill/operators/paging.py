@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablemill.session import shared_dir
 
 # Beyond this many skipped rows a page is cut from the sorted partitions instead of being
-# gathered, skipped rows included, in one task.
+# gathered, skipped rows included, in one task. Both ways give the same rows, ties included.
 DEEP_OFFSET = 100_000
 
 
@@ -19,15 +19,14 @@ def ordering(col: Column, direction: str) -> Column:
     return col.asc_nulls_last() if direction == "ASC" else col.desc_nulls_last()
 
 
-def sort_rows(df: DataFrame, keys: Sequence[Column], limit: int = 0, offset: int = 0) -> DataFrame:
-    """Order rows by ``keys`` for the page that will be cut from them.
+def sort_rows(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    """Order rows by ``keys``, ties by their place in the input.
 
     A page near the start is a top-k and needs no shuffle. A full sort is split into ranges
     of the keys, and rows with equal keys cannot be split that way; a row number behind the
-    keys lets one frequent value be spread over many ranges.
+    keys lets one frequent value be spread over many ranges. It also orders ties alike on all
+    pages, so that pages fit together.
     """
-    if limit and offset <= DEEP_OFFSET:
-        return df.orderBy(*keys)
     return df.withColumn("__spread", F.monotonically_increasing_id()).orderBy(*keys, "__spread").drop("__spread")
 
 

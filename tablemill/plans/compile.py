@@ -153,7 +153,7 @@ def build_list(spec: QuerySpec, tables: Tables) -> DataFrame:
     frame = shaped.frame
     if shaped.sorts:
         keys = [ordering(key, direction) for key, direction in shaped.sorts]
-        frame = sort_rows(frame, keys, spec.limit_rows, spec.offset)
+        frame = sort_rows(frame, keys)
     return page(shaped.finish(frame), spec.limit_rows, spec.offset)
 
 

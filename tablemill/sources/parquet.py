@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
@@ -28,6 +28,8 @@ CODECS = ("uncompressed", "snappy", "gzip", "zstd", "lz4", "brotli")
 MISSING_CODECS = ("brotli",)
 DEFAULT_CODEC = "zstd"
 SOURCE_COLUMN = "source_file"
+# Below the output: the names of the sources that are in it, written when they are. Readers pass over it.
+FINISHED = "_finished"
 # The ending dropped from a source name: the last one, and a .gz after it.
 SOURCE_ENDING = r"(\.[^./]*)?(\.[gG][zZ])?$"
 
@@ -45,7 +47,7 @@ def read_parquet_set(spark: SparkSession, source: str | list[str] | list[InputFi
         if "CANNOT_MERGE" not in str(exc):
             raise
     groups: dict[str, list[str]] = defaultdict(list)
-    for row in footers(spark, files).toLocalIterator():
+    for row in footers(spark, files).orderBy("path").toLocalIterator():
         groups[row["schema"]].append(literal_path(row["path"]))
     frames = [spark.read.parquet(*members) for members in groups.values()]
     wide: dict[str, DataType] = {}
@@ -107,7 +109,8 @@ def csv_to_parquet(
 
     The output is a dataset partitioned by ``source_file``, the relative path of each
     source with a ``.parquet`` ending, so folders are kept and readers can prune by
-    source. Sources that already have a partition are skipped, as are files without rows.
+    source. Sources that a run has finished are skipped, as are files without rows. What a
+    run left that died before is replaced, as it is not recorded as finished.
     A single file with an output path that ends in ``.parquet`` becomes that dataset.
     ``transform`` is applied before the write, for the monthly cleaning.
     """
@@ -117,7 +120,9 @@ def csv_to_parquet(
     single = len(files) == 1 and output.lower().endswith(".parquet")
     if output.lower().endswith(".parquet") and not single:
         output = output.rpartition("/")[0]
-    done = existing_sources(output)
+    done = finished_sources(output)
+    if single and system_kind(f"{output}/_SUCCESS") == fs.FileType.File:
+        done = {target_name(files[0].relative)}
     waiting = [f for f in files if (not single or not done) and target_name(f.relative) not in done]
     groups = scan_groups(spark, waiting) if waiting else []
     read = {path for group in groups for path in group.paths}
@@ -131,10 +136,14 @@ def csv_to_parquet(
     seen = Observation()
     rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
     if single:
-        rows.write.option("compression", codec).parquet(output)
+        if system_kind(output) == fs.FileType.File:
+            raise SpecError(f"{output!r} is a file; name a folder that ends in .parquet.")
+        rows.write.mode("overwrite").option("compression", codec).parquet(output)
     else:
         labelled = rows.withColumn(SOURCE_COLUMN, _source_label(waiting, "filename")).drop("filename")
-        labelled.write.mode("append").option("compression", codec).partitionBy(SOURCE_COLUMN).parquet(output)
+        replaced = labelled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        replaced.option("compression", codec).partitionBy(SOURCE_COLUMN).parquet(output)
+    record_finished(output, [target_name(f.relative) for f in waiting if f.path in read])
     return Converted(output, len(files), skipped, seen.get["rows"])
 
 
@@ -148,11 +157,26 @@ def _source_label(files: list[InputFile], path_column: str) -> Column:
     return F.concat(F.regexp_replace(below, SOURCE_ENDING, ""), F.lit(".parquet"))
 
 
-def existing_sources(output: str) -> set[str]:
-    """Sources that already have a partition below ``output``."""
+def system_kind(path: str) -> fs.FileType:
+    system, inner, _ = file_system(path)
+    return system.get_file_info(inner).type
+
+
+def record_finished(output: str, names: list[str]) -> None:
+    """Record sources as finished, in one file per run, after their rows are committed."""
+    system, inner, _ = file_system(output)
+    system.create_dir(f"{inner}/{FINISHED}")
+    with system.open_output_stream(f"{inner}/{FINISHED}/{uuid.uuid4().hex}") as sink:
+        sink.write("".join(f"{name}\n" for name in names).encode())
+
+
+def finished_sources(output: str) -> set[str]:
+    """Sources that earlier runs have recorded below ``output``."""
     system, inner, _ = file_system(output)
-    if system.get_file_info(inner).type != fs.FileType.Directory:
+    if system.get_file_info(f"{inner}/{FINISHED}").type != fs.FileType.Directory:
         return set()
-    folders = system.get_file_info(fs.FileSelector(inner))
-    marks = [f.base_name.split("=", 1)[1] for f in folders if f.base_name.startswith(f"{SOURCE_COLUMN}=")]
-    return {unquote(m) for m in marks} or {""}
+    found: set[str] = set()
+    for record in system.get_file_info(fs.FileSelector(f"{inner}/{FINISHED}")):
+        with system.open_input_stream(record.path) as stream:
+            found.update(stream.read().decode().splitlines())
+    return found

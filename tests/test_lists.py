@@ -158,6 +158,17 @@ def test_deep_offset_is_cut_in_place(spark, monkeypatch):
     assert build(QuerySpec(table="n", sort=(Sort("v"),), limit_rows=300, offset=450), tables).count() == 50
 
 
+def test_ties_are_ordered_alike_before_and_behind_a_deep_offset(spark, monkeypatch):
+    tables = {"n": spark.range(0, 600, 1, 7).selectExpr("id % 3 AS v", "id AS w")}
+    def page():
+        return [tuple(r) for r in build(QuerySpec(table="n", select=("v", "w"), sort=(Sort("v"),), limit_rows=150, offset=120), tables).collect()]
+    near = page()
+    monkeypatch.setattr(paging, "DEEP_OFFSET", 50)
+    assert page() == near and len(near) == 150
+    first = build(QuerySpec(table="n", select=("v", "w"), sort=(Sort("v"),), limit_rows=120), tables).collect()
+    assert not {tuple(r) for r in first} & set(near)
+
+
 def test_page_counts(tables):
     page = fetch_page(QuerySpec(table="master", select=("NAME",), limit_rows=2), tables)
     assert page.info() == {"total": 3, "page_rows": 2, "truncated": True}

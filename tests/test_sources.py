@@ -11,7 +11,7 @@ from tablemill.sources.delimited import blank_missing, read_csv, read_csv_lenien
 from tablemill.sources.files import clean_path, list_files, resolve_inputs
 from tablemill.sources.folders import conflicting_columns, detect_columns, merge_folder, merge_frame
 from tablemill.sources.heads import COMMA_FIRST, sniff, unique_headers
-from tablemill.sources.parquet import check_codec, csv_to_parquet, existing_sources, read_parquet_set, target_name
+from tablemill.sources.parquet import check_codec, csv_to_parquet, finished_sources, read_parquet_set, target_name
 
 
 def put(path, text):
@@ -159,7 +159,9 @@ def test_conversion_keeps_folders_and_skips_what_is_done(spark, tmp_path, rows):
     put(source / "empty.csv", "")
     first = csv_to_parquet(spark, f"{source}/**/*.*", target)
     assert (first.total_files, first.skipped_files, first.rows) == (3, 1, 3)
-    assert existing_sources(target) == {"north/a.parquet", "b.parquet"}
+    assert finished_sources(target) == {"north/a.parquet", "b.parquet"}
+    # A run that died in its commit leaves a part of its rows, and no record.
+    put(tmp_path / "out" / "source_file=c.parquet" / "part-0.snappy.parquet", "")
     put(source / "c.csv", "KNO\n6\n")
     second = csv_to_parquet(spark, f"{source}/**/*.*", target)
     assert (second.total_files, second.skipped_files, second.rows) == (4, 3, 1)

@@ -410,6 +410,15 @@ register(
     money=("mean",),
 )
 
+CASES["agg_repeated_alias"] = Case(
+    lambda spark, folder: build(
+        everything("lineitem", select=("l_returnflag",), function_columns=(
+            FunctionColumn("SUM", "l_linenumber", "x"), FunctionColumn("MAX", "l_linenumber", "x"))),
+        table_reader(spark, folder),
+    ).toDF("l_returnflag", "total", "most"),
+    "SELECT l_returnflag, SUM(l_linenumber)::BIGINT AS total, MAX(l_linenumber) AS most FROM lineitem GROUP BY l_returnflag",
+)
+
 # Sorting and paging ------------------------------------------------------------------
 
 register(
