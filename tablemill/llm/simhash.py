@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,9 +111,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups_of: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """The rows of one document of each group of near duplicates, with all their columns.
 
+    The groups come from `groups_of`, which gives doc_id and component_id for every row.
     The document with the smallest id stays. Of rows repeating that id one stays too. Where no
     document of the group has an id, one row stays: the one whose text has the smallest MD5.
     """
@@ -122,7 +123,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     none = F.col(id_col).isNull()
     own = F.struct(none.alias("none"), F.col(id_col).alias("id"), F.when(none, F.md5(text_col)).alias("text"))
     rows = df.withColumn(key, own)
-    groups = near_duplicates(rows, key, text_col).where(F.col("doc_id") == F.col("component_id"))
+    groups = groups_of(rows, key, text_col).where(F.col("doc_id") == F.col("component_id"))
     stays = materialize(groups.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     one, more = (stays.where(x).select(F.col("doc_id").alias(key)) for x in ("n = 1", "n > 1"))
     single, repeated = rows.join(one, key, "left_semi"), rows.join(more, key, "left_semi")
