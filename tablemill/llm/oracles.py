@@ -192,3 +192,31 @@ def quality(rules: QualityRules) -> str:
         NOT base_failed AND COALESCE(class_distance, 0) <= {rules.most_class_distance} AND COALESCE(word_distance, 0) <= {rules.most_word_distance} AS kept
     FROM known
     """
+
+LEXICAL_SEARCH = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS row_no, doc_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents),
+item AS (
+    SELECT row_number() OVER () AS item, item_id,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark),
+asked AS (SELECT item, item_id, term, count(*) AS times FROM item GROUP BY ALL),
+size AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM doc WHERE len(terms) > 0),
+held AS (
+    SELECT row_no, doc_id, n, term, count(*) AS tf
+    FROM (SELECT row_no, doc_id, len(terms) AS n, unnest(terms) AS term FROM doc)
+    WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weight AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM held GROUP BY term), size),
+gain AS (
+    SELECT row_no, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))) AS gain
+    FROM held JOIN weight USING (term), size),
+scored AS (
+    SELECT item, item_id, row_no, doc_id, sum(times * gain)::BIGINT AS score
+    FROM asked JOIN gain USING (term) GROUP BY ALL HAVING sum(times * gain) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id ASC NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM scored QUALIFY rank <= 20
+"""

@@ -9,7 +9,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import bpe, chat, fingerprints, mixing, oracles, quality, sharding, simhash, token_counts, toxicity, url_filters
+from tablemill.llm import (
+    bpe,
+    chat,
+    fingerprints,
+    html_extraction,
+    lexical_search,
+    mixing,
+    oracles,
+    quality,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+    url_filters,
+    whitening,
+)
 
 SHARDS = sharding.ShardPlan(tuple(f"shard-{k:03d}" for k in range(64)))
 URL_RULES = tuple(
@@ -86,6 +101,18 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.filter_urls(_table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op13_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.extract(_table(spark, folder, "pages"))
+
+
 CASES = {
     "op1_sharding": Case(op1_sharding, oracles.sharding(SHARDS)),
     "op2_byte_bpe": Case(op2_byte_bpe),
@@ -97,4 +124,7 @@ CASES = {
     "op8_mixing": Case(op8_mixing, oracles.MIXING),
     "op9_simhash": Case(op9_simhash),
     "op10_url_filters": Case(op10_url_filters, oracles.url_filters(URL_RULES)),
+    "op11_whitening": Case(op11_whitening),
+    "op12_lexical_search": Case(op12_lexical_search, oracles.LEXICAL_SEARCH),
+    "op13_html_extraction": Case(op13_html_extraction),
 }
