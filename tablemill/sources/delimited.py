@@ -14,9 +14,10 @@ from pyspark.sql.types import DoubleType, IntegralType, LongType, StringType, St
 from tablemill.errors import SpecError
 from tablemill.functions.casts import JAVA_SUFFIX
 from tablemill.functions.inference import wider
-from tablemill.plans.scope import column
+from tablemill.plans.scope import column, quoted
 from tablemill.sources.files import InputFile, as_files, literal_path
 from tablemill.sources.heads import DETECT, candidates, heads, record_widths, unique_headers, wide_records
+from tablemill.sources.records import range_states, read_records
 
 # What happens to cells beyond the header: an error, or columns of their own.
 REFUSE, KEEP = "refuse", "keep"
@@ -36,6 +37,7 @@ def read_csv(
     infer: bool = True,
     sampling: float | None = None,
     wide: str = REFUSE,
+    split: int | None = None,
 ) -> DataFrame:
     """Scan delimited files as one table. Types are inferred unless a schema is given.
 
@@ -43,7 +45,7 @@ def read_csv(
     to infer from a share of the rows. Gzipped files are read by their suffix.
     """
     infer = infer and schema is None
-    return read_csv_set(spark, source, header, sep, filename=False, infer=infer, schema=schema, sampling=sampling, wide=wide)
+    return read_csv_set(spark, source, header, sep, filename=False, infer=infer, schema=schema, sampling=sampling, wide=wide, split=split)
 
 
 def read_tsv(spark: SparkSession, source: str | list[str], header: bool = True, **options) -> DataFrame:
@@ -60,15 +62,18 @@ def read_csv_set(
     schema: StructType | None = None,
     sampling: float | None = None,
     wide: str = REFUSE,
+    split: int | None = None,
 ) -> DataFrame:
     """Union of delimited files by column name; columns a file lacks are null.
 
     All columns are text unless ``infer`` or ``schema`` says otherwise, so ``DV_111368`` and
     ``123`` can share a column. ``filename`` adds the path of each row's file. Files with
     equal headers share one scan. ``wide`` says what becomes of cells beyond the header.
+    Files with quoted line breaks of more than ``split`` bytes, the session's size of file splits
+    unless given, are read by ranges of that size.
     """
     files = as_files(source)
-    groups = scan_groups(spark, files, header, sep, wide)
+    groups = scan_groups(spark, files, header, sep, wide, split)
     if not groups:
         raise SpecError("The input files hold no rows and no headers.")
     if infer:
@@ -117,12 +122,16 @@ def with_headers(df: DataFrame, names: list[str]) -> DataFrame:
 
 @dataclass
 class ScanGroup:
-    """Files that one scan can read: same header, delimiter and record reader."""
+    """Files that one scan can read: same header, delimiter and record reader.
+
+    ``states`` tells how the byte ranges of files begin that are read by ranges.
+    """
 
     names: tuple[str, ...]
     sep: str
     multi_line: bool
     paths: list[str]
+    states: DataFrame | None = None
 
 
 @dataclass
@@ -133,6 +142,7 @@ class _Layout:
     headers: dict[str, tuple[str, ...]]
     widest: dict[str, int]
     multi_line: bool
+    states: DataFrame | None = None
 
     def fits(self, mark: str) -> bool:
         return self.widest[mark] <= len(self.headers[mark])
@@ -150,7 +160,7 @@ class _Layout:
 
 
 def scan_groups(
-    spark: SparkSession, files: list[InputFile], header: bool = True, sep: str = DETECT, wide: str = REFUSE
+    spark: SparkSession, files: list[InputFile], header: bool = True, sep: str = DETECT, wide: str = REFUSE, split: int | None = None
 ) -> list[ScanGroup]:
     """Group files by how they have to be read. Files without any record are left out.
 
@@ -160,7 +170,7 @@ def scan_groups(
     """
     if wide not in (REFUSE, KEEP):
         raise SpecError(f"Wide records are handled by {REFUSE!r} or {KEEP!r}; got {wide!r}.")
-    layouts = _layouts(spark, files, sep)
+    layouts = _layouts(spark, files, sep, split or split_bytes(spark))
     unfit = {path: layout for path, layout in layouts.items() if not layout.settle()}
     if unfit and wide == REFUSE:
         found = wide_records(spark, [(p, x.mark, len(x.headers[x.mark])) for p, x in unfit.items()])
@@ -171,22 +181,24 @@ def scan_groups(
     for f in files:
         if f.path in layouts:
             layout = layouts[f.path]
-            key = layout.headers[layout.mark], layout.mark, layout.multi_line
+            key = layout.headers[layout.mark], layout.mark, layout.multi_line, layout.states is not None
             members.setdefault(key, []).append(f.path)
             widths[key] = max(widths.get(key, 0), layout.widest[layout.mark])
     groups = []
-    for (cells, mark, multi), paths in members.items():
-        cells = (*cells, *[""] * (widths[cells, mark, multi] - len(cells)))
+    for key, paths in members.items():
+        cells, mark, multi, _ = key
+        cells = (*cells, *[""] * (widths[key] - len(cells)))
         names = tuple(unique_headers(cells) if header else (f"column{i}" for i in range(len(cells))))
-        groups.append(ScanGroup(names, mark, multi, paths))
+        groups.append(ScanGroup(names, mark, multi, paths, layouts[paths[0]].states))
     return groups
 
 
-def _layouts(spark: SparkSession, files: list[InputFile], sep: str) -> dict[str, _Layout]:
+def _layouts(spark: SparkSession, files: list[InputFile], sep: str, size: int) -> dict[str, _Layout]:
     """The layout of every file with a record: heads from its first bytes, widths from one pass over all lines.
 
     A line with an odd number of quotes may be part of a record with a quoted line break.
-    Files with such lines are measured by records and read whole; all others stay splittable.
+    Files with such lines are measured by records: large ones by byte ranges, small and gzipped
+    ones whole. All others stay splittable by lines.
     """
     shared: dict[tuple[str, ...], tuple[str, ...]] = {}
     found: dict[str, _Layout] = {}
@@ -204,12 +216,29 @@ def _layouts(spark: SparkSession, files: list[InputFile], sep: str) -> dict[str,
             found[row["path"]].multi_line = False
             found[row["path"]].widest = {m: row[f"w{i}"] for i, m in enumerate(marks)}
     whole = [f for f in listed if found[f.path].multi_line]
+    large = [f for f in whole if f.size > size and not f.name.lower().endswith(".gz")]
+    if large:
+        states = range_states(spark, large, marks, size)
+        lone = set()
+        for row in states.groupBy("path", "mark").agg(F.max("widest").alias("widest"), F.max("lone").alias("lone")).toLocalIterator():
+            found[row["path"]].widest[row["mark"]] = row["widest"]
+            found[row["path"]].states = states
+            if row["lone"]:  # records may end in carriage returns
+                lone.add(row["path"])
+        for path in lone:
+            found[path].states = None
+        whole = [f for f in whole if found[f.path].states is None]
     if whole:
         for row in record_widths(spark, whole, marks).toLocalIterator():
             found[row["path"]].widest = dict(zip(marks, row["widest"]))
     return found
 
 
+def split_bytes(spark: SparkSession) -> int:
+    """The session's size of file splits."""
+    return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+
+
 def _line_widths(spark: SparkSession, files: list[InputFile], marks: tuple[str, ...]) -> DataFrame:
     """path, odd (a line has an odd number of quotes), and the most cells of a line for each delimiter."""
     lines = spark.read.text([literal_path(f.path) for f in files]).select(file_label().alias("path"), "value")
@@ -244,22 +273,41 @@ def scan(
     names = group.names
     wanted = {f.name.lower(): f for f in schema.fields} if schema is not None else {}
     fields = [StructField(n, wanted[n.lower()].dataType if n.lower() in wanted else StringType()) for n in names]
+    if group.states is not None:
+        kinds = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in fields)
+        records = read_records(group.states, group.paths, group.sep, header)
+        cells = records.select(F.from_csv("record", kinds, _options(group, False)).alias("cells"), F.col("path").alias("__path"))
+        rows = cells.select("cells.*", "__path")
+        return rows.withColumnRenamed("__path", "filename") if filename else rows.drop("__path")
     df = _reader(spark, group, header).schema(StructType(fields)).csv([literal_path(path) for path in group.paths])
     return df.select("*", file_label().alias("filename")) if filename else df
 
 
+def _options(group: ScanGroup, header: bool) -> dict[str, str]:
+    return {
+        "header": str(header).lower(),
+        "sep": group.sep,
+        "quote": '"',
+        "escape": '"',
+        "multiLine": str(group.multi_line).lower(),
+        "enforceSchema": "true",
+        "maxCharsPerColumn": "-1",
+        "maxColumns": str(max(20480, len(group.names))),
+        "mode": "PERMISSIVE",
+    }
+
+
 def _reader(spark: SparkSession, group: ScanGroup, header: bool) -> DataFrameReader:
-    return (
-        spark.read.option("header", header)
-        .option("sep", group.sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", group.multi_line)
-        .option("enforceSchema", True)
-        .option("maxCharsPerColumn", -1)
-        .option("maxColumns", max(20480, len(group.names)))
-        .option("mode", "PERMISSIVE")
-    )
+    return spark.read.options(**_options(group, header))
+
+
+def _inferred(spark: SparkSession, reader: DataFrameReader, group: ScanGroup, header: bool) -> StructType:
+    """Spark's own inference over the files of a group, or over their records."""
+    if group.states is None:
+        return reader.csv([literal_path(path) for path in group.paths]).schema
+    records = read_records(group.states, group.paths, group.sep, header).select("record")
+    texts = getattr(records._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(reader.option("header", False)._jreader.csv(texts), spark).schema
 
 
 def infer_schema(
@@ -276,8 +324,9 @@ def infer_schema(
         reader = _reader(spark, group, header).option("inferSchema", True)
         if sampling:
             reader = reader.option("samplingRatio", sampling)
-        found = reader.csv([literal_path(path) for path in group.paths]).schema.fields
+        found = _inferred(spark, reader, group, header).fields
         kinds = [LongType() if isinstance(f.dataType, IntegralType) else f.dataType for f in found]
+        kinds += [StringType()] * (len(group.names) - len(kinds))
         doubles = [n for n, kind in zip(group.names, kinds) if isinstance(kind, DoubleType)]
         codes = _java_notation(scan(spark, group, header, filename=False), doubles) if doubles else set()
         for name, kind in zip(group.names, kinds):
