@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablemill.errors import SpecError
 from tablemill.operators.paging import ordering, sort_rows
+from tablemill.operators.places import content_order
 from tablemill.operators.reports import lay_out, long_report
 from tablemill.operators.totals import with_grand_total
 from tablemill.plans.compile import Page, build, build_list, count_rows, fetch_page, open_source, shape, states_order
@@ -148,7 +149,8 @@ def union_family(spec: QuerySpec, family: Family, tables: Tables) -> DataFrame:
     ]
     order = [ordering(column(f"__sort_{i}"), s.direction) for i, s in enumerate(spec.sort)]
     names = [name for _, name in shapes[0].outputs]
-    return sort_rows(_stack(keyed), order).select([f"__out_{i}" for i in range(len(names))]).toDF(*names)
+    rows = _stack(keyed)
+    return sort_rows(rows, order, content_order(rows, rows.columns)).select([f"__out_{i}" for i in range(len(names))]).toDF(*names)
 
 
 def _stack(parts: Sequence[DataFrame]) -> DataFrame:
@@ -170,7 +172,7 @@ def union_family_sql(
         return _stack(parts)
     stacked = _stack(parts)
     keys = [F.col(key) if isinstance(key, str) else key for key in order_by]
-    return sort_rows(stacked, keys) if keys else stacked
+    return sort_rows(stacked, keys, content_order(stacked, stacked.columns)) if keys else stacked
 
 
 def _sql_union(spec: QuerySpec, family: Family, tables: Tables) -> DataFrame:

@@ -13,6 +13,7 @@ from tablemill.functions.casts import to_double
 from tablemill.functions.months import label_of_previous
 from tablemill.functions.units import load_kilowatts
 from tablemill.operators.joins import equi_join, is_small
+from tablemill.operators.places import reading_order
 from tablemill.plans.scope import column
 from tablemill.session import materialize
 
@@ -36,7 +37,7 @@ def first_rows(df: DataFrame, key: str, columns: Sequence[str], order: Sequence[
     numbered = df.select(
         column(key),
         F.struct(*[column(c) for c in columns], F.lit(1).alias("__one")).alias("__rest"),
-        F.struct(*(order or [F.monotonically_increasing_id()])).alias("__place"),
+        F.struct(*(order or reading_order(df))).alias("__place"),
     )
     best = numbered.groupBy(column(key)).agg(F.min_by("__rest", "__place").alias("__rest"))
     return best.select(column(key), *[F.col("__rest").getField(c).alias(c) for c in columns])
@@ -90,7 +91,7 @@ def lookup_enrich(
     places: Sequence[Column] = order
     if DIVISION_KEY in df.columns and SUBDIVISION_KEY in df.columns:
         names = dict.fromkeys((DIVISION_KEY, SUBDIVISION_SOURCE_KEY, *DIVISION_COLUMNS, *SUBDIVISION_COLUMNS))
-        place = F.struct(*(order or [F.monotonically_increasing_id()])).alias("__order")
+        place = F.struct(*(order or reading_order(hierarchy))).alias("__order")
         hierarchy = materialize(hierarchy.select(*map(column, names), place), "hierarchy")
         places = [F.col("__order")]
     for key, lookup in lookup_tables(hierarchy, supply, order, places).items():

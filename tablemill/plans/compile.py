@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,8 @@ from tablemill.errors import SpecError
 from tablemill.operators.expressions import aggregate_of, case_of, coalesce_of
 from tablemill.operators.filters import check_operator, compile_filters
 from tablemill.operators.joins import equi_join
-from tablemill.operators.paging import ordering, page, sort_rows
+from tablemill.operators.paging import Key, KeyIndex, key_index, page_of
+from tablemill.operators.places import content_order
 from tablemill.plans.scope import Ref, Scope, Tables, column, lookup_table
 from tablemill.plans.spec import QuerySpec
 
@@ -25,18 +26,21 @@ class Source:
     frame: DataFrame
 
 
-def open_source(spec: QuerySpec, tables: Tables) -> Source:
-    """FROM and WHERE: join the tables in order and apply all filters."""
+def open_source(spec: QuerySpec, tables: Tables, addressed: bool = False) -> Source:
+    """FROM and WHERE: join the tables in order and apply all filters.
+
+    With ``addressed``, rows carry where those of the tables are stored.
+    """
     base = spec.table.strip()
     scope = Scope(base)
     table = lookup_table(tables, base)
-    frame = scope.admit(base, table)
+    frame = scope.admit(base, table, addressed)
     sources = [table]
     parts = {base: frame}
     for join in spec.joins:
         earlier = set(scope.references)
         table = lookup_table(tables, join.table.strip())
-        joined = parts[join.reference] = scope.admit(join.reference, table)
+        joined = parts[join.reference] = scope.admit(join.reference, table, addressed)
         pairs, owners = [], set()
         for keys in join.conditions:
             left = scope.resolve(keys.left_column)
@@ -63,12 +67,34 @@ class Shape:
     frame: DataFrame
     outputs: list[tuple[Column, str]]
     sorts: list[tuple[Column, str]]
-    plain: bool = False
+    addresses: list[str] = field(default_factory=list)
+    all_addressed: bool = False
 
     def finish(self, frame: DataFrame) -> DataFrame:
         """Project the outputs under their public names; equal names are allowed."""
-        names = [name for _, name in self.outputs]
-        return (frame if self.plain else frame.select([col for col, _ in self.outputs])).toDF(*names)
+        return frame.select([col for col, _ in self.outputs]).toDF(*[name for _, name in self.outputs])
+
+    def keyed(self) -> tuple[DataFrame, list[Key]]:
+        """The outputs with the sort keys, and behind those what tells rows with equal keys apart.
+
+        That is where the rows of the tables are stored; for groups and for tables that can't
+        tell, it is what the row shows.
+        """
+        rows = self.frame.select(
+            *[col.alias(f"__out_{i}") for i, (col, _) in enumerate(self.outputs)],
+            *[key.alias(f"__sort_{i}") for i, (key, _) in enumerate(self.sorts)],
+            *[column(name).alias(f"__tie_{i}") for i, name in enumerate(self.addresses)],
+        )
+        named = [(f"__sort_{i}", direction) for i, (_, direction) in enumerate(self.sorts)]
+        named += [(f"__tie_{i}", "ASC") for i in range(len(self.addresses))]
+        if not self.all_addressed:
+            shown = content_order(rows, [c for c in rows.columns if not c.startswith("__tie")])
+            rows = rows.select("*", *[col.alias(f"__shown_{i}") for i, col in enumerate(shown)])
+            named += [(f"__shown_{i}", "ASC") for i in range(len(shown))]
+        return rows, [Key(name, direction, rows.schema[name].dataType) for name, direction in named]
+
+    def unkeyed(self, rows: DataFrame) -> DataFrame:
+        return rows.select([column(f"__out_{i}") for i in range(len(self.outputs))]).toDF(*[name for _, name in self.outputs])
 
 
 def shape(spec: QuerySpec, source: Source) -> Shape:
@@ -100,7 +126,7 @@ def shape(spec: QuerySpec, source: Source) -> Shape:
     for s in spec.sort:
         ref = _find(scope, s.column, aliases)
         sorts.append((aliases[s.column.strip()] if ref is None else ref.expr, s.direction))
-    return Shape(frame, outputs, sorts, plain=spec.selects_all and not computed)
+    return Shape(frame, outputs, sorts, scope.addresses, scope.all_addressed)
 
 
 def _grouped(
@@ -148,13 +174,24 @@ def _find(scope: Scope, text: str, aliases: dict[str, Column]) -> Ref | None:
         raise
 
 
-def build_list(spec: QuerySpec, tables: Tables) -> DataFrame:
-    shaped = shape(spec, open_source(spec, tables))
-    frame = shaped.frame
-    if shaped.sorts:
-        keys = [ordering(key, direction) for key, direction in shaped.sorts]
-        frame = sort_rows(frame, keys)
-    return page(shaped.finish(frame), spec.limit_rows, spec.offset)
+def build_list(spec: QuerySpec, tables: Tables, index: KeyIndex | None = None) -> DataFrame:
+    """A list query. ``index`` is one of its first sort key (see ``page_index``), for pages behind an offset."""
+    if not (spec.sort or spec.offset):
+        shaped = shape(spec, open_source(spec, tables))
+        rows = shaped.finish(shaped.frame)
+        return rows.limit(spec.limit_rows) if spec.limit_rows else rows
+    shaped = shape(spec, open_source(spec, tables, addressed=True))
+    rows, keys = shaped.keyed()
+    return shaped.unkeyed(page_of(rows, keys, spec.limit_rows, spec.offset, index))
+
+
+def page_index(spec: QuerySpec, tables: Tables, path: str | None = None) -> KeyIndex:
+    """The histogram of a list query's first sort key, to be used for any of its pages; kept at ``path`` if given."""
+    rows, keys = shape(spec, open_source(spec, tables, addressed=True)).keyed()
+    index = key_index(rows.select([k.col for k in keys]), keys[0], keys)
+    if path:
+        index.save(rows.sparkSession, keys[0], path)
+    return index
 
 
 def build(spec: QuerySpec, tables: Tables) -> DataFrame:
@@ -210,12 +247,12 @@ class Page:
         return self.counts.first().asDict()
 
 
-def fetch_page(spec: QuerySpec, tables: Tables) -> Page:
+def fetch_page(spec: QuerySpec, tables: Tables, index: KeyIndex | None = None) -> Page:
     """The page plus ``total``, ``page_rows`` and ``truncated`` (the page is full).
 
     Without grouping the size of the page follows from the total, and the data are counted once.
     """
-    rows = build_list(spec, tables)
+    rows = build_list(spec, tables, index)
     counts = count_rows(spec, tables)
     if _may_group(spec):
         shown = rows.agg(F.count(F.lit(1)).alias("page_rows")).select(F.lit(0).cast("long").alias("total"), "page_rows")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from tablemill.errors import SpecError
+from tablemill.operators.places import with_address
 
 Tables = SparkSession | Mapping[str, DataFrame] | Callable[[str], DataFrame]
 
@@ -59,20 +60,38 @@ class Scope:
     def __init__(self, base: str) -> None:
         self.base = base
         self._columns: dict[str, dict[str, tuple[str, DataType]]] = {}
+        self._addresses: dict[str, tuple[str, str]] = {}
 
     @property
     def references(self) -> list[str]:
         return list(self._columns)
 
-    def admit(self, reference: str, df: DataFrame) -> DataFrame:
-        """Register a table and return it with its columns qualified."""
+    def admit(self, reference: str, df: DataFrame, addressed: bool = False) -> DataFrame:
+        """Register a table and return it with its columns qualified.
+
+        ``addressed`` adds where each row is stored, where the table can tell; see ``addresses``.
+        """
         known: dict[str, tuple[str, DataType]] = {}
         for field in df.schema.fields:
             if field.name.lower() in known:
                 raise SpecError(f"Table {reference!r} has the column {field.name!r} more than once.")
             known[field.name.lower()] = (field.name, field.dataType)
         self._columns[reference] = known
-        return df.toDF(*[f"{reference}.{f.name}" for f in df.schema.fields])
+        names = [f"{reference}.{f.name}" for f in df.schema.fields]
+        placed = with_address(df, "__file", "__row") if addressed else None
+        if placed is None:
+            return df.toDF(*names)
+        self._addresses[reference] = (f"__file.{reference}", f"__row.{reference}")
+        return placed.toDF(*names, *self._addresses[reference])
+
+    @property
+    def addresses(self) -> list[str]:
+        """Columns that tell where the rows of the tables are stored, for those that can."""
+        return [name for pair in self._addresses.values() for name in pair]
+
+    @property
+    def all_addressed(self) -> bool:
+        return self._addresses.keys() == self._columns.keys()
 
     def columns_of(self, reference: str) -> list[Ref]:
         return [self._ref(reference, name, dtype) for name, dtype in self._columns[reference].values()]

@@ -147,7 +147,7 @@ def test_limit_and_offset(spark):
 
 
 def test_deep_offset_is_cut_in_place(spark, monkeypatch):
-    monkeypatch.setattr(paging, "DEEP_OFFSET", 50)
+    monkeypatch.setattr(paging, "LEAF", 50)
     tables = {"n": spark.range(0, 500, 1, 9).withColumnRenamed("id", "v")}
     deep = build(QuerySpec(table="n", sort=(Sort("v"),), limit_rows=5, offset=321), tables)
     assert [r[0] for r in deep.collect()] == [321, 322, 323, 324, 325]
@@ -163,7 +163,7 @@ def test_ties_are_ordered_alike_before_and_behind_a_deep_offset(spark, monkeypat
     def page():
         return [tuple(r) for r in build(QuerySpec(table="n", select=("v", "w"), sort=(Sort("v"),), limit_rows=150, offset=120), tables).collect()]
     near = page()
-    monkeypatch.setattr(paging, "DEEP_OFFSET", 50)
+    monkeypatch.setattr(paging, "LEAF", 50)
     assert page() == near and len(near) == 150
     first = build(QuerySpec(table="n", select=("v", "w"), sort=(Sort("v"),), limit_rows=120), tables).collect()
     assert not {tuple(r) for r in first} & set(near)
