@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablemill.errors import SpecError
@@ -15,7 +15,7 @@ from tablemill.operators.paging import ordering, sort_rows
 from tablemill.operators.places import content_order
 from tablemill.operators.reports import lay_out, long_report
 from tablemill.operators.totals import with_grand_total
-from tablemill.plans.compile import Page, build, build_list, count_rows, fetch_page, open_source, shape, states_order
+from tablemill.plans.compile import Page, Source, build, build_list, count_rows, fetch_page, may_group, open_source, page_sizes, shape, states_order
 from tablemill.plans.scope import Tables, column, lookup_table
 from tablemill.plans.spec import NAME_RULE, QuerySpec, decode
 from tablemill.plans.sql import clean_sql
@@ -25,6 +25,8 @@ REGION_CODES = ("DVVNL", "PVVNL", "PUVNL", "MVVNL", "KESCO")
 TABLE_STEM = "CM_master_data_"
 TABLE_PLACEHOLDER = "{{MASTER_TABLE}}"
 REGION_PLACEHOLDER = "{{DISCOM}}"
+# String literals and comments of SQL text.
+NOT_CODE = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|--[^\n]*|/\*.*?\*/""", re.DOTALL)
 # Other names under which a JSON payload may carry the fields.
 FIELD_ALIASES = {"month_tag": "month", "discoms": "regions", "base_discom": "base_region"}
 
@@ -82,9 +84,17 @@ class Family:
         return re.compile(rf"{schema}[`\"]?\b{TABLE_STEM}[A-Z]{{3}}_\d{{4}}_(?:{regions})\b[`\"]?", re.IGNORECASE)
 
     def in_text(self, text: str, region: str) -> str:
-        """SQL text with placeholders and member table names set to one region."""
-        text = text.replace(TABLE_PLACEHOLDER, self.table(region)).replace(REGION_PLACEHOLDER, region)
-        return self._pattern().sub(lambda _: self.table(region), text)
+        """SQL text with placeholders and member table names set to one region.
+
+        Placeholders are replaced wherever they stand. Names of member tables are only replaced
+        where they name a table: string literals and comments stay as they are.
+        """
+        name, pieces, at = self._pattern(), [], 0
+        for quoted_text in NOT_CODE.finditer(text):
+            pieces += [name.sub(lambda _: self.table(region), text[at : quoted_text.start()]), quoted_text[0]]
+            at = quoted_text.end()
+        text = "".join(pieces) + name.sub(lambda _: self.table(region), text[at:])
+        return text.replace(TABLE_PLACEHOLDER, self.table(region)).replace(REGION_PLACEHOLDER, region)
 
     def tables_for(self, region: str, tables: Tables):
         """A table lookup in which every member name means this region's table."""
@@ -102,20 +112,54 @@ def _region(code: str, known: dict[str, str]) -> str:
     return found
 
 
-def family_of_partitions(df: DataFrame, family: Family, region_column: str, month_column: str | None = None):
-    """Table lookup over one dataset partitioned by region (and month): each member is a filter.
+@dataclass(frozen=True)
+class FamilyDataset:
+    """Table lookup over one dataset with the rows of all members, labelled by region (and month).
 
-    Stored with ``partitionBy``, every branch then prunes to its own partition.
+    Stored with ``partitionBy``, a member's rows are its own partition, and so are those of any
+    choice of members.
     """
 
-    def find(name: str) -> DataFrame:
-        for region in family.allowed:
-            if name.lower() == family.table(region).lower():
-                rows = df.filter(F.col(region_column) == region)
-                return rows.filter(F.col(month_column) == family.month) if month_column else rows
+    df: DataFrame
+    family: Family
+    region_column: str
+    month_column: str | None = None
+
+    def __call__(self, name: str) -> DataFrame:
+        for region in self.family.allowed:
+            if name.lower() == self.family.table(region).lower():
+                return self.rows(F.col(self.region_column) == region)
         raise SpecError(f"{name!r} is not a member table.")
 
-    return find
+    def rows(self, wanted: Column) -> DataFrame:
+        rows = self.df.filter(wanted)
+        return rows.filter(F.col(self.month_column) == self.family.month) if self.month_column else rows
+
+    def members(self) -> DataFrame:
+        """The rows of all members that are read, in one scan."""
+        return self.rows(F.col(self.region_column).isin(*self.family.members))
+
+
+def family_of_partitions(df: DataFrame, family: Family, region_column: str, month_column: str | None = None) -> FamilyDataset:
+    return FamilyDataset(df, family, region_column, month_column)
+
+
+def _together(spec: QuerySpec, family: Family, tables: Tables) -> Source | None:
+    """The source of all members at once, if they are one dataset and joins can't mix them up.
+
+    A join that keeps unmatched rows of the joined table would do so once for each member.
+    """
+    if not isinstance(tables, FamilyDataset) or len(family.members) < 2 or not family.is_member(spec.table):
+        return None
+    if any(family.is_member(j.table) or j.join_type == "RIGHT" for j in spec.joins):
+        return None
+    own = FamilyDataset(tables.df, family, tables.region_column, tables.month_column)
+    return open_source(spec, lambda name: own.members() if family.is_member(name) else tables(name), addressed=bool(spec.sort))
+
+
+def _keyless(spec: QuerySpec) -> bool:
+    """Whether an aggregate stands alone, which gives a row even for a member without rows."""
+    return spec.selects_all and not spec.group_by and may_group(spec)
 
 
 def union_family(spec: QuerySpec, family: Family, tables: Tables) -> DataFrame:
@@ -130,6 +174,10 @@ def union_family(spec: QuerySpec, family: Family, tables: Tables) -> DataFrame:
     branches = [family.tables_for(region, tables) for region in family.members]
     if len(branches) == 1:
         return build(spec, branches[0])
+    if spec.mode != "REPORT" and not spec.offset and not _keyless(spec) and (spec.sort or not spec.limit_rows):
+        source = _together(spec, family, tables)
+        if source is not None:
+            return _one_scan(spec, source, tables.region_column)
     if spec.mode == "REPORT":
         parts = [
             long_report(spec, find).withColumn("__branch", F.lit(i)) for i, find in enumerate(branches)
@@ -153,6 +201,22 @@ def union_family(spec: QuerySpec, family: Family, tables: Tables) -> DataFrame:
     return sort_rows(rows, order, content_order(rows, rows.columns)).select([f"__out_{i}" for i in range(len(names))]).toDF(*names)
 
 
+def _one_scan(spec: QuerySpec, source: Source, region_column: str) -> DataFrame:
+    """All members from rows labelled by region: groups and limits hold per region.
+
+    Each task keeps the first rows of every region before anything is shuffled.
+    """
+    shaped = shape(spec, source, apart=source.scope.resolve(region_column, default=spec.table.strip()))
+    if not spec.sort:
+        return shaped.finish(shaped.frame)
+    rows, keys = shaped.keyed()
+    order = [k.ordered for k in keys]
+    if not spec.limit_rows:
+        return shaped.unkeyed(rows.orderBy(*order))
+    place = F.row_number().over(Window.partitionBy("__apart").orderBy(*order))
+    return shaped.unkeyed(rows.withColumn("__place", place).filter(F.col("__place") <= spec.limit_rows))
+
+
 def _stack(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
@@ -186,7 +250,10 @@ def _sql_union(spec: QuerySpec, family: Family, tables: Tables) -> DataFrame:
 
 
 def family_total(spec: QuerySpec, family: Family, tables: Tables) -> DataFrame:
-    """One row, ``total``: matching rows of all members, each counted on its own."""
+    """One row, ``total``: matching rows of all members, each counted on its own or all in one scan."""
+    source = _together(spec, family, tables)
+    if source is not None:
+        return source.frame.agg(F.count(F.lit(1)).alias("total"))
     parts = [count_rows(spec, family.tables_for(region, tables)) for region in family.members]
     return _stack(parts).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
 
@@ -197,10 +264,18 @@ def family_page(spec: QuerySpec, family: Family, tables: Tables) -> Page:
     For reports and SQL text the total is the number of rows shown, and nothing is cut off
     but by a limit.
     """
-    rows = union_family(spec, family, tables)
     if spec.mode == "REPORT" or spec.execution_mode == "sql":
-        shown = F.count(F.lit(1))
-        return Page(rows, rows.agg(shown.alias("total"), shown.alias("page_rows"), F.lit(False).alias("truncated")))
-    parts = [fetch_page(spec, family.tables_for(region, tables)).counts for region in family.members]
-    counts = _stack(parts).agg(F.sum("total").alias("total"), F.sum("page_rows").alias("page_rows"), F.max("truncated").alias("truncated"))
-    return Page(rows, counts)
+        rows, shown = union_family(spec, family, tables), F.count(F.lit(1))
+        return Page(lambda: rows, rows.agg(shown.alias("total"), shown.alias("page_rows"), F.lit(False).alias("truncated")))
+    source = None if may_group(spec) else _together(spec, family, tables)
+    if source is not None:
+        region = source.scope.resolve(tables.region_column, default=spec.table.strip()).expr
+        parts = page_sizes(source.frame.groupBy(region.alias("region")).agg(F.count(F.lit(1)).alias("total")), spec)
+    else:
+        parts = _stack([fetch_page(spec, family.tables_for(region, tables)).counts for region in family.members])
+    counts = parts.agg(
+        F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum("page_rows"), F.lit(0)).alias("page_rows"),
+        F.coalesce(F.max("truncated"), F.lit(False)).alias("truncated"),
+    )
+    return Page(lambda: union_family(spec, family, tables), counts)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +71,7 @@ class Shape:
     sorts: list[tuple[Column, str]]
     addresses: list[str] = field(default_factory=list)
     all_addressed: bool = False
+    apart: Column | None = None
 
     def finish(self, frame: DataFrame) -> DataFrame:
         """Project the outputs under their public names; equal names are allowed."""
@@ -84,11 +87,12 @@ class Shape:
             *[col.alias(f"__out_{i}") for i, (col, _) in enumerate(self.outputs)],
             *[key.alias(f"__sort_{i}") for i, (key, _) in enumerate(self.sorts)],
             *[column(name).alias(f"__tie_{i}") for i, name in enumerate(self.addresses)],
+            *([] if self.apart is None else [self.apart.alias("__apart")]),
         )
         named = [(f"__sort_{i}", direction) for i, (_, direction) in enumerate(self.sorts)]
         named += [(f"__tie_{i}", "ASC") for i in range(len(self.addresses))]
         if not self.all_addressed:
-            shown = content_order(rows, [c for c in rows.columns if not c.startswith("__tie")])
+            shown = content_order(rows, [c for c in rows.columns if c.startswith(("__out", "__sort"))])
             rows = rows.select("*", *[col.alias(f"__shown_{i}") for i, col in enumerate(shown)])
             named += [(f"__shown_{i}", "ASC") for i in range(len(shown))]
         return rows, [Key(name, direction, rows.schema[name].dataType) for name, direction in named]
@@ -97,8 +101,8 @@ class Shape:
         return rows.select([column(f"__out_{i}") for i in range(len(self.outputs))]).toDF(*[name for _, name in self.outputs])
 
 
-def shape(spec: QuerySpec, source: Source) -> Shape:
-    """Projection and grouping of a list query."""
+def shape(spec: QuerySpec, source: Source, apart: Ref | None = None) -> Shape:
+    """Projection and grouping of a list query. Rows that differ in ``apart`` are never grouped together."""
     scope, frame = source.scope, source.frame
     joined = bool(spec.joins)
     selected = [] if spec.selects_all else [scope.resolve(text) for text in spec.select]
@@ -114,7 +118,7 @@ def shape(spec: QuerySpec, source: Source) -> Shape:
     if spec.group_by or any(grouped for _, _, grouped in computed):
         named = {ref.qualified for ref in selected}
         keys = [ref for ref in map(scope.resolve, spec.group_by) if ref.qualified not in named] + selected
-        return _grouped(spec, scope, frame, keys, computed, joined)
+        return _grouped(spec, scope, frame, keys, computed, joined, apart)
 
     if spec.selects_all:
         outputs = [(ref.expr, ref.name) for ref in scope.all_columns()]
@@ -126,7 +130,7 @@ def shape(spec: QuerySpec, source: Source) -> Shape:
     for s in spec.sort:
         ref = _find(scope, s.column, aliases)
         sorts.append((aliases[s.column.strip()] if ref is None else ref.expr, s.direction))
-    return Shape(frame, outputs, sorts, scope.addresses, scope.all_addressed)
+    return Shape(frame, outputs, sorts, scope.addresses, scope.all_addressed, None if apart is None else apart.expr)
 
 
 def _grouped(
@@ -136,9 +140,11 @@ def _grouped(
     keys: list[Ref],
     computed: list[tuple[Column, str, bool]],
     joined: bool,
+    apart: Ref | None = None,
 ) -> Shape:
     """Group by the key columns and by computed columns that are not aggregates."""
     groups = [ref.expr.alias(f"__key_{i}") for i, ref in enumerate(keys)]
+    groups += [] if apart is None else [apart.expr.alias("__key_apart")]
     groups += [col.alias(f"__computed_{i}") for i, (col, _, agg) in enumerate(computed) if not agg]
     totals = [col.alias(f"__computed_{i}") for i, (col, _, agg) in enumerate(computed) if agg]
     if not totals:
@@ -157,7 +163,7 @@ def _grouped(
         if found is None:
             raise SpecError(f"Sort column {s.column!r} is neither grouped nor computed.")
         sorts.append((found, s.direction))
-    return Shape(frame, outputs, sorts)
+    return Shape(frame, outputs, sorts, apart=None if apart is None else column("__key_apart"))
 
 
 def _public(ref: Ref, joined: bool) -> str:
@@ -194,8 +200,14 @@ def page_index(spec: QuerySpec, tables: Tables, path: str | None = None) -> KeyI
     return index
 
 
-def build(spec: QuerySpec, tables: Tables) -> DataFrame:
-    """Run any specification: a list query, a report or SQL text."""
+def build(spec: QuerySpec, tables: Tables, checked: bool = False) -> DataFrame:
+    """Run any specification: a list query, a report or SQL text.
+
+    ``checked`` refuses filters whose operator is not offered for their column's type, as a
+    form for queries would; by itself a query may compare text as numbers.
+    """
+    if checked and spec.execution_mode != "sql":
+        check_operators(spec, tables)
     if spec.execution_mode == "sql":
         from tablemill.plans.sql import run_sql
 
@@ -231,35 +243,47 @@ def count_rows(spec: QuerySpec, tables: Tables) -> DataFrame:
     return open_source(spec, tables).frame.agg(F.count(F.lit(1)).alias("total"))
 
 
-def _may_group(spec: QuerySpec) -> bool:
+def may_group(spec: QuerySpec) -> bool:
     computed = any(f.func != "COALESCE" for f in spec.function_columns) or any(c.aggregate_func for c in spec.case_expressions)
     return bool(spec.group_by or spec.aggregates or computed)
 
 
 @dataclass
 class Page:
-    """One page of a result with its size information."""
+    """One page of a result with its size information. The rows are planned when they are asked for."""
 
-    rows: DataFrame
+    plan_rows: Callable[[], DataFrame]
     counts: DataFrame
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        return self.plan_rows()
+
     def info(self) -> dict[str, int | bool]:
         return self.counts.first().asDict()
 
 
+def page_sizes(totals: DataFrame, spec: QuerySpec) -> DataFrame:
+    """Adds ``page_rows`` and ``truncated`` (the page is full) to totals of ungrouped rows."""
+    left = F.greatest(F.col("total") - spec.offset, F.lit(0).cast("long"))
+    sized = totals.withColumn("page_rows", F.least(left, F.lit(spec.limit_rows).cast("long")) if spec.limit_rows else left)
+    return sized.withColumn("truncated", _full(spec))
+
+
+def _full(spec: QuerySpec) -> Column:
+    return F.col("page_rows") == spec.limit_rows if spec.limit_rows else F.lit(False)
+
+
 def fetch_page(spec: QuerySpec, tables: Tables, index: KeyIndex | None = None) -> Page:
     """The page plus ``total``, ``page_rows`` and ``truncated`` (the page is full).
 
     Without grouping the size of the page follows from the total, and the data are counted once.
     """
-    rows = build_list(spec, tables, index)
     counts = count_rows(spec, tables)
-    if _may_group(spec):
-        shown = rows.agg(F.count(F.lit(1)).alias("page_rows")).select(F.lit(0).cast("long").alias("total"), "page_rows")
-        counts = counts.select("total", F.lit(0).cast("long").alias("page_rows")).union(shown)
-        counts = counts.agg(F.max("total").alias("total"), F.max("page_rows").alias("page_rows"))
-    else:
-        left = F.greatest(F.col("total") - spec.offset, F.lit(0).cast("long"))
-        counts = counts.withColumn("page_rows", F.least(left, F.lit(spec.limit_rows).cast("long")) if spec.limit_rows else left)
-    full = F.lit(False) if not spec.limit_rows else F.col("page_rows") == spec.limit_rows
-    return Page(rows, counts.withColumn("truncated", full))
+    if not may_group(spec):
+        return Page(lambda: build_list(spec, tables, index), page_sizes(counts, spec))
+    rows = build_list(spec, tables, index)
+    shown = rows.agg(F.count(F.lit(1)).alias("page_rows")).select(F.lit(0).cast("long").alias("total"), "page_rows")
+    counts = counts.select("total", F.lit(0).cast("long").alias("page_rows")).union(shown)
+    counts = counts.agg(F.max("total").alias("total"), F.max("page_rows").alias("page_rows"))
+    return Page(lambda: rows, counts.withColumn("truncated", _full(spec)))

@@ -5,6 +5,12 @@ from tablemill.operators.families import (
     TABLE_PLACEHOLDER, Family, family_of_partitions, family_total, union_family, union_family_sql,
 )
 
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 FAMILY = Family("JAN_2026", ("dvvnl", "PVVNL", "DVVNL"))
 
 
@@ -86,6 +92,45 @@ def test_partitioned_family_prunes(spark, tables, tmp_path):
     find = family_of_partitions(spark.read.parquet(path), FAMILY, "region", "month")
     df = union_family(QuerySpec(table=TABLE_PLACEHOLDER, select=("id",), limit_rows=0), FAMILY, find)
     assert df.count() == 8
-    assert "PartitionFilters: [isnotnull(region" in df._jdf.queryExecution().executedPlan().toString()
+    assert "region#" in plan_of(df) and " IN (" in plan_of(df).split("PartitionFilters:")[1] and plan_of(df).count("FileScan") == 1
+    assert "PartitionFilters:" in df._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(SpecError):
         find("other")
+
+
+def test_one_scan_gives_what_the_branches_give(spark, rows):
+    """Over one labelled dataset, members are read together; over single tables each by itself."""
+    codes = ("DVVNL", "PVVNL", "KESCO")
+    family = Family("jan_2026", codes)
+    data = [(k, codes[k % 3] if k % 11 else "PUVNL", "AB"[k % 2], k % 7) for k in range(200)] + [(900, None, "A", 1)]
+    df = spark.createDataFrame(data, "id int, DISCOM string, kind string, v int").repartition(5)
+    whole = family_of_partitions(df, family, "DISCOM")
+    apart = {family.table(code): df.filter(df.DISCOM == code) for code in codes}
+    count = (FunctionColumn("COUNT", "*", "n"), FunctionColumn("SUM", "v", "s"))
+    for spec in (
+        QuerySpec(table=TABLE_PLACEHOLDER, select=("id", "kind"), limit_rows=0),
+        QuerySpec(table=TABLE_PLACEHOLDER, select=("id",), sort=(Sort("v"), Sort("id", "DESC")), limit_rows=4),
+        QuerySpec(table=TABLE_PLACEHOLDER, select=("id",), filters=(Filter("kind", "=", "A"),), sort=(Sort("v"), Sort("id")), limit_rows=0),
+        QuerySpec(table=TABLE_PLACEHOLDER, select=("kind",), function_columns=count, limit_rows=0),
+        QuerySpec(table=TABLE_PLACEHOLDER, select=("kind", "v"), function_columns=count, sort=(Sort("n", "DESC"), Sort("v"), Sort("kind")), limit_rows=3),
+        QuerySpec(table=TABLE_PLACEHOLDER, function_columns=count, filters=(Filter("id", "<", 0),), limit_rows=0),
+        QuerySpec(table=TABLE_PLACEHOLDER, select=("id",), sort=(Sort("id"),), limit_rows=5, offset=3),
+    ):
+        got, want = union_family(spec, family, whole), union_family(spec, family, apart)
+        assert got.columns == want.columns and rows(got) == rows(want)
+        if spec.sort and not spec.limit_rows:
+            assert got.collect() == want.collect()
+    assert family_total(QuerySpec(table=TABLE_PLACEHOLDER, filters=(Filter("kind", "=", "A"),)), family, whole).first()[0] == sum(
+        r[1] in codes and r[2] == "A" for r in data
+    )
+    limited = union_family(QuerySpec(table=TABLE_PLACEHOLDER, select=("id",), sort=(Sort("id"),), limit_rows=5), family, whole)
+    plan = limited._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("Scan ExistingRDD") == 1
+
+
+def test_names_in_literals_and_comments_stay(spark):
+    family = Family("mar_2026", ("PVVNL", "DVVNL"), schema_name=None)
+    text = """SELECT 'CM_master_data_jan_2025_DVVNL' AS a, "it''s CM_master_data_jan_2025_DVVNL" AS b, '{{DISCOM}}' AS c -- CM_master_data_jan_2025_DVVNL
+              /* CM_master_data_jan_2025_DVVNL's */ FROM CM_master_data_jan_2025_DVVNL x JOIN `cm_master_data_feb_2020_kesco` y JOIN {{MASTER_TABLE}}"""
+    found = family.in_text(text, "PVVNL")
+    assert found.count("CM_master_data_jan_2025_DVVNL") == 4 and found.count("CM_master_data_mar_2026_PVVNL") == 3 and "'PVVNL' AS c" in found

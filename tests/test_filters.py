@@ -144,3 +144,14 @@ def test_to_double_keeps_plain_numbers_only(spark):
     df = spark.createDataFrame([("1.5",), ("+2",), (".5",), ("5.",), ("1f",), ("0x10",), ("Infinity",)], "v string")
     values = [r[0] for r in df.select(to_double(F.col("v"), df.schema["v"].dataType)).collect()]
     assert values == [1.5, 2.0, 0.5, 5.0, None, None, float("inf")]
+
+
+def test_building_with_checked_operators(spark):
+    from tablemill import QuerySpec, build
+
+    tables = {"t": spark.createDataFrame([("5", 5)], "text string, number int")}
+    loose = QuerySpec(table="t", filters=(Filter("text", ">", "4"),))
+    assert build(loose, tables).count() == 1
+    with pytest.raises(SpecError, match="not offered"):
+        build(loose, tables, checked=True)
+    assert build(QuerySpec(table="t", filters=(Filter("number", ">", 4),)), tables, checked=True).count() == 1
