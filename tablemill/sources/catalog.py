@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,8 @@ from tablemill.sources.heads import DETECT
 from tablemill.sources.parquet import read_parquet_set
 
 KINDS = ("TABLE", "VIEW")
+# Marks in the names of tables that are being written, or replaced.
+FRESH, STALE = "__fresh_", "__stale_"
 # How many rows a preview may show.
 PREVIEW_ROWS = 10
 MAX_PREVIEW_ROWS = 50
@@ -61,24 +65,99 @@ def create_object(
 ) -> ObjectInfo:
     """Create a table or view from a frame. Replacing may turn one kind into the other.
 
-    Master objects take their monthly name from ``month``.
+    A table is written and counted beside the object it replaces, which is read as before until
+    the new one is complete; if the write fails, nothing has changed. The rows may come from
+    the very table that is replaced. Master objects take their monthly name from ``month``.
     """
     kind = kind.upper()
     if kind not in KINDS:
         raise SpecError("An object is a TABLE or a VIEW.")
     name = check_name(monthly_name(name, month))
+    recover_object(spark, name)
     existing = object_kind(spark, name)
     if existing and not replace:
         raise SpecError(f"Object {name!r} already exists; ask for replace to overwrite it.")
-    if existing and existing != kind:
-        drop_object(spark, name)
     if kind == "VIEW":
         df.createOrReplaceTempView(name)
-    else:
-        df.write.mode("overwrite").format("parquet").saveAsTable(name)
+        if existing == "TABLE":
+            spark.sql(f"DROP TABLE {_in_database(spark, name)}")
+        return describe(spark, name)
+    fresh = _beside(name, FRESH)
+    try:
+        df.write.format("parquet").saveAsTable(_in_database(spark, fresh))
+        _analyse(spark, fresh)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {_in_database(spark, fresh)}")
+        raise
+    if existing == "VIEW":
+        drop_object(spark, name)
+    _swap(spark, fresh, name)
     return describe(spark, name)
 
 
+def _in_database(spark: SparkSession, name: str) -> str:
+    """A table's name with its database, which no session view can stand for."""
+    return f"{quoted(spark.catalog.currentDatabase())}.{quoted(name)}"
+
+
+def _beside(name: str, mark: str) -> str:
+    return f"{name}{mark}{uuid.uuid4().hex[:8]}"
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    spark.sql(f"ALTER TABLE {_in_database(spark, old)} RENAME TO {_in_database(spark, new)}")
+
+
+def _swap(spark: SparkSession, fresh: str, name: str) -> None:
+    """Give a complete table the name of another, which is dropped only after that."""
+    stale = _beside(name, STALE) if object_kind(spark, name) else None
+    if stale:
+        _rename(spark, name, stale)
+    try:
+        _rename(spark, fresh, name)
+    except BaseException:
+        if stale:
+            _rename(spark, stale, name)
+        raise
+    if stale:
+        spark.sql(f"DROP TABLE {_in_database(spark, stale)}")
+
+
+def recover_object(spark: SparkSession, name: str) -> None:
+    """Put right what a run left that died while it replaced a table.
+
+    If it died between two renames, the old table gets its name back. What else it left is dropped.
+    """
+    left = [t.name for t in spark.catalog.listTables() if re.fullmatch(rf"(?i){re.escape(name.strip())}({FRESH}|{STALE})[0-9a-f]{{8}}", t.name)]
+    stale = [t for t in left if STALE in t]
+    if stale and object_kind(spark, name) is None:
+        _rename(spark, stale[0], name)
+        left.remove(stale[0])
+    for table in left:
+        spark.sql(f"DROP TABLE {_in_database(spark, table)}")
+
+
+def _analyse(spark: SparkSession, name: str) -> None:
+    """Store a table's size and row count in the catalog. Spark forgets them when it writes to the table."""
+    spark.sql(f"ANALYZE TABLE {_in_database(spark, name)} COMPUTE STATISTICS")
+
+
+def stored_rows(spark: SparkSession, name: str) -> int | None:
+    """The row count that the catalog holds for a table, or None; no rows are read."""
+    told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {_in_database(spark, name)}").collect()}
+    found = re.search(r"(\d+) rows", told.get("Statistics") or "")
+    return int(found[1]) if found else None
+
+
+def count_table(spark: SparkSession, name: str) -> int:
+    """The row count of a table: the catalog's, or one that is counted and stored now."""
+    rows = stored_rows(spark, name)
+    if rows is None:
+        _analyse(spark, name)
+        rows = stored_rows(spark, name)
+    return spark.table(_in_database(spark, name)).count() if rows is None else rows
+
+
 def read_source(
     spark: SparkSession,
     source: str,
@@ -115,13 +194,16 @@ def drop_object(spark: SparkSession, name: str) -> str:
 
 
 def describe(spark: SparkSession, name: str) -> ObjectInfo:
-    """Columns of an object, and its row count if it is a table; views report 0."""
+    """Columns of an object, and its row count if it is a table; views report 0.
+
+    A table's rows are counted once and the count is kept in the catalog until Spark writes to it.
+    """
     kind = object_kind(spark, name)
     if kind is None:
         raise SpecError(f"Object {name!r} does not exist.")
     df = spark.table(quoted(name))
     columns = tuple(ColumnInfo(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields)
-    return ObjectInfo(name, kind, columns, df.count() if kind == "TABLE" else 0)
+    return ObjectInfo(name, kind, columns, count_table(spark, name) if kind == "TABLE" else 0)
 
 
 def list_tables(spark: SparkSession) -> list[ObjectInfo]:
@@ -139,9 +221,9 @@ def archive_master(spark: SparkSession, month: str) -> str | None:
     if first is None or object_kind(spark, "master") != "TABLE":
         return None
     name = f"master_{label_of_previous(first)}"
-    if object_kind(spark, name):
+    if object_kind(spark, name) == "VIEW":
         drop_object(spark, name)
-    spark.sql(f"ALTER TABLE master RENAME TO {quoted(name)}")
+    _swap(spark, "master", name)
     return name
 
 

@@ -1,10 +1,11 @@
 import datetime as dt
+import os
 
 import pytest
 
 from tablemill import SpecError
 from tablemill.sources.catalog import (
-    archive_master, create_object, describe, drop_object, list_tables, object_kind, preview, read_source,
+    archive_master, create_object, describe, drop_object, list_tables, object_kind, preview, read_source, stored_rows,
 )
 from tablemill.sources.delimited import read_csv_set
 from tablemill.sources.exports import export_csv, first_table, representative, sample_once, slug
@@ -132,3 +133,44 @@ def test_new_files_are_taken_up_once(spark, tmp_path, rows):
     assert run() == [("1", "x", 1), ("z", "y", None)] and run() == [("1", "x", 1), ("z", "y", None)]
     with pytest.raises(SpecError):
         ingest(spark, str(landing), target, marks, "id string", file_format="xml")
+
+
+def test_a_failed_write_keeps_the_old_table(catalog, tmp_path):
+    create_object(catalog, "kept", catalog.range(5))
+    broken = catalog.range(100).selectExpr("assert_true(id < 50, 'no more') AS bad", "id")
+    with pytest.raises(Exception, match="no more"):
+        create_object(catalog, "kept", broken, replace=True)
+    assert catalog.table("kept").count() == 5 and [t.name for t in list_tables(catalog)] == ["kept"]
+    grown = catalog.table("kept").union(catalog.range(5, 8))  # from the table itself
+    assert create_object(catalog, "KEPT", grown, replace=True).row_count == 8
+    create_object(catalog, "seen", catalog.range(2), "VIEW")
+    with pytest.raises(Exception, match="no more"):
+        create_object(catalog, "seen", broken, replace=True)
+    assert object_kind(catalog, "seen") == "VIEW" and catalog.table("seen").count() == 2
+
+
+def test_what_a_dead_run_left_is_put_right(catalog):
+    catalog.range(3).write.saveAsTable("t__stale_0123abcd")  # died between the renames
+    catalog.range(4).write.saveAsTable("t__fresh_0123abcd")
+    with pytest.raises(SpecError):
+        create_object(catalog, "t", catalog.range(9))
+    assert [(t.name, t.row_count) for t in list_tables(catalog)] == [("t", 3)]
+
+
+def test_archiving_over_an_older_archive(catalog):
+    catalog.range(1).write.saveAsTable("master_FEB_2026")
+    catalog.range(2).write.saveAsTable("master")
+    assert archive_master(catalog, "MAR_2026") == "master_FEB_2026" and catalog.table("master_FEB_2026").count() == 2
+    assert [t.name.lower() for t in list_tables(catalog)] == ["master_feb_2026"]
+
+
+def test_counts_are_kept_until_the_table_is_written(catalog):
+    create_object(catalog, "counted", catalog.range(6))
+    files = [f.removeprefix("file:") for f in catalog.table("counted").inputFiles()]
+    for f in files:  # a count of the rows would fail
+        os.rename(f, f + ".away")
+    assert stored_rows(catalog, "counted") == 6 and [t.row_count for t in list_tables(catalog)] == [6]
+    for f in files:
+        os.rename(f + ".away", f)
+    catalog.range(4).write.insertInto("counted")
+    assert describe(catalog, "counted").row_count == 10 and stored_rows(catalog, "counted") == 10

@@ -126,6 +126,21 @@ CASES["family_sql_template"] = Case(
 )
 
 
+def _named(spark: SparkSession, folder: str) -> DataFrame:
+    """The name of a member table within a literal is no table."""
+    find = family_of_partitions(members(spark, folder), FAMILY, "region")
+    for region in FAMILY.members:
+        find(FAMILY.table(region)).createOrReplaceTempView(FAMILY.table(region))
+    text = """SELECT 'CM_master_data_feb_2020_KESCO' AS label, '{{DISCOM}}' AS discom, COUNT(*) AS n -- of CM_master_data_feb_2020_KESCO
+              FROM CM_master_data_feb_2020_KESCO"""
+    return union_family_sql(spark, text, FAMILY)
+
+
+CASES["family_sql_literal"] = Case(
+    _named, f"{MEMBERS} SELECT 'CM_master_data_feb_2020_KESCO' AS label, region AS discom, COUNT(*) AS n FROM member GROUP BY region"
+)
+
+
 def _partitioned(spark: SparkSession, folder: str) -> DataFrame:
     """The family stored as one dataset; each member reads its own partition only."""
     path = scratch_path(spark, "family")

@@ -443,6 +443,13 @@ register(
     "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey OFFSET 1250",
     everything("orders", select=("o_orderkey", "o_totalprice"), sort=(Sort("o_totalprice"), Sort("o_orderkey")), offset=1250),
 )
+register(
+    "sort_deep_page",
+    """SELECT l_shipdate, l_orderkey, l_linenumber, l_partkey FROM lineitem
+       ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey LIMIT 300 OFFSET 50500""",
+    QuerySpec(table="lineitem", select=("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"), limit_rows=300, offset=50500,
+              sort=(Sort("l_shipdate", "DESC"), Sort("l_orderkey"), Sort("l_linenumber"), Sort("l_partkey"))),
+)
 register(
     "sort_nulls_last",
     """SELECT p_partkey, s_suppkey FROM part LEFT JOIN supplier ON p_partkey = s_suppkey
