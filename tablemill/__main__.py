@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     convert.add_argument("--output", required=True)
     convert.add_argument("--compression", choices=CODECS, default=DEFAULT_CODEC)
     convert.add_argument("--typed", action="store_true", help="infer column types instead of keeping text")
+    convert.add_argument("--shadows", help="text columns whose parsed dates or numbers are stored too, separated by commas")
     convert.add_argument("--hierarchy", help="office lookup; with --supply, the rows get the monthly cleaning")
     convert.add_argument("--supply", help="supply-type lookup")
     convert.add_argument("--as-of", type=dt.date.fromisoformat, default=dt.date.today(), help="day behind the month of the rows")
@@ -71,7 +72,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
                 raise SpecError("The monthly cleaning needs both --hierarchy and --supply.")
             hierarchy, supply = read_lookup(spark, args.hierarchy), read_lookup(spark, args.supply)
             transform = lambda rows: enrich_monthly(rows, hierarchy, supply, args.as_of)
-        done = csv_to_parquet(spark, args.input, args.output, args.compression, args.typed, transform)
+        shadows = args.shadows.split(",") if args.shadows else None
+        done = csv_to_parquet(spark, args.input, args.output, args.compression, args.typed, transform, shadows)
         return f"{done.rows} rows from {done.total_files - done.skipped_files} file(s) to {done.output_path}; skipped {done.skipped_files}."
     if args.job == "create":
         names = [n.strip() for n in args.names.split(",")] if args.names else None

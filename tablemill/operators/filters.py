@@ -22,6 +22,7 @@ from pyspark.sql.types import (
     DataType,
     DateType,
     DecimalType,
+    DoubleType,
     FractionalType,
     IntegralType,
     NumericType,
@@ -87,28 +88,36 @@ def compile_filters(filters: tuple[Filter, ...], scope: Scope) -> Column | None:
 
 def compile_filter(flt: Filter | Branch, scope: Scope) -> Column:
     ref = scope.resolve(flt.column)
-    return condition(ref.expr, ref.dtype, ref.name, flt.operator, flt.value)
+    return condition(ref.expr, ref.dtype, ref.name, flt.operator, flt.value, ref.day, ref.number)
 
 
-def condition(col: Column, dtype: DataType, name: str, op: str, value: Any) -> Column:
-    """A single condition on a column of known type and name."""
+def condition(
+    col: Column, dtype: DataType, name: str, op: str, value: Any, day: Column | None = None, number: Column | None = None
+) -> Column:
+    """A single condition on a column of known type and name.
+
+    ``day`` and ``number`` are columns with the parsed values of a text column, where those are
+    stored; comparisons that would parse the text use them, and the scan can be pruned by them.
+    """
     if op in NULL_TESTS:
         return col.isNull() if op == "IS NULL" else col.isNotNull()
     if op in TEXT_TESTS:
         return _text_test(to_text(col, dtype), op, str(value))
     if DATE_NAME.search(name):
-        return _date_condition(col, dtype, op, value)
+        return _date_condition(col, dtype, op, value) if day is None else _date_condition(day, DateType(), op, value)
     if op in LISTS:
         found = col.isin([typed_literal(v, dtype, name) for v in list_values(op, value)])
         return found if op == "IN" else ~found
     if op in RANGES:
-        inside = _between(col, dtype, name, *range_values(value))
+        bounds = range_values(value)
+        parsed = number is not None and all(as_number(b) is not None for b in bounds)
+        inside = _between(number, DoubleType(), name, *bounds) if parsed else _between(col, dtype, name, *bounds)
         return inside if op == "BETWEEN" else ~inside
     if op in PATTERNS:
         matched = _like(to_text(col, dtype), "" if value is None else str(value))
         return matched if op == "LIKE" else ~matched
     if op in COMPARISONS and as_number(value) is not None:
-        return _compare_number(col, dtype, name, op, value)
+        return _compare_number(col, dtype, name, op, value) if number is None else _compare_number(number, DoubleType(), name, op, value)
     return _COMPARE[op](col, typed_literal(value, dtype, name))
 
 

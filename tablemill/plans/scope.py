@@ -7,11 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, StringType
 
 from tablemill.errors import SpecError
 from tablemill.operators.places import with_address
 
+# Metadata of a column that holds the parsed values of a text column: which one, and the kind of values.
+SHADOW, DAY, NUMBER = "shadow_of", "day", "number"
+
 Tables = SparkSession | Mapping[str, DataFrame] | Callable[[str], DataFrame]
 
 
@@ -37,12 +40,14 @@ def lookup_table(tables: Tables, name: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ref:
-    """A resolved column: its table reference, own name, type and expression."""
+    """A resolved column: its table reference, own name, type and expression, and parsed values stored beside it."""
 
     reference: str
     name: str
     dtype: DataType
     expr: Column
+    day: Column | None = None
+    number: Column | None = None
 
     @property
     def qualified(self) -> str:
@@ -61,6 +66,7 @@ class Scope:
         self.base = base
         self._columns: dict[str, dict[str, tuple[str, DataType]]] = {}
         self._addresses: dict[str, tuple[str, str]] = {}
+        self._shadows: dict[str, dict[str, dict[str, str]]] = {}
 
     @property
     def references(self) -> list[str]:
@@ -72,7 +78,13 @@ class Scope:
         ``addressed`` adds where each row is stored, where the table can tell; see ``addresses``.
         """
         known: dict[str, tuple[str, DataType]] = {}
+        shadows = self._shadows.setdefault(reference, {})
+        texts = {f.name.lower() for f in df.schema.fields if isinstance(f.dataType, StringType)}
         for field in df.schema.fields:
+            source = str(field.metadata.get(SHADOW, "")).lower()
+            if source in texts:
+                shadows.setdefault(source, {})[str(field.metadata.get("kind"))] = field.name
+                continue
             if field.name.lower() in known:
                 raise SpecError(f"Table {reference!r} has the column {field.name!r} more than once.")
             known[field.name.lower()] = (field.name, field.dataType)
@@ -121,6 +133,7 @@ class Scope:
             raise SpecError(f"Table {reference!r} has no column {name!r}. Available: {options}.")
         return self._ref(reference, *found)
 
-    @staticmethod
-    def _ref(reference: str, name: str, dtype: DataType) -> Ref:
-        return Ref(reference, name, dtype, column(f"{reference}.{name}"))
+    def _ref(self, reference: str, name: str, dtype: DataType) -> Ref:
+        own = self._shadows[reference].get(name.lower(), {})
+        parsed = {kind: column(f"{reference}.{own[kind]}") for kind in (DAY, NUMBER) if kind in own}
+        return Ref(reference, name, dtype, column(f"{reference}.{name}"), **parsed)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.sql.types import DataType
 
 from tablemill.errors import SpecError
 from tablemill.functions.inference import wider
+from tablemill.operators.shadows import with_shadows
 from tablemill.plans.scope import column
 from tablemill.sources.delimited import infer_schema, scan, scan_groups, union_by_name
 from tablemill.sources.files import InputFile, as_files, clean_path, file_system, literal_path
@@ -104,6 +105,7 @@ def csv_to_parquet(
     compression: str = DEFAULT_CODEC,
     typed: bool = False,
     transform: Callable[[DataFrame], DataFrame] | None = None,
+    shadows: Iterable[str] | None = None,
 ) -> Converted:
     """Convert CSV files to Parquet in one job over all files.
 
@@ -112,7 +114,8 @@ def csv_to_parquet(
     source. Sources that a run has finished are skipped, as are files without rows. What a
     run left that died before is replaced, as it is not recorded as finished.
     A single file with an output path that ends in ``.parquet`` becomes that dataset.
-    ``transform`` is applied before the write, for the monthly cleaning.
+    ``transform`` is applied before the write, for the monthly cleaning. ``shadows`` names text
+    columns whose parsed dates or numbers are stored beside them, for filters to be pruned by.
     """
     codec = check_codec(compression)
     files = as_files(source)
@@ -133,6 +136,8 @@ def csv_to_parquet(
     rows = union_by_name([scan(spark, group, schema=schema) for group in groups])
     if transform is not None:
         rows = transform(rows)
+    if shadows is not None:
+        rows = with_shadows(rows, shadows)
     seen = Observation()
     rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
     if single:

@@ -12,6 +12,7 @@ from tablemill import (
     build, fetch_page, run_sql,
 )
 from tablemill.operators.joins import equi_join
+from tablemill.operators.shadows import with_shadows
 from tablemill.session import materialize
 from workload import Case, table_reader
 
@@ -184,6 +185,14 @@ register(
         .otherwise(F.concat(F.col("p_size").cast("string"), F.lit(".5"))).alias("price"),
     )},
 )
+register(
+    "filter_numeric_shadow",
+    """WITH priced AS (SELECT p_partkey, p_name, CASE p_size % 4 WHEN 0 THEN 'n/a' ELSE CAST(p_retailprice AS VARCHAR) END AS price FROM part)
+       SELECT p_partkey, p_name, price FROM priced WHERE TRY_CAST(price AS DOUBLE) >= 910 AND TRY_CAST(price AS DOUBLE) NOT BETWEEN 920 AND 950""",
+    everything("priced", filters=(Filter("price", ">=", "910"), Filter("price", "NOT BETWEEN", "920, 950"))),
+    lambda read: {"priced": materialize(with_shadows(read("part").select(
+        "p_partkey", "p_name", F.when(F.col("p_size") % 4 == 0, "n/a").otherwise(F.col("p_retailprice").cast("string")).alias("price")), ["price"]), "priced")},
+)
 register(
     "filter_date_native",
     """SELECT o_orderkey, o_custkey FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1995-03-01'
@@ -211,7 +220,24 @@ register(
         Filter("bill_date", ">=", "1994-05-10"), Filter("bill_date", "NOT BETWEEN", ("1996-02-01", "1996-05-31")),
         Filter("bill_date", "!=", "1995-01-01"), Filter("bill_date", "IS NOT NULL"),
     )),
-    lambda read: {"dated": materialize(read("orders").select("o_orderkey", _date_text().alias("bill_date")), "dated")},
+    lambda read: {"dated": materialize(with_shadows(read("orders").select("o_orderkey", _date_text().alias("bill_date"))), "dated")},
+)
+register(
+    "filter_date_parsed",
+    """WITH dated AS (SELECT o_orderkey, CASE o_orderkey % 6
+            WHEN 0 THEN upper(strftime(o_orderdate, '%d-%b-%Y')) WHEN 1 THEN strftime(o_orderdate, '%-d-%B-%Y')
+            WHEN 2 THEN strftime(o_orderdate, '%d-%m-%Y') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d')
+            WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') ELSE 'unknown' END AS bill_date FROM orders),
+       parsed AS (SELECT *, COALESCE(TRY_CAST(bill_date AS DATE),
+            CAST(TRY_STRPTIME(bill_date, '%d-%b-%Y') AS DATE), CAST(TRY_STRPTIME(bill_date, '%d-%B-%Y') AS DATE),
+            CAST(TRY_STRPTIME(bill_date, '%d-%m-%Y') AS DATE), CAST(TRY_STRPTIME(bill_date, '%Y-%m-%d') AS DATE)) AS d FROM dated)
+       SELECT o_orderkey, bill_date FROM parsed WHERE d >= DATE '1994-05-10' AND d NOT BETWEEN DATE '1996-02-01' AND DATE '1996-05-31'
+       AND d != DATE '1995-01-01' AND bill_date IS NOT NULL""",
+    everything("dated", filters=(
+        Filter("bill_date", ">=", "1994-05-10"), Filter("bill_date", "NOT BETWEEN", ("1996-02-01", "1996-05-31")),
+        Filter("bill_date", "!=", "1995-01-01"), Filter("bill_date", "IS NOT NULL"),
+    )),
+    lambda read: {"dated": read("orders").select("o_orderkey", _date_text().alias("bill_date"))},
 )
 
 
