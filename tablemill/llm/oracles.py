@@ -111,6 +111,22 @@ def _short(hashes: str) -> str:
     return f"list_transform({hashes}, lambda h: h[1:{BRANCH_DIGITS}])"
 
 
+def _compared(a: str, b: str, out: str) -> str:
+    """Likeness of two fingerprints' branches, and the sections and paragraphs only the first has, by levels."""
+    only = lambda x, y: f"list_filter({x}, lambda v: NOT list_contains({y}, v))"
+    both = lambda x, y: f"list_filter({x}, lambda v: list_contains({y}, v))"
+    below = lambda x, mark: f"list_distinct(flatten(list_transform({x}, lambda v: string_split(v[{BRANCH_DIGITS + 2}:], '{mark}'))))"
+    leaves = lambda x: f"COALESCE(list_sum(list_transform({x}, lambda v: length(v) - length(translate(v, ',|', '')) + 1)), 0)::BIGINT"
+    return f"""
+{out}_s AS (SELECT doc_id, {a} AS ra, {b} AS rb, list_distinct(string_split({a}[66:], ';')) AS a, list_distinct(string_split({b}[66:], ';')) AS b FROM sides),
+{out}_p AS (SELECT doc_id, ra, rb, {leaves(both("a", "b"))} AS shared, len({only("a", "b")})::BIGINT AS sections,
+    {below(only("a", "b"), "|")} AS a, {below(only("b", "a"), "|")} AS b FROM {out}_s),
+{out}_l AS (SELECT doc_id, ra, rb, shared + {leaves(both("a", "b"))} AS shared, sections, len({only("a", "b")})::BIGINT AS paragraphs,
+    {below(only("a", "b"), ",")} AS a, {below(only("b", "a"), ",")} AS b FROM {out}_p),
+{out} AS (SELECT doc_id, ra[:64] = rb[:64] AS same, sections, paragraphs,
+    CASE WHEN ra[:64] = rb[:64] THEN 1.0::DOUBLE ELSE ROUND(2 * (shared + len({both("a", "b")}))::DOUBLE / (2 * shared + len(a) + len(b)), 6) END AS near FROM {out}_l)"""
+
+
 FINGERPRINTS = f"""
 WITH d AS (SELECT doc_id, COALESCE(text, '') AS text FROM documents),
 ring AS (
@@ -124,23 +140,24 @@ e AS (
 ),
 texts AS (SELECT doc_id, 'own' AS kind, text FROM e UNION ALL SELECT doc_id, 'edited', edited FROM e),
 leaves AS (
-    SELECT doc_id, kind, list_transform({_cut("replace(text, chr(0), chr(1))", SECTION_END, "s")}, lambda s: list_transform({_cut("s", LEAF_END, "x")}, lambda x: sha256(x))) AS t
+    SELECT doc_id, kind, list_transform({_cut("replace(replace(text, chr(1), chr(1) || chr(2)), chr(0), chr(1) || chr(3))", SECTION_END, "s")},
+        lambda s: list_transform({_cut("s", chr(92) + "n", "p")}, lambda p: list_transform({_cut("p", LEAF_END, "x")}, lambda x: sha256(x)))) AS t
     FROM texts
 ),
-hashed AS (SELECT doc_id, kind, t, list_transform(t, lambda s: sha256(array_to_string(s, ''))) AS h FROM leaves),
+lines AS (SELECT doc_id, kind, t, list_transform(t, lambda s: list_transform(s, lambda p: sha256(array_to_string(p, '')))) AS g FROM leaves),
+hashed AS (SELECT doc_id, kind, t, g, list_transform(g, lambda s: sha256(array_to_string(s, ''))) AS h FROM lines),
 prints AS (
-    SELECT doc_id, kind, sha256(array_to_string(h, '')) AS root, list_distinct({_short("flatten(t)")}) AS own,
-        array_to_string(list_transform(t, lambda s, i: h[i][1:{BRANCH_DIGITS}] || '=' || array_to_string({_short("s")}, ',')), ';') AS branches
+    SELECT doc_id, kind, sha256(array_to_string(h, '')) || ':' || array_to_string(list_transform(t, lambda s, i: h[i][1:{BRANCH_DIGITS}] || '=' ||
+        array_to_string(list_transform(s, lambda p, j: g[i][j][1:{BRANCH_DIGITS}] || '>' || array_to_string({_short("p")}, ',')), '|')), ';') AS print
     FROM hashed
 ),
 sides AS (
-    SELECT e.doc_id, n_chars, edited, a, b, c FROM e JOIN prints a ON a.kind = 'own' AND a.doc_id = e.doc_id
+    SELECT e.doc_id, n_chars, edited, a.print AS a, b.print AS b, c.print AS c FROM e JOIN prints a ON a.kind = 'own' AND a.doc_id = e.doc_id
     JOIN prints b ON b.kind = 'edited' AND b.doc_id = e.doc_id JOIN prints c ON c.kind = 'own' AND c.doc_id = e.next_id
-)
-SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, a.root || ':' || a.branches AS fingerprint, b.root || ':' || b.branches AS edited_fingerprint,
-    CASE WHEN a.root = b.root THEN 1.0::DOUBLE ELSE ROUND(2 * len(list_intersect(a.own, b.own))::DOUBLE / (len(a.own) + len(b.own)), 6) END AS near_edited,
-    CASE WHEN a.root = c.root THEN 1.0::DOUBLE ELSE ROUND(2 * len(list_intersect(a.own, c.own))::DOUBLE / (len(a.own) + len(c.own)), 6) END AS near_next
-FROM sides
+),{_compared("a", "b", "edit")},{_compared("a", "c", "beside")}
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, sides.a AS fingerprint, sides.b AS edited_fingerprint, edit.near AS near_edited, beside.near AS near_next,
+    CASE WHEN edit.same THEN 0 ELSE edit.sections END AS changed_sections, CASE WHEN edit.same THEN 0 ELSE edit.paragraphs END AS changed_paragraphs
+FROM sides JOIN edit USING (doc_id) JOIN beside USING (doc_id)
 """
 
 

@@ -81,10 +81,41 @@ def test_fingerprints(docs, empty):
     assert fingerprints.compare_with_edit(empty).count() == 0
 
 
+def plain_tree(text):
+    """The tree of fingerprints.tree, by the rules as they are written."""
+    escaped = (text or "").replace("\x01", "\x01\x02").replace("\0", "\x01\x03")
+    cut = lambda x, ends: [y for n, y in enumerate(re.sub(f"({ends})", "\\1\0", x).split("\0")) if y or not n]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections = []
+    for s in cut(escaped, "\n[ \t\r]*\n[ \t\n\x0b\f\r]*"):
+        paragraphs = [[sha(x) for x in cut(p, r"[.!?:;,|]+[ \t\r]+")] for p in cut(s, "\n")]
+        sections.append((sha("".join(sha("".join(p)) for p in paragraphs)), [(sha("".join(p)), p) for p in paragraphs]))
+    return sections
+
+
+def test_trees_equal_a_plain_version(spark):
+    draw = random.Random(8)
+    texts = [*TEXTS, "a\0b c", "a\x01b c", "a\x01\x03b c", "\0", "\x01", "x. \n\n \n\ny, z|  q\n", *("".join(draw.choices("ab .,\n\t|:\r", k=draw.randint(0, 80))) for _ in range(300))]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r["k"]: r for r in df.select("k", fingerprints.tree(df.t).alias("x"), fingerprints.fingerprint(fingerprints.tree(df.t)).alias("p")).collect()}
+    for k, t in enumerate(texts):
+        want = plain_tree(t)
+        assert [(s["hash"], [(p["hash"], p["leaves"]) for p in s["paragraphs"]]) for s in got[k]["x"]] == want
+        body = ";".join(f"{h[:12]}=" + "|".join(f"{g[:12]}>" + ",".join(x[:12] for x in leaves) for g, leaves in ps) for h, ps in want)
+        assert got[k]["p"] == hashlib.sha256("".join(h for h, _ in want).encode()).hexdigest() + ":" + body
+    assert len({got[k]["p"][:64] for k, t in enumerate(texts)}) == len({t or "" for t in texts})
+
+
 def test_edits_are_located(spark):
-    df = spark.createDataFrame([("a. b. c.\n\nd. e.", "a. X. c.\n\nd. e."), (None, "")], "l string, r string")
-    got = df.select(fingerprints.edits(fingerprints.tree(df.l), fingerprints.tree(df.r)).alias("e")).collect()
-    assert [tuple(x) for x in got[0]["e"]] == [(0, 1)] and got[1]["e"] == []
+    long = "\n\n".join(f"Title {k}\nfirst {k}, second {k}. third\nlast {k}" for k in range(40))
+    pairs = [("a. b. c.\n\nd. e.", "a. X. c.\n\nd. e."), (None, ""), (long, long.replace("second 17", "changed")), (long, long.replace("last 5", "last; 5"))]
+    df = spark.createDataFrame(pairs, "l string, r string")
+    trees = fingerprints.tree(df.l), fingerprints.tree(df.r)
+    both = fingerprints.compare(*map(fingerprints.fingerprint, trees))
+    got = df.select(fingerprints.edits(*trees).alias("e"), both.alias("c")).collect()
+    assert [[tuple(x) for x in r["e"]] for r in got] == [[(0, 0, 1)], [], [(17, 1, 1)], [(5, 2, 0)]]
+    assert [(r["c"]["sections"], r["c"]["paragraphs"], r["c"]["leaves"]) for r in got] == [(1, 1, 1), (0, 0, 0), (1, 1, 1), (1, 1, 1)]
+    assert got[1]["c"]["likeness"] == 1 and 0.97 < got[2]["c"]["likeness"] < 1
 
 
 def test_chat_formatting(spark):
