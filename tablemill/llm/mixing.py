@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.llm.shared import running, words
+from tablemill.llm.shared import free_name, running, words
 from tablemill.session import materialize
 
 #: A source is repeated this often at most.
@@ -149,9 +149,12 @@ def repeat(df: DataFrame, mixed: Mix, id_col: str = "doc_id") -> DataFrame:
     """The rows of the mixed frame, each as often as its document is taken whole.
 
     The end of a source's share cuts one document; it counts from one half on. How often is
-    decided by id: rows that repeat an id share its average, so that it is the same in each run.
+    decided by id: rows that repeat an id share its average, so that it is the same in each run,
+    and rows without an id count as repeating one. Columns of any name pass through; an empty
+    frame gives an empty one.
     """
+    key, times, copy = (free_name(df, n) for n in ("_id", "_times", "_copy"))
     often = mixed.taken().groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("n")).where("t > 0")
-    often = often.select(F.col("doc_id").alias("_id"), F.floor(F.col("t") / F.col("n") + 0.5).cast("int").alias("_times")).where("_times > 0")
-    rows = df.join(often, F.col(id_col).eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_copy")
+    often = often.select(F.col("doc_id").alias(key), F.floor(F.col("t") / F.col("n") + 0.5).cast("int").alias(times)).where(F.col(times) > 0)
+    rows = df.join(often, F.col(id_col).eqNullSafe(F.col(key)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(key, times, copy)

@@ -64,7 +64,10 @@ FROM o
 
 
 def url_filters(rules: Sequence[Rule]) -> str:
-    """Pages of check tables state no links, so the usual redirects alone connect urls here."""
+    """Pages of the given tables state no links, so the usual redirects alone connect urls there.
+
+    Stated links are read as the operator does, but for `.` and `..` in relative ones.
+    """
     listed = ", ".join(f"({_text(r.host)}, {_text(r.path)}, {_text(r.host + r.path)}, {_text(r.verdict)})" for r in rules)
     return rf"""
     WITH RECURSIVE rules(rhost, rpath, rule, said) AS (VALUES {listed}),
@@ -86,9 +89,22 @@ def url_filters(rules: Sequence[Rule]) -> str:
                 || CASE WHEN COALESCE(kept, '') <> '' THEN '?' || kept ELSE '' END END AS alias
         FROM c LEFT JOIN best USING (host, path)
     ),
+    tags AS (
+        SELECT url, replace(regexp_extract(tag, '(?:href\s*=\s*|url\s*=\s*)["'']?([^"''\s>]+)', 1, 'i'), '&amp;', '&') AS link
+        FROM (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?(?:-->|\z)', '', 'gs'),
+            '<(?:link|meta)\b[^>]*(?:canonical|http-equiv\s*=\s*["'']?refresh)[^>]*>', 0, 'i')) AS tag FROM pages)
+    ),
+    linked AS (
+        SELECT url, link, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1) AS scheme, regexp_extract(url, '^.*?://([^/?#]*)', 1, 's') AS site,
+            regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM tags
+    ),
     stated AS (
-        SELECT url AS a, regexp_extract(tag, '(?:href\s*=\s*|url\s*=\s*)["'']?([a-z]+://[^"''\s>]+)', 1, 'i') AS b
-        FROM (SELECT url, unnest(regexp_extract_all(html, '<(?:link|meta)\b[^>]*(?:canonical|http-equiv\s*=\s*["'']?refresh)[^>]*>', 0, 'i')) AS tag FROM pages)
+        SELECT url AS a, CASE WHEN regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN link WHEN scheme = '' OR site = '' THEN NULL
+            WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN scheme || '://' || site || link
+            WHEN starts_with(link, '?') THEN scheme || '://' || site || path || link
+            WHEN link <> '' AND NOT starts_with(link, '#') AND NOT regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*:')
+                THEN scheme || '://' || site || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || link END AS b
+        FROM linked
     ),
     ways AS (
         SELECT a, b FROM (SELECT url AS a, alias AS b FROM j UNION SELECT a, b FROM stated) WHERE a IS NOT NULL AND b <> '' AND a <> b

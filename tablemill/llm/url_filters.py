@@ -58,15 +58,40 @@ def usual_redirect(url: Column) -> Column:
     return F.when(host != "", plain)
 
 
+def _flat(path: Column) -> Column:
+    """A path without `.` and `..` parts, as browsers read it."""
+    parts = F.split(path, "/")
+    kept = lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+    flat = F.aggregate(parts, F.array().cast("array<string>"), kept)
+    closing = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.array_join(flat, "/"), closing)).otherwise(path)
+
+
+def resolved(link: Column, url: Column) -> Column:
+    """The address that a link on a page means, null if it means none: whole, or from the page's scheme, host or folder."""
+    scheme, authority = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1), F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
+    site = F.concat(scheme, F.lit("://"), authority)
+    place, behind = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_replace(F.when(path_of(url) == "", "/").otherwise(path_of(url)), r"[^/]*$", "")
+    relative = (
+        F.when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(site, _flat(place), behind))
+        .when(F.startswith(link, F.lit("?")), F.concat(site, path_of(url), link))
+        .when((link != "") & ~F.startswith(link, F.lit("#")) & ~link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.concat(site, _flat(F.concat(folder, place)), behind))
+    )
+    return F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), link).when((scheme != "") & (authority != ""), relative)
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst): usual redirects, and the canonical links and immediate redirects that pages state.
 
-    Only absolute addresses count. Null urls and null pages state nothing.
+    Addresses may be relative to the page and have `&amp;` for `&`; what stands in a comment is
+    not stated. Null urls and null pages state nothing.
     """
-    tags = F.regexp_extract_all(
-        F.coalesce(html_col, F.lit("")), F.lit(r"(?i)<(?:link|meta)\b[^>]*(?:canonical|http-equiv\s*=\s*[\"']?refresh)[^>]*>"), F.lit(0)
-    )
-    stated = F.transform(tags, lambda t: F.regexp_extract(t, r"(?i)(?:href\s*=\s*|url\s*=\s*)[\"']?([a-z]+://[^\"'\s>]+)", 1))
+    shown = F.regexp_replace(F.coalesce(html_col, F.lit("")), r"(?s)<!--.*?(?:-->|\z)", "")
+    tags = F.regexp_extract_all(shown, F.lit(r"(?i)<(?:link|meta)\b[^>]*(?:canonical|http-equiv\s*=\s*[\"']?refresh)[^>]*>"), F.lit(0))
+    address = lambda t: F.replace(F.regexp_extract(t, r"(?i)(?:href\s*=\s*|url\s*=\s*)[\"']?([^\"'\s>]+)", 1), F.lit("&amp;"), F.lit("&"))
+    stated = F.transform(tags, lambda t: resolved(address(t), F.col(url_col)))
     ends = F.concat(F.array(usual_redirect(F.col(url_col))), stated)
     ends = pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("src"), F.explode(ends).alias("dst"))
     return ends.where("dst <> '' and dst <> src")

@@ -195,6 +195,9 @@ def test_mixing(spark, docs, empty):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     assert mixing.mix(empty).taken().count() == 0
     assert mixing.repeat(docs, mixing.mix(docs)).columns == docs.columns
+    clashing = docs.toDF("doc_id", "text", "lang", "source", "_id", "_times", "_copy")
+    repeated = mixing.repeat(clashing, mixing.mix(clashing))
+    assert repeated.columns == clashing.columns and repeated.count() == mixing.repeat(docs, mixing.mix(docs)).count()
 
 
 def brute_components(prints):
@@ -253,3 +256,31 @@ def test_url_filters(spark):
     assert [got[k]["verdict"] for k in range(13)] == ["block", "allow", "block", "allow", "allow", "allow", "allow", "allow", "block", "block", "allow", "allow", "block"]
     assert (got[0]["host"], got[0]["path"], got[0]["rule"]) == ("example.org", "/en/1", "example.org/en/1") and got[5]["host"] == ""
     assert url_filters.filter_urls(df.limit(0), rules).count() == 0 and url_filters.filter_urls(df, []).count() == 13
+
+
+def test_stated_links(spark):
+    page = "http://x.com/a/b.html?q=1#t"
+    told = {
+        "http://y.org/1?a=1&amp;b=2": "http://y.org/1?a=1&b=2", "//x.com/de/9": "http://x.com/de/9", "/de/9?z": "http://x.com/de/9?z", "c.html": "http://x.com/a/c.html",
+        "../de/./9": "http://x.com/de/9", "?p=2": "http://x.com/a/b.html?p=2", "../../../up/": "http://x.com/up/", "#here": None, "mailto:a@b": None, "d/..": "http://x.com/a/",
+    }
+    rows = [(page, f'<link rel="canonical" href="{link}">') for link in told] + [("x", '<link rel=canonical href="/z">'), (None, '<link rel=canonical href="/z">'), (page, None)]
+    rows.append((page, '<!-- <link rel="canonical" href="/hidden"> --><META http-equiv=Refresh content="0; URL=/seen"><!-- open <link rel=canonical href=/no>'))
+    df = spark.createDataFrame(rows, "url string, html string")
+    got = {tuple(r) for r in url_filters.page_links(df).collect()}
+    assert got == {(page, "https://x.com/a/b.html?q=1"), (page, "http://x.com/seen")} | {(page, t) for t in told.values() if t}
+    blocked = [("http://x.com/de/9", None), ("http://a.net/1", '<link rel="canonical" href="//x.com/de/9">'), ("http://a.net/2", '<!--<link rel="canonical" href="//x.com/de/9">-->')]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(blocked)], "page_id int, url string, html string")
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(df, [url_filters.parse_rule("block com/de/")]).collect()}
+    assert verdicts == {0: "block", 1: "block", 2: "allow"}
+
+
+def test_fingerprints_bit_by_bit(docs):
+    import xxhash
+
+    for r in simhash.near_duplicates(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        own = [w.translate({k: k + 32 for k in range(65, 91)}) for w in words(r["text"])]
+        shingles = [" ".join(own[k : k + 3]) for k in range(max(1, len(own) - 2))] if own else []
+        hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert r["fingerprint"] == f"{want:016x}"
