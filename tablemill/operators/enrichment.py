@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
@@ -14,6 +14,7 @@ from tablemill.operators.joins import equi_join
 from tablemill.plans.scope import column
 
 Keys = Sequence[tuple[str, str]]
+Join = Callable[[DataFrame, DataFrame, list[tuple[str, str]]], DataFrame]
 
 
 @dataclass
@@ -38,17 +39,22 @@ def enrich(df: DataFrame, master: DataFrame, keys: Keys, fetch: Sequence[str]) -
     ``keys`` pairs a column of ``df`` with one of ``master``. A master key that occurs
     several times repeats the row. A fetched name that ``df`` already has gets a suffix.
     """
+    return enriched(df, master, keys, fetch, lambda left, right, pairs: equi_join(left, right, pairs, "left", [master]))
+
+
+def enriched(df: DataFrame, master: DataFrame, keys: Keys, fetch: Sequence[str], join: Join, texts: Sequence[str] = ()) -> Enriched:
+    """The enrichment by a given left join. ``texts`` are columns of ``master`` that hold its keys as text."""
     _check(df, master, keys, fetch)
     names = list(df.columns)
     added = _free_names(names, fetch)
     left = df.select("*", *[to_text(column(a), df.schema[a].dataType).alias(f"__l{i}") for i, (a, _) in enumerate(keys)])
+    stored = texts or [b for _, b in keys]
     right = master.select(
-        *[to_text(column(b), master.schema[b].dataType).alias(f"__r{i}") for i, (_, b) in enumerate(keys)],
+        *[to_text(column(b), master.schema[b].dataType).alias(f"__r{i}") for i, b in enumerate(stored)],
         *[column(c).alias(f"__f{i}") for i, c in enumerate(fetch)],
         F.lit(True).alias("__hit"),
     )
-    pairs = [(f"__l{i}", f"__r{i}") for i in range(len(keys))]
-    joined = equi_join(left, right, pairs, "left", [master])
+    joined = join(left, right, [(f"__l{i}", f"__r{i}") for i in range(len(keys))])
     observation = Observation()
     joined = joined.observe(observation, F.count("__hit").alias("matched"), F.count(F.lit(1)).alias("total"))
     rows = joined.select(

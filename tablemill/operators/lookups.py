@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,16 +50,28 @@ def lookup_join(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     is broadcast only if its size is known to be within bounds. Otherwise both sides are
     shuffled; a hot key then sits on the left, where adaptive execution splits it.
     """
-    clash = {c.lower() for c in df.columns} & {c.lower() for c in lookup.columns} - {key.lower()}
+
+    def join(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = F.broadcast(right) if is_small(lookup, BROADCAST_BYTES) else right
+        return equi_join(left, right, [("__match", "__key")], "left", split=False)
+
+    return named_join(df, lookup, key, key, join)
+
+
+def named_join(df: DataFrame, lookup: DataFrame, key: str, text: str, join: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The names of a lookup join, with a given join of ``__match`` on the left to ``__key``, both text.
+
+    ``text`` is the lookup's column of the key, or of its text, which is not shown then.
+    """
+    kept = [c for c in lookup.columns if c.lower() not in (key.lower(), text.lower())]
+    clash = {c.lower() for c in df.columns} & {c.lower() for c in kept}
     left = df.toDF(*[f"{c}_x" if c.lower() in clash else c for c in df.columns])
-    kept = [c for c in lookup.columns if c.lower() != key.lower()]
     right = lookup.select(
-        column(key).cast("string").alias("__key"),
+        column(text).cast("string").alias("__key"),
         *[column(c).alias(f"{c}_y" if c.lower() in clash else c) for c in kept],
     )
     left = left.withColumn("__match", column(key).cast("string"))
-    right = F.broadcast(right) if is_small(lookup, BROADCAST_BYTES) else right
-    return equi_join(left, right, [("__match", "__key")], "left", split=False).drop("__match", "__key")
+    return join(left, right).drop("__match", "__key")
 
 
 def lookup_tables(

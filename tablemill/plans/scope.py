@@ -13,7 +13,7 @@ from tablemill.errors import SpecError
 from tablemill.operators.places import with_address
 
 # Metadata of a column that holds the parsed values of a text column: which one, and the kind of values.
-SHADOW, DAY, NUMBER = "shadow_of", "day", "number"
+SHADOW, DAY, NUMBER, TEXT = "shadow_of", "day", "number", "text"
 
 Tables = SparkSession | Mapping[str, DataFrame] | Callable[[str], DataFrame]
 
@@ -80,9 +80,10 @@ class Scope:
         known: dict[str, tuple[str, DataType]] = {}
         shadows = self._shadows.setdefault(reference, {})
         texts = {f.name.lower() for f in df.schema.fields if isinstance(f.dataType, StringType)}
+        others = {f.name.lower() for f in df.schema.fields} - texts
         for field in df.schema.fields:
             source = str(field.metadata.get(SHADOW, "")).lower()
-            if source in texts:
+            if source in (others if field.metadata.get("kind") == TEXT else texts):
                 shadows.setdefault(source, {})[str(field.metadata.get("kind"))] = field.name
                 continue
             if field.name.lower() in known:

@@ -6,11 +6,11 @@ import re
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from tablemill.errors import SpecError
 from tablemill.functions.months import label_of_previous, monthly_name, parse_month
-from tablemill.plans.scope import quoted
+from tablemill.plans.scope import column, quoted
 from tablemill.plans.spec import NAME_RULE
 from tablemill.sources.containers import read_xlsx
 from tablemill.sources.delimited import read_csv, read_csv_set, read_tsv, with_headers
@@ -62,12 +62,15 @@ def create_object(
     kind: str = "TABLE",
     replace: bool = False,
     month: str | None = None,
+    buckets: tuple[int, list[str]] | None = None,
 ) -> ObjectInfo:
     """Create a table or view from a frame. Replacing may turn one kind into the other.
 
     A table is written and counted beside the object it replaces, which is read as before until
     the new one is complete; if the write fails, nothing has changed. The rows may come from
     the very table that is replaced. Master objects take their monthly name from ``month``.
+    ``buckets``, a number and columns, stores a table in that many buckets of those columns,
+    each sorted by them; see ``operators/masters.py``.
     """
     kind = kind.upper()
     if kind not in KINDS:
@@ -84,7 +87,7 @@ def create_object(
         return describe(spark, name)
     fresh = _beside(name, FRESH)
     try:
-        df.write.format("parquet").saveAsTable(_in_database(spark, fresh))
+        _writer(df, buckets).saveAsTable(_in_database(spark, fresh))
         _analyse(spark, fresh)
     except BaseException:
         spark.sql(f"DROP TABLE IF EXISTS {_in_database(spark, fresh)}")
@@ -95,6 +98,15 @@ def create_object(
     return describe(spark, name)
 
 
+def _writer(df: DataFrame, buckets: tuple[int, list[str]] | None) -> DataFrameWriter:
+    if buckets is None:
+        return df.write.format("parquet")
+    number, names = buckets
+    # Dealt as the buckets are, every bucket is one file.
+    dealt = df.repartition(number, *map(column, names))
+    return dealt.write.format("parquet").bucketBy(number, *names).sortBy(*names)
+
+
 def _in_database(spark: SparkSession, name: str) -> str:
     """A table's name with its database, which no session view can stand for."""
     return f"{quoted(spark.catalog.currentDatabase())}.{quoted(name)}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tablemill.functions.months import label_before, month_code, month_label, previous_month_label
 from tablemill.functions.units import load_kilowatts
 from tablemill.operators.enrichment import enrich, enrich_stats
+from tablemill.operators.masters import Master, enrich_stored, lookup_stored, open_master, store_master
 from tablemill.session import scratch_path
 from tablemill.sources.parquet import csv_to_parquet
 from tablemill.operators.lookups import digits_only, enrich_monthly, first_rows, lookup_enrich, lookup_join
@@ -48,6 +50,33 @@ CASES["enrich_stats"] = Case(
         SELECT COUNT(c_custkey) AS matched_rows, COUNT(*) - COUNT(c_custkey) AS unmatched_rows, COUNT(*) AS total_rows FROM met""",
 )
 
+
+def _stored(spark: SparkSession, folder: str, source: str, key: str) -> Master:
+    """A table stored as a master, in a new table of the catalog."""
+    name = f"stored_{source}_{uuid.uuid4().hex}"
+    store_master(spark, name, table_reader(spark, folder)(source), [key])
+    return open_master(spark, name)
+
+
+CASES["enrich_stored_master"] = Case(
+    lambda spark, folder: enrich_stored(_uploaded(spark, folder), _stored(spark, folder, "customer", "c_custkey"), KEYS, ["c_name", "c_mktsegment"]).rows,
+    CASES["enrich_join"].sql,
+)
+CASES["enrich_stored_hot"] = Case(
+    lambda spark, folder: enrich_stored(
+        table_reader(spark, folder)("lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 3 != 0, F.col("l_suppkey")).otherwise(1).alias("supplier")),
+        _stored(spark, folder, "supplier", "s_suppkey"), [("supplier", "s_suppkey")], ["s_name"]).rows,
+    """SELECT l_orderkey, l_linenumber, supplier, s_name FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 3 <> 0 THEN l_suppkey ELSE 1 END AS supplier
+       FROM lineitem) LEFT JOIN supplier ON supplier = s_suppkey""",
+)
+CASES["lookup_stored"] = Case(
+    lambda spark, folder: lookup_stored(
+        table_reader(spark, folder)("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("c_name")),
+        _stored(spark, folder, "customer", "c_custkey")).select("o_orderkey", "c_custkey", "c_name_x", "c_name_y", "c_mktsegment"),
+    """SELECT o_orderkey, o_custkey AS c_custkey, o_orderstatus AS c_name_x, c_name AS c_name_y, c_mktsegment FROM orders
+       LEFT JOIN customer ON o_custkey = customer.c_custkey""",
+)
+
 CASES["lookup_first_rows"] = Case(
     lambda spark, folder: first_rows(
         table_reader(spark, folder)("orders"), "o_custkey", ["o_orderkey", "o_orderstatus"],
