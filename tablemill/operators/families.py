@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablemill.errors import SpecError
+from tablemill.operators.distincts import count_summary, distinct_summary, unite_distinct
 from tablemill.operators.paging import ordering, sort_rows
 from tablemill.operators.places import content_order
 from tablemill.operators.reports import lay_out, long_report
@@ -258,6 +259,34 @@ def family_total(spec: QuerySpec, family: Family, tables: Tables) -> DataFrame:
     return _stack(parts).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
 
 
+def family_distinct(spec: QuerySpec, family: Family, tables: Tables) -> DataFrame:
+    """Distinct counts over all members as one set, by the selected columns.
+
+    ``union_family`` counts each member's values on its own, and those counts don't add up. The
+    specification has a single computed column, a COUNT_DISTINCT, and no sort or limit.
+    """
+    counted = [f for f in spec.function_columns if f.func == "COUNT_DISTINCT"]
+    others = spec.group_by or spec.aggregates or spec.case_expressions or spec.sort or spec.limit_rows or spec.offset
+    if spec.mode == "REPORT" or spec.execution_mode == "sql" or others or len(counted) != 1 or len(spec.function_columns) != 1:
+        raise SpecError("A distinct count over a family takes selected columns and one COUNT_DISTINCT.")
+    selected = [] if spec.selects_all else list(spec.select)
+    keys = [f"__key_{i}" for i in range(len(selected))]
+
+    def summary(source: Source) -> DataFrame:
+        named = [source.scope.resolve(text).expr.alias(key) for text, key in zip(selected, keys)]
+        return distinct_summary(source.frame.select(*named, source.scope.resolve(counted[0].column).expr.alias("__counted")), keys, "__counted")
+
+    source = _together(spec, family, tables)
+    if source is not None:
+        sets, scope = summary(source), source.scope
+    else:
+        sources = [open_source(spec, family.tables_for(region, tables)) for region in family.members]
+        sets, scope = unite_distinct([summary(s) for s in sources], keys), sources[0].scope
+    refs = [scope.resolve(text) for text in selected]
+    names = [ref.qualified if spec.joins else ref.name for ref in refs]
+    return count_summary(sets, keys, "__n").toDF(*names, counted[0].alias)
+
+
 def family_page(spec: QuerySpec, family: Family, tables: Tables) -> Page:
     """The union's rows with the summed ``total`` and ``page_rows``, and ``truncated`` if a member's page is full.
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill import Filter, FunctionColumn, Pivot, QuerySpec, Sort
+from tablemill.operators.distincts import count_summary, distinct_summary, unite_distinct
 from tablemill.operators.families import (
-    REGION_CODES, TABLE_PLACEHOLDER, Family, family_of_partitions, family_page, family_total, union_family, union_family_sql,
+    REGION_CODES, TABLE_PLACEHOLDER, Family, family_distinct, family_of_partitions, family_page, family_total, union_family, union_family_sql,
 )
-from tablemill.session import scratch_path
+from tablemill.session import materialize, scratch_path
 from workload import Case, table_reader
 from workload.reports import cents
 
@@ -84,6 +85,32 @@ def _total(spark: SparkSession, folder: str) -> DataFrame:
 CASES["family_total"] = Case(_total, f"{MEMBERS} SELECT COUNT(*) AS total FROM member WHERE c_mktsegment = 'BUILDING'")
 
 
+def _distinct(name: str):
+    """A column's distinct values over members that are tables of their own, in which the same values recur."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        orders = table_reader(spark, folder)("orders")
+        tables = {FAMILY.table(region): orders.filter(F.col("o_orderkey") % len(REGION_CODES) == i) for i, region in enumerate(REGION_CODES)}
+        spec = QuerySpec(table=FAMILY.table("KESCO"), select=("o_orderstatus",), limit_rows=0, function_columns=(FunctionColumn("COUNT_DISTINCT", name, "n"),))
+        return family_distinct(spec, FAMILY, tables)
+
+    return Case(run, f"SELECT o_orderstatus, COUNT(DISTINCT {name}) AS n FROM orders GROUP BY o_orderstatus")
+
+
+CASES["family_distinct"] = _distinct("o_custkey")
+CASES["family_distinct_text"] = _distinct("o_orderpriority")
+
+
+def _rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct orders by flag, from stored sets by flag and line state."""
+    lines = table_reader(spark, folder)("lineitem")
+    stored = materialize(distinct_summary(lines, ["l_returnflag", "l_linestatus"], "l_orderkey"), "sets")
+    return count_summary(unite_distinct([stored], ["l_returnflag"]), ["l_returnflag"], "n_orders")
+
+
+CASES["distinct_rollup"] = Case(_rollup, "SELECT l_returnflag, COUNT(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY l_returnflag")
+
+
 def _page(spark: SparkSession, folder: str) -> DataFrame:
     """Sizes of a page over all members: 20 rows of each, behind its first 5."""
     spec = QuerySpec(table=TABLE_PLACEHOLDER, filters=(Filter("c_mktsegment", "=", "BUILDING"),), sort=(Sort("c_custkey"),), limit_rows=20, offset=5)
