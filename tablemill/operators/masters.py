@@ -5,8 +5,8 @@ key needs it: only the month's rows are shuffled, to as many parts as there are
 
 A bucket is read by one task, so keys that hold more than one bucket's fair share of either
 side would fill a task. There are at most as many of them as buckets. Rows with such keys, null
-among them, are joined on their own: that part is small on the master's side or is shuffled
-on both, where adaptive execution splits it.
+among them, are joined on their own: the month's hot keys are salted, those of the master
+alone are shuffled on both sides, where adaptive execution splits them.
 """
 
 from __future__ import annotations
@@ -99,24 +99,33 @@ def lookup_stored(df: DataFrame, master: Master) -> DataFrame:
 def stored_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], buckets: int) -> DataFrame:
     """Left join to a side that is stored in buckets of its keys, which are text on both sides."""
     own, stored = [a for a, _ in pairs], [b for _, b in pairs]
-    hot = {*heavy_keys(left, own, buckets), *heavy_keys(right, stored, buckets)}
-    if not hot:
+    often = set(heavy_keys(left, own, buckets))
+    stored_often = set(heavy_keys(right, stored, buckets)) - often
+    if not often | stored_often:
         return _in_place(left, right, pairs, buckets)
-    in_left, in_right = _among(own, hot), _among(stored, hot)
-    cold = _in_place(left.filter(~in_left), right.filter(~in_right), pairs, buckets)
-    return cold.union(_by_shuffle(left.filter(in_left), right.filter(in_right), pairs))
+    in_left, in_right = _among(own, often | stored_often), _among(stored, often | stored_often)
+    joined = _in_place(left.filter(~in_left), right.filter(~in_right), pairs, buckets)
+    for keys, salts in ((often, buckets), (stored_often, 1)):
+        if keys:
+            joined = joined.union(_by_shuffle(left.filter(_among(own, keys)), right.filter(_among(stored, keys)), pairs, salts))
+    return joined
 
 
-def _by_shuffle(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def _by_shuffle(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], salts: int) -> DataFrame:
     """The join with both sides shuffled, so that adaptive execution may split or broadcast them.
 
-    Marked keys are no longer those of the buckets, which would be read by one task each.
+    Marked keys are no longer those of the buckets, which would be read by one task each. With
+    more than one salt, each key's rows on the left are dealt over that many parts, and its rows on
+    the right go to all of them; there are few, unless the result is far larger still.
     """
     marks = [(f"__own_{i}", f"__stored_{i}") for i in range(len(pairs))]
-    own = [F.concat(column(a), F.lit("=")).alias(mark) for (a, _), (mark, _) in zip(pairs, marks)]
-    stored = [F.concat(column(b), F.lit("=")).alias(mark) for (_, b), (_, mark) in zip(pairs, marks)]
-    joined = equi_join(left.select("*", *own), right.select("*", *stored), marks, "left")
-    return joined.drop(*[name for pair in marks for name in pair])
+    left = left.select("*", *[F.concat(column(a), F.lit("=")).alias(mark) for (a, _), (mark, _) in zip(pairs, marks)])
+    right = right.select("*", *[F.concat(column(b), F.lit("=")).alias(mark) for (_, b), (_, mark) in zip(pairs, marks)])
+    if salts > 1:
+        marks.append(("__own_salt", "__stored_salt"))
+        left = left.withColumn("__own_salt", F.monotonically_increasing_id() % salts)
+        right = right.withColumn("__stored_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return equi_join(left, right, marks, "left").drop(*[name for pair in marks for name in pair])
 
 
 def _in_place(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], buckets: int) -> DataFrame:
