@@ -97,8 +97,10 @@ def lookup_enrich(
     """Add division, sub-division and supply columns, each where ``df`` has the key.
 
     The hierarchy serves two lookups, so where both are wanted the columns in question are
-    written first, in one job, and it is computed once. All else is one plan, in which
-    adaptive execution broadcasts a lookup that turns out small after its duplicates are gone.
+    written first, in one job, and it is computed once. Lookups without their duplicates are
+    written too, unless their estimate is small: only that tells their size. A small one is
+    then broadcast, and the rows are never shuffled by its few keys, which would leave a task
+    with all rows of a key.
     """
     places: Sequence[Column] = order
     if DIVISION_KEY in df.columns and SUBDIVISION_KEY in df.columns:
@@ -108,6 +110,7 @@ def lookup_enrich(
         places = [F.col("__order")]
     for key, lookup in lookup_tables(hierarchy, supply, order, places).items():
         if key in df.columns:
+            lookup = lookup if is_small(lookup, BROADCAST_BYTES) else materialize(lookup, "lookup")
             df = lookup_join(df, lookup, key)
     return df
 
@@ -134,7 +137,7 @@ def enrich_monthly(
     as_of: dt.date,
     order: Sequence[Column] = (),
 ) -> DataFrame:
-    """The whole monthly cleaning; see lookup_enrich for the one job that is run ahead.
+    """The whole monthly cleaning; see lookup_enrich for the jobs that are run ahead.
 
     Keeps rows with an all-digit ACCT_ID, joins the lookups, and adds LOAD_KW and MONTH
     (the month before ``as_of``).

@@ -85,6 +85,20 @@ def test_lookups_apply_where_their_key_exists(spark, hierarchy, supply, rows):
     assert rows(out.select("v", "DIV_NAME")) == [("x", "first"), ("y", None)]
 
 
+def test_rows_are_not_shuffled_by_the_few_keys_of_a_lookup(spark, rows, monkeypatch):
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 4096)  # more than the lookup without its duplicates, less than with them
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        supply = spark.createDataFrame([(str(k % 2), f"type {k % 2}") for k in range(1000)], "SUPPLY_TYPE string, CATEGORY string")
+        df = spark.createDataFrame([("0", 1), ("1", 2), ("7", 3), (None, 4)], "SUPPLY_TYPE string, v int")
+        out = lookup_enrich(df, spark.createDataFrame([], HIERARCHY), supply)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert rows(out.select("v", "CATEGORY")) == [(1, "type 0"), (2, "type 1"), (3, None), (4, None)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_monthly_cleaning(spark, hierarchy, supply):
     df = spark.createDataFrame([
         ("123", "2.5", "kw ", "D1", "S2", "10", "5.5"), ("12a", "1", "KW", "D1", "S1", "10", "1"),
