@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 
 #: Code points worked on at once; a longer text is taken alone, whole.
 AT_ONCE = 1 << 20
-#: Distinct pieces remembered by a worker, and the longest of them.
+#: Distinct pieces remembered by a worker, and as many before them, and the longest of them.
 REMEMBERED, LONGEST = 1 << 18, 48
 #: Pieces of up to so many bytes are merged with a plain list of their pairs.
 LISTED = 64
@@ -156,24 +156,28 @@ class Vocabulary:
 
 @dataclass(frozen=True)
 class Merger:
-    """Ranks, ids of bytes, and what pairs of ids become."""
+    """Ranks, ids of bytes, what pairs of ids become, and what pairs of bytes do."""
 
     ranks: dict[bytes, int]
     single: list[int]
     joined: dict[int, int]
+    first: list[int]
 
 
 class Pieces(dict):
-    """Ids by piece, as the bytes of 32-bit numbers; short pieces are remembered."""
+    """Ids by piece, as the bytes of 32-bit numbers; short pieces are remembered, the latest and those before them."""
 
     def __init__(self, merger: Merger):
         super().__init__()
         self.merger = merger
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("i", merge(piece.encode("utf-8", "surrogatepass"), self.merger)).tobytes()
+        if (ids := self.older.get(piece)) is None:
+            ids = array("i", merge(piece.encode("utf-8", "surrogatepass"), self.merger)).tobytes()
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -181,9 +185,9 @@ class Pieces(dict):
 
 def _merge_listed(piece: bytes, vocab: Merger) -> list[int]:
     """As merge(), on numbers: the ids of the parts, and the ids of what each pair would become."""
-    get = vocab.joined.get
-    ids = [vocab.single[b] for b in piece]
-    pairs = [get(a << ID_BITS | b, NO_RANK) for a, b in zip(ids, ids[1:], strict=False)]
+    get, single, first = vocab.joined.get, vocab.single, vocab.first
+    ids = [single[b] for b in piece]
+    pairs = [first[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
     while pairs and (least := min(pairs)) < NO_RANK:
         k = pairs.index(least)
         ids[k] = least
@@ -242,7 +246,8 @@ def known_pieces(path: str) -> Pieces:
         for k in range(1, len(token)):
             if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
                 joined[a << ID_BITS | b] = rank
-    return Pieces(Merger(ranks, [ranks[bytes([b])] for b in range(256)], joined))
+    single = [ranks[bytes([b])] for b in range(256)]
+    return Pieces(Merger(ranks, single, joined, [joined.get(a << ID_BITS | b, NO_RANK) for a in single for b in single]))
 
 
 def _bundles(texts: list[str]) -> Iterator[list[str]]:
