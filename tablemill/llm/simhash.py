@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tablemill.llm.components import connected_components
-from tablemill.llm.shared import free_name
+from tablemill.llm.shared import free_name, sieve, sifted
 from tablemill.session import materialize
 
 SHINGLE, SEED, BITS = 3, 42, 64
@@ -78,9 +78,10 @@ def links(distinct: DataFrame, paired: int = PAIRED_BUCKET) -> DataFrame:
     buckets the pair itself may be represented by a path.
     """
     each = _variants(distinct)
-    # Counted with partial sums and joined, which splits a crowded bucket over tasks.
-    shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = materialize(each.join(shared, "key"), "buckets")
+    # Counted with partial sums and joined, which splits a crowded bucket over tasks. Most
+    # variants are alone in their bucket; a sieve keeps them from being moved for the join.
+    shared = materialize(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    crowded = materialize(sifted(each, sieve(shared, "key"), "key", True).join(shared, "key"), "buckets")
     small = crowded.where(F.col("n") <= paired)
     a, b = small.select("key", F.col("fp").alias("a")), small.select("key", F.col("fp").alias("b"))
     pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.expr("bit_count(a ^ b)") <= MOST_BITS)).select("a", "b")
@@ -123,8 +124,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", grou
     none = F.col(id_col).isNull()
     own = F.struct(none.alias("none"), F.col(id_col).alias("id"), F.when(none, F.md5(text_col)).alias("text"))
     rows = df.withColumn(key, own)
-    groups = groups_of(rows, key, text_col).where(F.col("doc_id") == F.col("component_id"))
-    stays = materialize(groups.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    one, more = (stays.where(x).select(F.col("doc_id").alias(key)) for x in ("n = 1", "n > 1"))
-    single, repeated = rows.join(one, key, "left_semi"), rows.join(more, key, "left_semi")
-    return single.unionByName(repeated.dropDuplicates([key])).drop(key)
+    own = F.count(F.when(F.col("doc_id") == F.col("component_id"), 1)).alias("n")
+    # Most rows stay, and stay where they are: only those that a sieve of the others holds back are moved and joined.
+    doubtful = materialize(groups_of(rows, key, text_col).groupBy("doc_id").agg(own).where("n <> 1").withColumnRenamed("doc_id", key), "doubtful")
+    bits = sieve(doubtful, key)
+    held = sifted(rows, bits, key, True)
+    repeated = held.join(doubtful.where("n > 1").select(key), key, "left_semi").dropDuplicates([key])
+    alike = held.join(doubtful.select(key), key, "left_anti")
+    return sifted(rows, bits, key, False).unionByName(alike).unionByName(repeated).drop(key)
